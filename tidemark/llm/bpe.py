@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import row_key, steps, texts_of
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Entries of a worker's memory of encoded pieces; it is emptied when full.
 CACHE_ENTRIES = 300_000
@@ -118,18 +118,16 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CH
     texts = texts_of(docs).withColumn("n", F.length("text"))
     short = _encoded(texts.where(F.col("n") <= chunk_chars), path, pattern, ["doc_id"], "doc_id bigint")
     long = texts.where(F.col("n") > chunk_chars).select(*row_key("doc_id", "text"), "doc_id", "text")
+    arrow = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("text", pa.string())])
 
-    def cut(batches):  # (document, chunk number, chunk); a chunk runs on into the next by the overlap
+    def cut(batches):  # a chunk runs on into the next by the overlap
         for b in steps(batches):
-            for k1, k2, text in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
-                starts = range(0, len(text), chunk_chars)
-                for i in starts:
-                    yield pa.RecordBatch.from_pydict(
-                        {"k1": [k1], "k2": [k2], "chunk": [i // chunk_chars], "chunks": [len(starts)], "text": [text[i : i + chunk_chars + overlap]]},
-                        schema=pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("text", pa.string())]),
-                    )
-
-    def bounds(batches):  # boundaries in the overlap with the chunk before and with the chunk after, from the overlap's start
+            for k1, k2, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "doc_id", "text")), strict=True):
+                parts = [text[i : i + chunk_chars + overlap] for i in range(0, len(text), chunk_chars)]
+                n = len(parts)
+                yield pa.RecordBatch.from_pydict({"k1": [k1] * n, "k2": [k2] * n, "doc_id": [doc_id] * n, "chunk": range(n), "chunks": [n] * n, "text": parts}, schema=arrow)
+
+    def bounds(batches):  # boundaries in the overlap with the chunk before and with the chunk after, counted from the overlap's start
         e = encoder(path, pattern)
         for b in steps(batches):
             heads, tails = [], []
@@ -138,30 +136,30 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CH
                 heads.append([x for x in [0, *found] if x < overlap and x < len(text)])
                 # a pre-token that ends with the chunk may go on beyond it, and the one before it may depend on what follows
                 tails.append([x - chunk_chars for x in found[:-2] if x >= chunk_chars])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*b.schema.names, "heads", "tails"])
-
-    chunk = "k1 bigint, k2 bigint, chunk int, chunks int, text string"
-    spread = long.dropDuplicates(["k1", "k2"]).mapInArrow(cut, chunk).repartition("k1", "k2", "chunk")
-    order = Window.partitionBy("k1", "k2").orderBy("chunk")
-    whole = Window.partitionBy("k1", "k2")
-    met = (
-        spread.mapInArrow(bounds, chunk + ", heads array<int>, tails array<int>")
-        .withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(order)))))
-        .withColumn("end", F.lead("cut").over(order))
-        .withColumn("all_met", F.min(F.col("cut").isNotNull()).over(whole))
-    )
-    pieces = met.where("all_met").select(
-        "k1", "k2", "chunk", F.expr(f"substring(text, cut + 1, CASE WHEN chunk = chunks - 1 THEN {chunk_chars + overlap} ELSE {chunk_chars} + end - cut END)").alias("text")
-    )
-    unmet = met.where(~F.col("all_met")).select(F.col("k1"), F.col("k2"), "chunk", F.expr(f"substring(text, 1, {chunk_chars})").alias("text"))
-    rejoined = unmet.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("parts")).select(
-        "k1", "k2", F.lit(0).alias("chunk"), F.expr("array_join(transform(parts, x -> x.text), '')").alias("text")
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["k1", "k2", "chunk", "heads", "tails"])
+
+    key = ["k1", "k2", "chunk"]
+    # the only exchange of texts; equal documents meet in it and are encoded once
+    spread = long.mapInArrow(cut, "k1 bigint, k2 bigint, doc_id bigint, chunk int, chunks int, text string").groupBy(*key).agg(
+        F.first("doc_id").alias("doc_id"), F.first("chunks").alias("chunks"), F.first("text").alias("text"), F.count("*").alias("copies")
     )
-    coded = _encoded(pieces.unionByName(rejoined), path, pattern, ["k1", "k2", "chunk"], "k1 bigint, k2 bigint, chunk int")
-    ids = coded.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select(
-        "k1", "k2", F.expr("aggregate(parts, CAST('' AS binary), (a, x) -> a || x.ids)").alias("ids")
+    order, whole = Window.partitionBy("k1", "k2").orderBy("chunk"), Window.partitionBy("k1", "k2")
+    cuts = (
+        spread.select(*key, "text").mapInArrow(bounds, "k1 bigint, k2 bigint, chunk int, heads array<int>, tails array<int>")
+        .withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(order)))))
+        .select(*key, "cut", F.lead("cut").over(order).alias("end"), F.min(F.col("cut").isNotNull()).over(whole).alias("all_met"))
     )
-    return short.unionByName(long.select("k1", "k2", "doc_id").join(ids, ["k1", "k2"]).select("doc_id", "ids"))
+    met = spread.join(cuts, key)
+    size = f"CASE WHEN chunk = chunks - 1 THEN {chunk_chars + overlap} ELSE {chunk_chars} + end - cut END"
+    pieces = met.where("all_met").select(*key, "doc_id", "copies", F.expr(f"substring(text, cut + 1, {size})").alias("text"))
+    rejoined = (
+        met.where("NOT all_met").groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
+        .select("k1", "k2", F.lit(0).alias("chunk"), "doc_id", "copies", F.expr(f"array_join(transform(parts, x -> substring(x.text, 1, {chunk_chars})), '')").alias("text"))
+    )
+    coded = _encoded(pieces.unionByName(rejoined), path, pattern, [*key, "doc_id", "copies"], "k1 bigint, k2 bigint, chunk int, doc_id bigint, copies bigint")
+    ids = coded.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+    joined = ids.select("doc_id", F.expr("aggregate(parts, CAST('' AS binary), (a, x) -> a || x.ids)").alias("ids"), F.explode(F.expr("sequence(1, copies)")))
+    return short.unionByName(joined.select("doc_id", "ids"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -37,11 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_conf(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def row_key(*cols: str) -> list[Column]:
     """Two 64-bit hashes of these columns, never null. Rows equal in them are one document: they get one answer each."""
     c = [F.col(x) for x in cols]
@@ -116,13 +111,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of each maximal run of other bytes than ASCII white space, and the row it is in; no word crosses rows."""
+def words_of(data: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each maximal run of bytes that aren't separators, and the row it is in; no word crosses rows."""
     n = len(data)
     if not n:
         z = np.empty(0, np.int64)
         return z, z, z
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = starts[:-1][starts[:-1] < n]
