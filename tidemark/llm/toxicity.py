@@ -4,8 +4,8 @@ Two interpolated Kneser-Ney models over bytes, of toxic and of ordinary labelled
 lower-cased text from the four before it, so that they know parts of words too. Below the highest order both back off to
 one chain of continuation counts that they share: how many different longer grams end so, in either class. What a class
 has not seen is thus as likely in the other, and rare expressions weigh little. A document's score is a logistic function
-of the difference of the two log-likelihoods, normalised by length, of the whole text and of its most toxic passage;
-the function is fitted on labelled documents that the counts leave out.
+of the difference of the two log-likelihoods, normalised by length, of the whole text, of its most toxic passage and of
+its most toxic word; the function is fitted on labelled documents that the counts leave out.
 
 Grams are counted in tables of fixed size by a hash, so the model has the same bounded size on any corpus.
 """
@@ -122,7 +122,7 @@ class Model:
     low_share: np.ndarray
     low_rest: np.ndarray
     two: np.ndarray  # shared probability of a byte after one other, by both
-    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, -4.0]))  # of the text, of the passage, constant
+    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 1.0, -4.0]))  # of the text, of the passage, of the word, constant
 
     @classmethod
     def of(cls, entries: np.ndarray) -> Model:
@@ -154,9 +154,10 @@ class Model:
         return np.log(self.top[1][at] * self.share[1][context] + self.rest[1][context] * low) - np.log(self.top[0][at] * self.share[0][context] + self.rest[0][context] * low)
 
     def inputs(self, col: pa.Array) -> np.ndarray:
-        """For each text: its difference by byte, and the largest by PASSAGE bytes of any passage of that length (or of all, if shorter)."""
+        """For each text: its difference by byte, the largest by byte of any passage of PASSAGE bytes (or of all, if shorter), the largest of a word."""
         gram, starts = _grams(col)
-        sums = np.concatenate([[0.0], np.cumsum(self.differences(gram), dtype=np.float64)])
+        each = self.differences(gram)
+        sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
         n = np.diff(starts)
         whole = sums[starts[1:]] - sums[starts[:-1]]
         best = whole / PASSAGE
@@ -166,7 +167,14 @@ class Model:
             passages[: len(sums) - PASSAGE] = (sums[PASSAGE:] - sums[:-PASSAGE]) / PASSAGE
             bounds = np.stack([starts[row], starts[row + 1] - PASSAGE + 1], 1).ravel()
             best[row] = np.maximum.reduceat(passages, bounds)[::2]
-        return np.stack([whole / np.maximum(n, 1), best, np.ones(len(n))], 1)
+        word = np.zeros(len(n))
+        if len(gram):
+            begins = _tail(gram, 1) == 32  # a separator counts to the word after it
+            begins[starts[:-1][n > 0]] = True
+            at = np.flatnonzero(begins)
+            filled = np.flatnonzero(n)
+            word[filled] = np.maximum.reduceat(np.add.reduceat(each, at), np.searchsorted(at, starts[filled]))
+        return np.stack([whole / np.maximum(n, 1), best, word / PASSAGE, np.ones(len(n))], 1)
 
     def score(self, col: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(col) @ self.weights, -50, 50)))
@@ -174,16 +182,16 @@ class Model:
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton's method, with a weak pull to 0 after scaling."""
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-        mean[2], scale[2] = 0, 1
-        z, w = (x - mean) / scale, np.zeros(3)
+        mean[-1], scale[-1] = 0, 1
+        z, w = (x - mean) / scale, np.zeros(x.shape[1])
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(3), z.T @ (p - y) + 0.1 * w)
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (p - y) + 0.1 * w)
             w = w - np.clip(step, -2, 2)
             if abs(step).max() < 1e-9:
                 break
         self.weights = w / scale
-        self.weights[2] = w[2] - (w[:2] / scale[:2] * mean[:2]).sum()
+        self.weights[-1] -= (self.weights[:-1] * mean[:-1]).sum()
 
 
 def fold(doc_id) -> F.Column:
@@ -210,11 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     def sample(batches):
         for b in steps(batches):
             x = shared.value.inputs(b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column("toxic")], names=["whole", "best", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), b.column("toxic")], names=["whole", "best", "word", "toxic"])
 
-    held = rows.where("fold = 4").select("text", "toxic").mapInArrow(sample, "whole double, best double, toxic boolean").toArrow()  # at most max_labels rows
+    held = rows.where("fold = 4").select("text", "toxic").mapInArrow(sample, "whole double, best double, word double, toxic boolean").toArrow()  # at most max_labels rows
     if held.num_rows:
-        x = np.stack([held["whole"].to_numpy(), held["best"].to_numpy(), np.ones(held.num_rows)], 1)
+        x = np.stack([*(held[c].to_numpy() for c in ("whole", "best", "word")), np.ones(held.num_rows)], 1)
         model.calibrate(x, held["toxic"].to_numpy().astype(float))
     return model
 
