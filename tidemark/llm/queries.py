@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, linededup, packing, secrets, topk, toxicity
+from . import bpe, chat, jaccard, linededup, packing, secrets, suffix, topk, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(_table(spark, sf_dir, "embeddings"))
 
@@ -34,6 +38,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
@@ -45,11 +57,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_top_k": op4_top_k,
     "op5_chat_rotation": op5_chat_rotation,
     "op6_secret_scan": op6_secret_scan,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op5_chat_rotation": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": vectors.SQL, "op4_top_k": topk.SQL, "op5_chat_rotation": chat.SQL}
