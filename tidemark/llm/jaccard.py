@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, powers, span_hashes, steps, words_of, written
+from .common import as_bytes, mix, powers, row_key, span_hashes, steps, words_of, written
 from .components import components
 from .groups import changes, pairs_within, unite, whole_groups
 
@@ -76,16 +76,17 @@ def band_hashes(h: np.ndarray, begin: np.ndarray, bands: int, rows: int, seed: i
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, c1, c2 (hashes of its words), n (runs), bands array<bigint> of docs (doc_id, text)."""
+    """k1, k2, doc_id, c1, c2 (hashes of its words), n (runs), bands array<bigint> of docs (doc_id, text)."""
 
     def run(batches):
         for b in steps(batches, most=1 << 20):
             h, begin, c1, c2 = shingles(b.column("text"), words)
             sig = band_hashes(h, begin, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, np.int32)), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c1), pa.array(c2), pa.array(np.diff(begin)), lists], names=["doc_id", "c1", "c2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(c1), pa.array(c2), pa.array(np.diff(begin)), lists], names=["k1", "k2", "doc_id", "c1", "c2", "n", "bands"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, c1 bigint, c2 bigint, n bigint, bands array<bigint>")
+    keyed = docs.select(*row_key("doc_id", "text"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return keyed.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, c1 bigint, c2 bigint, n bigint, bands array<bigint>")
 
 
 def _candidates(table: pa.Table, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +128,23 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return counts[inverse[: len(i)], inverse[len(i) :]].astype(np.int64)
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, copy_of, kept of every row of docs (doc_id, text).
+def join(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id, n_links, copy_of, kept of every row of docs: links() without the row keys."""
+    return links(docs, **how).drop("k1", "k2")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs with one document of each class of links(), that of the smallest doc_id; all columns stay.
+
+    Of rows equal in doc_id and text any one stays. Rows without a doc_id stay but for those equal in text.
+    """
+    kept = links(docs, **how).where("kept OR doc_id IS NULL").select("k1", "k2").distinct()
+    rows = docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text"))
+    return rows.join(kept, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+
+
+def links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """k1, k2 (the row's key), doc_id, class_id, n_links, copy_of, kept of every row of docs (doc_id, text).
 
     n_links counts the other documents whose sets have a Jaccard similarity >= threshold, class_id is the smallest doc_id
     to be reached by links, copy_of the smallest doc_id of the documents of the same words, kept says that class_id is the
@@ -194,6 +210,6 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     parts = components(found.select("a", "b"))
     known = classes.select("c1", "c2", "rep", "copies").join(linked, ["c1", "c2"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("c1", "c2", F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    done = usable.select("doc_id", "c1", "c2").join(known, ["c1", "c2"]).select("doc_id", "class_id", "n_links", "copy_of")
-    alone = sigs.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("copy_of"))
+    done = usable.select("k1", "k2", "doc_id", "c1", "c2").join(known, ["c1", "c2"]).select("k1", "k2", "doc_id", "class_id", "n_links", "copy_of")
+    alone = sigs.where("n = 0 OR doc_id IS NULL").select("k1", "k2", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("copy_of"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
