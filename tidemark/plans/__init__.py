@@ -1 +1,4 @@
-"""Part of tidemark; see the package README."""
+"""Queries over the driver's tables: QUERIES and, where SQL can express them, ORACLE."""
+
+from . import panel_queries  # noqa: F401
+from .tables import ORACLE, QUERIES  # noqa: F401
