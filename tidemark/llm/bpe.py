@@ -27,7 +27,7 @@ from .common import row_key, steps, texts_of
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Entries of a worker's memory of encoded pieces; it is emptied when full.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 _two_spaces = re.compile(r"\s\s")
 _before_space = re.compile(r"(?<=\S)(?= )")
@@ -47,11 +47,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
 
 
-class Encoder(dict):
-    """Ids of texts. As a dict: from a piece of text without its leading space to the ids of ' ' + piece.
+class Encoder:
+    """Ids of texts.
 
     A space after a character that isn't white space always begins a pre-token, so the stretches between such spaces can
-    be encoded apart, and most of them have been seen before.
+    be encoded apart. Most have been seen before; the new ones of many texts are encoded in one go, as one text.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -59,26 +59,39 @@ class Encoder(dict):
         self.engine = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.ints = list(range(max(ranks.values()) + 1))
         self.tokens = {i: t for t, i in ranks.items()}
+        self.sizes = np.zeros(len(self.ints), np.int64)
+        self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
         self.pattern = regex.compile(pattern)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(map(self.ints.__getitem__, self.engine.encode_ordinary(" " + piece)))
-        if len(piece) < 40:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.seen: dict[str, tuple[int, ...]] = {}  # piece without its leading space: ids of " " + piece
+
+    def _learn(self, pieces: set[str]) -> None:
+        whole = [p for p in pieces if p and not p[-1].isspace()]  # what follows a piece can't change how it is cut
+        ids = np.array(self.engine.encode_ordinary("".join([" " + p for p in whole])), np.int64)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) + 1 for p in whole])) + 1
+        shared = list(map(self.ints.__getitem__, ids.tolist()))  # the same int objects in all tuples
+        self.seen.update(zip(whole, (tuple(shared[x:y]) for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True) if whole else ())
+        self.seen.update((p, tuple(self.engine.encode_ordinary(" " + p))) for p in pieces.difference(self.seen))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        heads, rests = [], []
+        for text in texts:
+            if _two_spaces.search(text):  # rare: only spaces after other characters than white space may cut
+                first, *rest = _before_space.split(text)
+                rest = [x[1:] for x in rest]
+            else:
+                first, *rest = text.split(" ")
+            heads.append(self.engine.encode_ordinary(first))
+            rests.append(rest)
+        every = set(chain.from_iterable(rests))
+        new = every.difference(self.seen)
+        if len(self.seen) + len(new) > CACHE_ENTRIES:
+            self.seen.clear()
+            new = every
+        self._learn(new)
+        return [np.fromiter(chain(head, chain.from_iterable(map(self.seen.__getitem__, rest))), np.uint32) for head, rest in zip(heads, rests, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if _two_spaces.search(text):  # rare: only spaces after other characters than white space may cut
-            first, *rest = _before_space.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        head = self.engine.encode_ordinary(first)
-        return np.fromiter(chain(head, chain.from_iterable(map(self.__getitem__, rest))), np.uint32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -103,7 +116,7 @@ def _encoded(df: DataFrame, path: str, pattern: str, keep: list[str], schema: st
     def run(batches):
         e = encoder(path, pattern)
         for b in steps(batches):
-            ids = pa.array([e.encode(x).astype("<u4").tobytes() for x in b.column("text").to_pylist()], pa.binary())
+            ids = pa.array([x.astype("<u4").tobytes() for x in e.encode_all(b.column("text").to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, "ids"])
 
     return df.select(*keep, "text").mapInArrow(run, schema + ", ids binary")

@@ -123,7 +123,7 @@ def tokens_of(docs: DataFrame, path: str, pattern: str, end_id: int, source: str
         e = encoder(path, pattern)
         kind = "<u2" if max(len(e.ints), end_id + 1) <= 1 << 16 else "<u4"
         for b in steps(batches):
-            ids = [np.append(e.encode(x), np.uint32(end_id)).astype(kind) for x in b.column("text").to_pylist()]
+            ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in e.encode_all(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["k1", "k2", "doc_id", "source", "n", "ids"]
             )
