@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, full, log_ratio, trailing
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
+
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def momentum(bars: DataFrame, windows: tuple[int, ...] = (1, 5, 20, 60, 126)) -> DataFrame:
     """WIN-01: log return over w rows of the symbol, as momentum_{w}d."""
-    return bars.withColumns({f"momentum_{w}d": log_ratio(F.col("close"), F.lag("close", w).over(BY_SYMBOL)) for w in windows})
+    return bars.withColumns({f"momentum_{w}d": log_ratio(F.col("close"), F.lag("close", w).over(by_symbol())) for w in windows})
 
 
 def reversal(bars: DataFrame, windows: tuple[int, ...] = (1, 5)) -> DataFrame:
     """WIN-02: the negated log return over w rows, as reversal_{w}d."""
-    return bars.withColumns({f"reversal_{w}d": -log_ratio(F.col("close"), F.lag("close", w).over(BY_SYMBOL)) for w in windows})
+    return bars.withColumns({f"reversal_{w}d": -log_ratio(F.col("close"), F.lag("close", w).over(by_symbol())) for w in windows})
 
 
 def drawdown(bars: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFrame:
@@ -27,11 +29,11 @@ def drawdown(bars: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFrame:
 
 def overnight_gap(bars: DataFrame) -> DataFrame:
     """WIN-04: log of open over the close before."""
-    return bars.withColumn("gap_overnight", log_ratio(F.col("open"), F.lag("close").over(BY_SYMBOL)))
+    return bars.withColumn("gap_overnight", log_ratio(F.col("open"), F.lag("close").over(by_symbol())))
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("ret_1d", log_ratio(F.col("close"), F.lag("close").over(BY_SYMBOL)))
+    return bars.withColumn("ret_1d", log_ratio(F.col("close"), F.lag("close").over(by_symbol())))
 
 
 def realized_vol(bars: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFrame:
@@ -73,7 +75,7 @@ def liquidity(bars: DataFrame, w: int = 20) -> DataFrame:
 
 def lagged(df: DataFrame, columns: list[str], rows: int = 1) -> DataFrame:
     """WIN-09: columns as of `rows` rows before."""
-    return df.withColumns({c: F.lag(c, rows).over(BY_SYMBOL) for c in columns})
+    return df.withColumns({c: F.lag(c, rows).over(by_symbol()) for c in columns})
 
 
 FEATURES = [
@@ -202,7 +204,7 @@ def latest(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame
 def carry_forward(grid: DataFrame, bars: DataFrame) -> DataFrame:
     """WIN-22: the last known close on every (date, symbol) of the grid."""
     x = grid.join(bars.select("date", "symbol", "close"), ["date", "symbol"], "left")
-    return x.select("date", "symbol", F.last("close", ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)).alias("mark"))
+    return x.select("date", "symbol", F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)).alias("mark"))
 
 
 def decay_weights(df: DataFrame, half_life: float = 378.0) -> DataFrame:

@@ -75,12 +75,12 @@ def win_06_07_idiosyncratic_vol(spark, d):
 
 @query(f"""
 WITH x AS (SELECT date, symbol, close, close * volume AS dv, abs(ret_1d) / nullif(close * volume, 0) AS il FROM returns)
-SELECT date, symbol, CASE WHEN count(dv) OVER w = 20 THEN round(avg(dv) OVER w, 6) END AS adv_dollar_20d, CASE WHEN count(il) OVER w = 20 THEN round(1e6 * avg(il) OVER w, 6) END AS amihud_20d, round(ln(greatest(close, 1e-9)), 6) AS log_price
+SELECT date, symbol, CASE WHEN count(dv) OVER w = 20 THEN round(ln(avg(dv) OVER w), 8) END AS log_adv_dollar_20d, CASE WHEN count(il) OVER w = 20 THEN round(1e6 * avg(il) OVER w, 6) END AS amihud_20d, round(ln(greatest(close, 1e-9)), 6) AS log_price
 FROM x WINDOW w AS ({W} ROWS 19 PRECEDING)
 """)
 def win_08_liquidity(spark, d):
     x = panel.liquidity(t.bars(spark, d)).select("date", "symbol", "adv_dollar_20d", (F.col("amihud_20d") * 1e6).alias("amihud_20d"), "log_price")
-    return rounded(x.withColumn("adv_dollar_20d", F.round("adv_dollar_20d", 6)))
+    return x.select("date", "symbol", F.round(F.log("adv_dollar_20d"), 8).alias("log_adv_dollar_20d"), F.round("amihud_20d", 6).alias("amihud_20d"), F.round("log_price", 6).alias("log_price"))
 
 
 @query(f"SELECT date, symbol, lag(close) OVER ({W}) AS close, lag(volume) OVER ({W}) AS volume FROM bars")
@@ -113,9 +113,9 @@ def win_12_buckets(spark, d):
     return panel.buckets(t.scores(spark, d), "score").select("date", "symbol", "bucket")
 
 
-@query(f"SELECT date, symbol, CASE WHEN count(*) OVER w >= 5 THEN round(avg(close * volume) OVER w, 6) END AS adv FROM bars WINDOW w AS ({W} ROWS 19 PRECEDING)")
+@query(f"SELECT date, symbol, CASE WHEN count(*) OVER w >= 5 THEN round(ln(avg(close * volume) OVER w), 8) END AS log_adv FROM bars WINDOW w AS ({W} ROWS 19 PRECEDING)")
 def win_13_rolling_adv(spark, d):
-    return rounded(panel.rolling_adv(t.bars(spark, d)).select("date", "symbol", "adv"), 6)
+    return panel.rolling_adv(t.bars(spark, d)).select("date", "symbol", F.round(F.log("adv"), 8).alias("log_adv"))
 
 
 _UNIVERSE = """
@@ -123,19 +123,19 @@ WITH a AS (SELECT date, symbol, CASE WHEN count(*) OVER w >= 5 THEN avg(close *
 days AS ({}),
 u AS (SELECT a.date AS rebalance_date, a.symbol, adv, row_number() OVER (PARTITION BY a.date ORDER BY adv DESC, a.symbol) AS rank FROM a JOIN days ON days.date = a.date JOIN listings l ON l.symbol = a.symbol
   WHERE adv IS NOT NULL AND (ipo_date IS NULL OR ipo_date <= a.date) AND (delist_date IS NULL OR delist_date > a.date))
-SELECT rebalance_date, symbol, round(adv, 6) AS adv, CAST(rank AS INTEGER) AS rank FROM u WHERE rank <= 20
+SELECT rebalance_date, symbol, round(ln(adv), 8) AS log_adv, CAST(rank AS INTEGER) AS rank FROM u WHERE rank <= 20
 """
 
 
 @query(_UNIVERSE.format("SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS date FROM bars"))
 def win_14_15_join_08_universe(spark, d):
     """WIN-14, WIN-15, JOIN-08: monthly universe; months whose first day has no bars drop out."""
-    return rounded(panel.universe(t.bars(spark, d), t.listings(spark, d), 20), 6)
+    return panel.universe(t.bars(spark, d), t.listings(spark, d), 20).select("rebalance_date", "symbol", F.round(F.log("adv"), 8).alias("log_adv"), "rank")
 
 
 @query(_UNIVERSE.format("SELECT min(date) AS date FROM bars GROUP BY date_trunc('month', date)"))
 def ref_01_universe_snapped(spark, d):
-    return rounded(panel.universe(t.bars(spark, d), t.listings(spark, d), 20, snap=True), 6)
+    return panel.universe(t.bars(spark, d), t.listings(spark, d), 20, snap=True).select("rebalance_date", "symbol", F.round(F.log("adv"), 8).alias("log_adv"), "rank")
 
 
 @query("SELECT symbol, date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars) WHERE rn <= 3")
@@ -156,7 +156,7 @@ def win_22_carry_forward(spark, d):
 
 @query(f"SELECT date, symbol, lead(label_5d, 1) OVER ({W}) AS next_label, round(pow(0.5, (row_number() OVER (PARTITION BY symbol ORDER BY date DESC) - 1) / 378.0), 8) AS weight FROM scores")
 def win_23_24_shift_and_decay(spark, d):
-    x = t.scores(spark, d).withColumn("next_label", F.lead("label_5d", 1).over(panel.BY_SYMBOL))
+    x = t.scores(spark, d).withColumn("next_label", F.lead("label_5d", 1).over(panel.by_symbol()))
     return panel.decay_weights(x).select("date", "symbol", "next_label", F.round("weight", 8).alias("weight"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel
@@ -107,7 +107,7 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("owner"),
         F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").when(F.col("l_linestatus") == "O", "M").otherwise("F").alias("code"),
-        F.col("l_quantity").cast("decimal(18,4)").alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,4)").alias("price"), F.to_date("l_shipdate").alias("traded_on"),
+        F.col("l_quantity").cast("decimal(18,4)").alias("shares"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10000) / 10000).cast("decimal(18,4)").alias("price"), F.to_date("l_shipdate").alias("traded_on"),
     )
     return x.join(o, "accession")
 
@@ -136,7 +136,7 @@ VIEWS: dict[str, str] = {
   SELECT date, symbol, lag(m) OVER (PARTITION BY symbol ORDER BY date) AS score FROM (SELECT date, symbol, ln(close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY date)) AS m FROM bars)) x
   JOIN labels_5d y ON x.date = y.date AND x.symbol = y.symbol WHERE score IS NOT NULL""",
     "transactions": """SELECT l_orderkey AS accession, l_linenumber AS line, l_partkey AS part, l_suppkey AS owner, CASE WHEN l_returnflag = 'A' THEN 'P' WHEN l_returnflag = 'R' THEN 'S' WHEN l_linestatus = 'O' THEN 'M' ELSE 'F' END AS code,
-  CAST(l_quantity AS DECIMAL(18,4)) AS shares, CAST(l_extendedprice / l_quantity AS DECIMAL(18,4)) AS price, CAST(l_shipdate AS DATE) AS traded_on, o_custkey AS issuer, o_orderdate AS accepted_at, o_orderpriority AS role, o_orderstatus
+  CAST(l_quantity AS DECIMAL(18,4)) AS shares, CAST(floor(l_extendedprice / l_quantity * 10000) / 10000 AS DECIMAL(18,4)) AS price, CAST(l_shipdate AS DATE) AS traded_on, o_custkey AS issuer, o_orderdate AS accepted_at, o_orderpriority AS role, o_orderstatus
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
 }
 #: Names that are tables of the driver as well; the views take them over.
@@ -162,6 +162,3 @@ def with_views(sql: str) -> str:
     own = re.sub(r"^WITH\s+(RECURSIVE\s+)?", "", body)
     return f"WITH {recursive}{head},\n{own}" if own != body else f"WITH {head}\n{body}"
 
-
-def by_symbol() -> Window:
-    return Window.partitionBy("symbol").orderBy("date")
