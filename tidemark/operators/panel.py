@@ -98,7 +98,8 @@ def rank_normalize(df: DataFrame, columns: list[str], max_null: float = 0.3) ->
     out = {}
     for c in columns:
         percent = average_rank(F.col(c), "date") / F.count(c).over(date)
-        nulls = 1 - F.count(c).over(date) / F.count(F.lit(1)).over(date)
+        every = F.count(F.lit(1)).over(date)
+        nulls = (every - F.count(c).over(date)) / every
         out[c] = F.when(nulls <= max_null, F.coalesce(2 * percent - 1, F.lit(0.0)))
     return df.withColumns(out)
 
@@ -137,12 +138,17 @@ def buckets(df: DataFrame, score: str, most: int = 10, tie: str = "symbol") -> D
     return x.withColumn("bucket", F.greatest(F.lit(0), F.ceil((F.col("_r") - 1) * q / F.greatest(F.col("_n") - 1, F.lit(1))) - 1).cast("int")).drop("_r", "_n")
 
 
+def _correlation(a: str, b: str):
+    """Pearson's correlation, 0 where a side doesn't vary (F.corr raises there)."""
+    c = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(c)
+
+
 def rank_ic(df: DataFrame, prediction: str, label: str, by: list[str]) -> DataFrame:
     """AGG-07: Spearman correlation of the pairs that have both, by group; 0 where it is undefined; and the number of pairs."""
     x = df.where(F.col(prediction).isNotNull() & F.col(label).isNotNull())
     x = x.withColumns({"_p": average_rank(F.col(prediction), *by), "_l": average_rank(F.col(label), *by)})
-    c = F.corr("_p", "_l")
-    return x.groupBy(*by).agg(F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(c).alias("rank_ic"), F.count("*").alias("n"))
+    return x.groupBy(*by).agg(_correlation("_p", "_l").alias("rank_ic"), F.count("*").alias("n"))
 
 
 def pooled_rank_ic(df: DataFrame, prediction: str, label: str) -> DataFrame:
@@ -156,8 +162,7 @@ def pooled_rank_ic(df: DataFrame, prediction: str, label: str) -> DataFrame:
         before = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
         return counts.join(F.broadcast(base), "part").select(c, (F.col("base") + F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}"))  # one row a partition
 
-    c = F.corr("rank_p", "rank_l")
-    return x.join(ranks("p"), "p").join(ranks("l"), "l").agg(F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(c).alias("rank_ic"), F.count("*").alias("n"))
+    return x.join(ranks("p"), "p").join(ranks("l"), "l").agg(_correlation("rank_p", "rank_l").alias("rank_ic"), F.count("*").alias("n"))
 
 
 def bucket_metrics(df: DataFrame, score: str, label: str, most: int = 10) -> DataFrame:

@@ -113,7 +113,7 @@ def feature_dependence(df: DataFrame, features: list[str], label: str) -> DataFr
 def shuffled_within_dates(df: DataFrame, column: str, seed: int) -> DataFrame:
     """MOD-11, AGG-33: the column permuted within each date by a hashed order; the same whatever the partitions."""
     a = df.withColumn("_i", F.row_number().over(Window.partitionBy("date").orderBy("symbol")))
-    b = df.select("date", F.col(column).alias("_v"), F.row_number().over(Window.partitionBy("date").orderBy(F.xxhash64(F.lit(seed), "symbol"), "symbol")).alias("_i"))
+    b = df.select("date", F.col(column).alias("_v"), F.row_number().over(Window.partitionBy("date").orderBy(F.xxhash64(F.lit(seed), "date", "symbol"), "symbol")).alias("_i"))
     return a.drop(column).join(b, ["date", "_i"]).withColumnRenamed("_v", column).drop("_i")
 
 

@@ -14,7 +14,7 @@ W = "PARTITION BY symbol ORDER BY date"
 @query(f"""
 WITH m AS (SELECT date, symbol, lag(x) OVER ({W}) AS x FROM (SELECT date, symbol, ln(close / lag(close, 20) OVER ({W})) AS x FROM bars)),
 n AS (SELECT *, count(x) OVER (PARTITION BY date) AS have, count(*) OVER (PARTITION BY date) AS every FROM m),
-r AS (SELECT date, symbol, CASE WHEN 1 - have / every <= 0.3 THEN coalesce(2 * (rank() OVER (PARTITION BY date ORDER BY x NULLS LAST) + (count(x) OVER (PARTITION BY date, x) - 1) / 2) / have - 1, 0) END AS f, x FROM n),
+r AS (SELECT date, symbol, CASE WHEN (every - have) / every <= 0.3 THEN coalesce(2 * (rank() OVER (PARTITION BY date ORDER BY x NULLS LAST) + (count(x) OVER (PARTITION BY date, x) - 1) / 2) / have - 1, 0) END AS f, x FROM n),
 j AS (SELECT r.date, r.symbol, CASE WHEN x IS NULL AND f IS NOT NULL THEN 0 ELSE f END AS f, y.label_5d AS l FROM r JOIN labels_5d y ON y.date = r.date AND y.symbol = r.symbol),
 k AS (SELECT date, symbol, f, l, rank() OVER (PARTITION BY date ORDER BY f) + (count(*) OVER (PARTITION BY date, f) - 1) / 2 AS rf, rank() OVER (PARTITION BY date ORDER BY l) + (count(*) OVER (PARTITION BY date, l) - 1) / 2 AS rl FROM j WHERE f IS NOT NULL AND l IS NOT NULL)
 SELECT date, round(coalesce(CASE WHEN isnan(corr(rf, rl)) THEN 0 ELSE corr(rf, rl) END, 0), 6) + 0.0 AS rank_ic, count(*) AS n FROM k GROUP BY date
@@ -92,7 +92,7 @@ def win_09_lag(spark, d):
 WITH x AS (SELECT date, symbol, close AS a, ln(close / lag(close, 60) OVER ({W})) AS b FROM bars),
 n AS (SELECT *, count(b) OVER (PARTITION BY date) AS nb, count(*) OVER (PARTITION BY date) AS n FROM x)
 SELECT date, symbol, round(2 * (rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2) / n - 1, 6) + 0.0 AS a,
-  CASE WHEN 1 - nb / n <= 0.3 THEN CASE WHEN b IS NULL THEN 0.0 ELSE round(2 * (rank() OVER (PARTITION BY date ORDER BY b NULLS LAST) + (count(b) OVER (PARTITION BY date, b) - 1) / 2) / nb - 1, 6) + 0.0 END END AS b FROM n
+  CASE WHEN (n - nb) / n <= 0.3 THEN CASE WHEN b IS NULL THEN 0.0 ELSE round(2 * (rank() OVER (PARTITION BY date ORDER BY b NULLS LAST) + (count(b) OVER (PARTITION BY date, b) - 1) / 2) / nb - 1, 6) + 0.0 END END AS b FROM n
 """)
 def win_10_rank_normalize(spark, d):
     x = panel.momentum(t.bars(spark, d), (60,)).select("date", "symbol", F.col("close").alias("a"), F.col("momentum_60d").alias("b"))

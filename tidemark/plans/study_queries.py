@@ -95,7 +95,7 @@ def evt_01_join_15_event_labels(spark, d):
 
 @query(f"""WITH {_CANDIDATES}, {_LABELS},
 m AS (SELECT event_id, abret_1d_net AS v, row_number() OVER (ORDER BY abs(abret_1d_net) DESC, event_id) AS rn FROM done WHERE abret_1d_net IS NOT NULL)
-SELECT 'primary' AS family, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(median(v), 6) + 0.0 AS median, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(sum(abs(v)) FILTER (rn <= 5) / sum(abs(v)), 6) AS top5_share FROM m
+SELECT 'primary' AS family, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(median(v), 6) + 0.0 AS median, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(sum(abs(v)) FILTER (rn <= 5) / sum(abs(v)), 6) AS top5_share FROM m HAVING count(*) > 0
 """)
 def agg_09_evt_04_study_summary(spark, d):
     return rounded(ev.study_summary(_labels(spark, d).withColumn("family", F.lit("primary")), "abret_1d_net", ["family"]))
