@@ -70,7 +70,7 @@ def test_rank_ic_and_buckets(spark):
     flat = frame(spark, [(1, "a", 1.0, 2.0), (1, "b", 1.0, 3.0)], "date int, symbol string, p double, l double")
     assert panel.rank_ic(flat, "p", "l", ["date"]).first().rank_ic == 0.0
     x = frame(spark, [(1, s, p, v) for s, p, v in zip("abcd", (0.2, 0.2, 0.5, 0.1), (1.0, 2.0, 3.0, 4.0), strict=True)], "date int, symbol string, p double, l double")
-    assert [r.bucket for r in panel.buckets(x, "p", 4).orderBy("symbol").collect()] == [0, 1, 2, 0]
+    assert [r.bucket for r in panel.buckets(x, "p", 4).orderBy("symbol").collect()] == [1, 2, 3, 0]
     y = frame(spark, [(1, s, p, v) for s, p, v in zip("abcd", (0.1, 0.2, 0.3, 0.4), (-0.04, -0.01, 0.02, 0.05), strict=True)], "date int, symbol string, p double, l double")
     m = panel.bucket_metrics(y, "p", "l", 4).first()
     assert m.hit_rate == 1.0 and m.spread == pytest.approx(0.05 - (-0.04 - 0.01) / 2)
