@@ -19,16 +19,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, powers, steps, texts_of, written
+from .common import mix, powers, steps, texts_of, written
 
-LENGTH, ANCHOR, SHARD_BYTES = 50, 24, 4 << 20
+LENGTH, ANCHOR, SHARD_BYTES, MERGED_BYTES = 50, 24, 4 << 20, 1 << 17
 _END = 0xFF  # a byte that UTF-8 never holds
 
 
@@ -68,6 +68,31 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[
     return r, at[first] - starts[r], window[first] - starts[r], window[last] - starts[r], h[at[first]]
 
 
+def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ascending, values)
+    at[at == len(ascending)] = 0
+    return ascending[at] == values
+
+
+def packed_anchors(packed: list[bytes], length: int, k: int, most: int = 1 << 20) -> tuple[list[bytes], tuple[np.ndarray, ...]]:
+    """The texts of compressed ones, and anchors() of them, a step of texts at a time."""
+    raw = [zlib.decompress(x) for x in packed]
+    found, low = [], 0
+    while low < len(raw):
+        high, size = low, 0
+        while high < len(raw) and (high == low or size + len(raw[high]) <= most):
+            size += len(raw[high])
+            high += 1
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in raw[low:high]])]).astype(np.int64)
+        row, *rest = anchors(np.frombuffer(b"".join(raw[low:high]), np.uint8), starts, length, k)
+        found.append((row + low, *rest))
+        low = high
+    return raw, tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else anchors(np.empty(0, np.uint8), np.zeros(1, np.int64), length, k)
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Order of all rotations of different strings that each end in _END: prefix doubling, cyclic within a string."""
     n = len(data)
@@ -95,30 +120,35 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) ->
     interval: suffixes share an interval if they share their first `depth` symbols.
     """
     orders = [suffix_order(data, starts) for data, starts in shards]
-    transforms = []
+    transforms, fronts, base = [], [], 0
     for (data, starts), order in zip(shards, orders, strict=True):
         before = np.arange(-1, len(data) - 1)
         before[starts[:-1]] = starts[1:] - 1  # what precedes a string's start is its own end
+        rank = np.empty(len(data), np.int32)
+        rank[order] = np.arange(len(data), dtype=np.int32)
         transforms.append(data[before[order]])
-    chars, places = np.concatenate(transforms), np.concatenate(orders)
-    kind = np.uint16 if len(shards) > 256 else np.uint8
-    source = np.repeat(np.arange(len(shards), dtype=kind), [len(x) for x in transforms])
-    interleave, block = source, np.zeros(len(source), np.int32)
+        fronts.append(rank[before[order]] + np.int32(base))  # where the suffix longer by the transform's symbol stands in the shard
+        base += len(data)
+    chars, front, places = np.concatenate(transforms), np.concatenate(fronts), np.concatenate(orders)
+    n = len(chars)
+    at = np.arange(n, dtype=np.int32)  # of each shard's suffixes, in the shard's order: the place in the interleave
+    block, symbol, to, moved = np.zeros(n, np.int32), np.empty(n, np.uint8), np.empty(n, np.int32), np.empty(n, np.int32)
+    every, part = np.arange(n, dtype=np.int32), np.zeros(n, bool)
     for _ in range(depth):
-        back = np.argsort(interleave, kind="stable")  # the i-th of a shard stands for its transform's i-th symbol
-        symbol = np.empty(len(chars), np.uint8)
-        symbol[back] = chars
+        symbol[at] = chars
         move = np.argsort(symbol, kind="stable")  # a suffix with that symbol in front goes where its symbol's suffixes stand
-        interleave, symbol, b = interleave[move], symbol[move], block[move]
-        part = np.zeros(len(chars), bool)
-        part[1:] = (symbol[1:] != symbol[:-1]) | (b[1:] != b[:-1])  # here the common prefix with the one before ends
-        block = np.cumsum(part, dtype=np.int32)
-        if block[-1] == len(chars) - 1:
+        to[move] = every
+        moved[front] = to[at]
+        at, moved = moved, at
+        s, b = symbol[move], block[move]
+        part[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])  # here the common prefix with the one before ends
+        np.cumsum(part, dtype=np.int32, out=block)
+        if block[-1] == n - 1:
             break
-    back = np.argsort(interleave, kind="stable")
-    place = np.empty(len(chars), np.int64)
-    place[back] = places
-    return interleave, place, block
+    source, place = np.empty(n, np.int32), np.empty(n, np.int64)
+    source[at] = np.repeat(np.arange(len(shards), dtype=np.int32), [len(x) for x in transforms])
+    place[at] = places
+    return source, place, block
 
 
 def _least_by_string(contexts: list[bytes], shard: np.ndarray, doc: np.ndarray, length: int) -> list[np.ndarray]:
@@ -152,14 +182,18 @@ _SENT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u
 _FOUND = np.dtype([("row", "<u4"), ("first", "<u4"), ("last", "<u4")])
 
 
-def _anchor_task(shards: np.ndarray, sent: list[np.ndarray], texts: list[bytes], length: int) -> dict[int, np.ndarray]:
-    """Which strings of each shard's documents repeat one of a smaller doc_id: for all contexts of some anchors."""
-    shard = np.repeat(shards, [len(x) for x in sent])
-    x = np.concatenate(sent)
-    raw = b"".join(texts)
-    ends = np.cumsum(x["size"], dtype=np.int64)
+def _anchor_task(shards: np.ndarray, sent: Iterable[np.ndarray], texts: Iterable[bytes], length: int) -> dict[int, np.ndarray]:
+    """Which strings of each shard's documents repeat one of a smaller doc_id: for all contexts of some anchors.
+
+    Shards are read one at a time; of their contexts only the different ones are held.
+    """
     held: dict[tuple[int, bytes], int] = {}
-    which = np.array([held.setdefault((h, raw[e - s : e]), len(held)) for h, e, s in zip(x["hash"].tolist(), ends.tolist(), x["size"].tolist(), strict=True)])
+    parts, places = [], []
+    for x, raw in zip(sent, texts, strict=True):
+        ends = np.cumsum(x["size"], dtype=np.int64)
+        places.append(np.fromiter((held.setdefault((h, raw[e - s : e]), len(held)) for h, e, s in zip(x["hash"].tolist(), ends.tolist(), x["size"].tolist(), strict=True)), np.int64, len(x)))
+        parts.append(x)
+    shard, x, which = np.repeat(shards, [len(p) for p in parts]), np.concatenate(parts), np.concatenate(places)
     least = np.full(len(held), np.iinfo(np.int64).max)
     np.minimum.at(least, which, x["doc"])
     one = np.zeros(len(held), np.int64)
@@ -169,23 +203,32 @@ def _anchor_task(shards: np.ndarray, sent: list[np.ndarray], texts: list[bytes],
     _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[inverse] > 1)  # anchors with one context only: its smallest doc_id holds for all its strings
     by_string: dict[int, np.ndarray] = {}
-    if len(several):
-        # strings of different anchors never are equal, so all anchors of the task go through one merge
-        parts = _least_by_string([contexts[i] for i in several], shard[one[several]], least[several], length)
-        by_string = dict(zip(several.tolist(), parts, strict=True))
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for s, w, doc, row, start, size in zip(shard.tolist(), which.tolist(), x["doc"].tolist(), x["row"].tolist(), x["start"].tolist(), x["size"].tolist(), strict=True):
-        mins = by_string.get(w)
-        if mins is None:
-            if least[w] < doc:
-                out.setdefault(s, []).append((row, start, start + size - length))
-        else:
-            gone = np.flatnonzero(mins < doc)
-            if len(gone):
-                cut = np.flatnonzero(np.diff(gone) > 1)
-                for a, b in zip(gone[np.concatenate([[0], cut + 1])], gone[np.concatenate([cut, [len(gone) - 1]])], strict=True):
-                    out.setdefault(s, []).append((row, start + int(a), start + int(b)))
-    return {s: np.array(v, _FOUND) for s, v in out.items()}
+    several = several[np.argsort(inverse[several], kind="stable")]
+    # strings of different anchors never are equal, so an anchor is merged with a few others at a time, in a CPU's cache
+    upto = np.cumsum([len(contexts[i]) for i in several])
+    low = 0
+    while low < len(several):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + MERGED_BYTES)))
+        high += int(np.searchsorted(inverse[several[high:]], inverse[several[high - 1]], "right")) if high < len(several) else 0
+        some = several[low:high]
+        by_string.update(zip(some.tolist(), _least_by_string([contexts[i] for i in some], shard[one[some]], least[some], length), strict=True))
+        low = high
+    low, high = least.copy(), least.copy()  # of a context's strings the least and the largest smallest doc_id
+    for w, mins in by_string.items():
+        low[w], high[w] = mins.min(), mins.max()
+    every, some = high[which] < x["doc"], (low[which] < x["doc"]) & (high[which] >= x["doc"])
+    found = [(shard[every], x["row"][every], x["start"][every], x["start"][every] + x["size"][every] - np.uint32(length))]
+    for i in np.flatnonzero(some):
+        gone = np.flatnonzero(by_string[which[i]] < x["doc"][i])
+        cut = np.flatnonzero(np.diff(gone) > 1)
+        first, last = gone[np.concatenate([[0], cut + 1])], gone[np.concatenate([cut, [len(gone) - 1]])]
+        found.append((np.full(len(first), shard[i]), np.full(len(first), x["row"][i]), first + int(x["start"][i]), last + int(x["start"][i])))
+    owner, row, first, last = (np.concatenate(z) for z in zip(*found, strict=True))
+    out = np.empty(len(owner), _FOUND)
+    out["row"], out["first"], out["last"] = row, first, last
+    order = np.argsort(owner, kind="stable")
+    names, at = np.unique(owner[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(out[order], at[1:]), strict=True)) if len(names) else {}
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -225,20 +268,22 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     classes.write.bucketBy(partitions, "shard").option("compression", "none").saveAsTable(table)
     held = spark.table(table)
 
-    def unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [zlib.decompress(x) for x in packed]
-        return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-
     def sketch(batches):  # by bucket, the 32 bits after those of the bucket of a shard's anchors; twice if in several documents
         for b in steps(batches, "packed"):
-            data, starts = unpacked(b.column("packed").to_pylist())
-            row, _, _, _, h = anchors(data, starts, length, anchor)
+            _, (row, _, _, _, h) = packed_anchors(b.column("packed").to_pylist(), length, anchor)
             shard = b.column("shard").to_numpy()[row]
             for s in np.unique(shard):
                 mine = shard == s
-                each = np.unique(np.stack([h[mine] >> (np.uint64(32) - bits), row[mine].astype(np.uint64)], 1), axis=0)[:, 0]
-                _, first, n = np.unique(each, return_index=True, return_counts=True)
-                values = each[np.sort(np.concatenate([first, first[n > 1] + 1]))]
+                value, doc = h[mine] >> (np.uint64(32) - bits), row[mine]
+                order = np.argsort(value, kind="stable")  # rows ascend, so those of a value do
+                value, doc = value[order], doc[order]
+                new = np.ones(len(value), bool)
+                new[1:] = value[1:] != value[:-1]
+                second = np.zeros(len(value), bool)  # of another document than the one before it, for the first time
+                second[1:] = ~new[1:] & (doc[1:] != doc[:-1])
+                _, at = np.unique(np.cumsum(new)[second], return_index=True)
+                new[np.flatnonzero(second)[at]] = True
+                values = value[new]
                 bucket = (values >> np.uint64(32)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 parts = np.split(values, cut)
@@ -249,9 +294,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     def repeated(table: pa.Table) -> pa.Table:
         raw = [np.frombuffer(x, "<u4") for x in table["values"].to_pylist()]
-        every, n = np.unique(np.concatenate(raw), return_counts=True)
-        twice = every[n > 1]
-        found = [np.unique(x[np.isin(x, twice)]).tobytes() for x in raw]
+        every = np.concatenate(raw)
+        ordered = np.sort(every)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        hit = _member(every, twice)
+        found = [np.unique(x[h]).tobytes() for x, h in zip(raw, np.split(hit, np.cumsum([len(x) for x in raw])[:-1]), strict=True)]
         return pa.table({"shard": table["shard"], "bucket": table["bucket"], "values": pa.array(found, pa.binary())}).filter(pa.array([len(x) > 0 for x in found]))
 
     blobs = held.mapInArrow(sketch, "bucket bigint, shard bigint, values binary")
@@ -262,31 +309,30 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
         out: dict[str, list] = {k: [] for k in kinds}
         if left.num_rows and right.num_rows:
             left = left.sort_by([("h1", "ascending"), ("h2", "ascending")])
-            data, starts = unpacked(left["packed"].to_pylist())
-            row, at, first, last, h = anchors(data, starts, length, anchor)
+            raw, (row, at, first, last, h) = packed_anchors(left["packed"].to_pylist(), length, anchor)
             wanted = np.concatenate([np.frombuffer(v, "<u4").astype(np.uint64) | np.uint64(b << 32) for b, v in zip(right["bucket"].to_pylist(), right["values"].to_pylist(), strict=True)])
-            keep = np.isin(h >> (np.uint64(32) - bits), wanted)
+            keep = _member(h >> (np.uint64(32) - bits), np.sort(wanted))
             row, at, first, last, h = (z[keep] for z in (row, at, first, last, h))
             x = np.empty(len(h), _SENT)
             x["hash"], x["doc"], x["row"], x["start"], x["size"], x["place"] = h, left["doc_id"].to_numpy()[row], row, first, last - first + length, at - first
             bucket = (h >> (np.uint64(64) - bits)).astype(np.int64)
-            order = np.lexsort((h, bucket))
-            raw, begin = data.tobytes(), starts[row] + first
+            order = np.argsort(h, kind="stable")
             starts_of = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             for low, high in zip(starts_of, [*starts_of[1:], len(order)], strict=True):
                 o, b = order[low:high], bucket[order[low]]
-                text = b"".join(raw[p : p + n] for p, n in zip(begin[o].tolist(), x["size"][o].tolist(), strict=True))
+                text = b"".join(raw[r][p : p + n] for r, p, n in zip(row[o].tolist(), first[o].tolist(), x["size"][o].tolist(), strict=True))
                 for k, v in zip(kinds, (int(b), left["shard"][0].as_py(), zlib.compress(x[o].tobytes(), 1), zlib.compress(text, 1)), strict=True):
                     out[k].append(v)
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     def resolve(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(zlib.decompress(x), _SENT) for x in table["sent"].to_pylist()]
-        found = _anchor_task(table["shard"].to_numpy(), sent, [zlib.decompress(x) for x in table["texts"].to_pylist()], length)
+        sent = (np.frombuffer(zlib.decompress(x.as_py()), _SENT) for x in table["sent"])
+        found = _anchor_task(table["shard"].to_numpy(), sent, (zlib.decompress(x.as_py()) for x in table["texts"]), length)
         return pa.table({"shard": pa.array(list(found), pa.int64()), "found": pa.array([zlib.compress(v.tobytes(), 1) for v in found.values()], pa.binary())})
 
     dealt = held.groupBy("shard").cogroup(marked.groupBy("shard")).applyInArrow(contexts, "bucket bigint, shard bigint, sent binary, texts binary")
-    found = written(dealt.groupBy("bucket").applyInArrow(resolve, "shard bigint, found binary"), "repeats")
+    # as many tasks as shards: the bytes are few for the work on them, so joining small partitions would make long tasks
+    found = written(dealt.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(resolve, "shard bigint, found binary"), "repeats")
 
     def ranges(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by([("h1", "ascending"), ("h2", "ascending")])
