@@ -320,6 +320,54 @@ def test_toxicity(spark):
     assert toxicity.report(docs.where("false"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).count() == 0
 
 
+def test_toxicity_counts_every_gram(spark):
+    """So many different grams that tables of 2**20 and 2**21 places would mix some up."""
+    r = np.random.default_rng(4)
+    texts = [(i, "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz "), 800))) for i in range(100)]
+    n = [{}, {}]
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            t = "    " + t
+            for k in range(len(t) - 4):
+                n[i % 2][t[k : k + 5]] = n[i % 2].get(t[k : k + 5], 0) + 1
+    grams = {*n[0], *n[1]}
+    contexts = [{}, {}]
+    for c in (0, 1):
+        for g, k in n[c].items():
+            total, kinds = contexts[c].get(g[:4], (0, 0))
+            contexts[c][g[:4]] = total + k, kinds + 1
+    ends = {m: {} for m in (2, 4)}
+    for g in grams:
+        for m in ends:
+            ends[m][g[-m:]] = ends[m].get(g[-m:], 0) + 1
+    before = {m: {} for m in ends}
+    for m in ends:
+        for e, k in ends[m].items():
+            total, kinds = before[m].get(e[:-1], (0, 0))
+            before[m][e[:-1]] = total + k, kinds + 1
+
+    def continued(g, m, lower):
+        total, kinds = before[m].get(g[-m:-1], (0, 0))
+        return (max(ends[m].get(g[-m:], 0) - 0.75, 0) + 0.75 * kinds * lower) / total if total else lower
+
+    def log(g, c):
+        total, kinds = contexts[c].get(g[:4], (0, 0))
+        low = continued(g, 4, continued(g, 2, 1 / 128))
+        return np.log((max(n[c].get(g, 0) - 0.75, 0) + 0.75 * kinds * low) / total if total else low)
+
+    model = toxicity.fit(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, toxic int"))
+    asked = sorted(grams | {g[:4] + x for g in list(grams)[:5000] for x in "qz"} | {"qqqqq", "zzzzz"})
+    got = model.differences(np.array([int.from_bytes(g.encode(), "big") for g in asked], np.uint64))
+    assert len(grams) > 30_000 and np.allclose(got, [log(g, 1) - log(g, 0) for g in asked], atol=1e-4)
+
+
+def test_toxicity_learns_from_labels_beyond_the_broadcast(spark):
+    texts = [(i, prose(i, 30) + (" scoundrel" if i % 3 == 0 else "")) for i in range(200)]
+    docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
+    few, all_ = toxicity.fit(docs, labels, max_labels=10), toxicity.fit(docs, labels)
+    assert set(few.seen.gram.tolist()) == set(all_.seen.gram.tolist()) and np.allclose(few.weights, all_.weights)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 100)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

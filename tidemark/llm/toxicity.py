@@ -7,13 +7,13 @@ has not seen is thus as likely in the other, and rare expressions weigh little.
 of the difference of the two log-likelihoods, normalised by length, of the whole text, of its most toxic passage and of
 its most toxic word; the function is fitted on labelled documents that the counts leave out.
 
-Grams are counted in tables of fixed size by a hash, so the model has the same bounded size on any corpus.
+Grams are counted exactly, so the model grows with the labelled text. What a byte adds to the difference depends on its
+gram alone: it is worked out once for each gram seen, and once for each context, which decides for grams not seen.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, mix, steps
 
-#: Most labelled documents that the model is fitted on; of more, a part chosen by a hash of doc_id. They are broadcast.
+#: Most labels that are broadcast; more are joined by a shuffle. All of them teach.
 MAX_LABELS = 1_000_000
 ORDER, PASSAGE = 5, 16
-GRAM_BITS, CONTEXT_BITS, BLOCK_BITS = 21, 20, 15
 DISCOUNT = 0.75
 
 #: ASCII characters but letters and digits all count as a space.
@@ -47,54 +46,20 @@ def _grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram, starts
 
 
-def _bucket(key: np.ndarray, bits: int, salt: int) -> np.ndarray:
-    return (mix(key + np.uint64(salt << 48)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-_ENTRY = np.dtype([("bucket", "<u4"), ("n0", "<u4"), ("n1", "<u4"), ("gram", "<u8")])
-
-
-def _entries(n: np.ndarray, gram: np.ndarray, first: int) -> np.ndarray:
-    used = np.flatnonzero(n.any(0))
-    out = np.empty(len(used), _ENTRY)
-    for name, x in zip(_ENTRY.names, (used + first, n[0][used], n[1][used], gram[used]), strict=True):
-        out[name] = x
-    return out
-
-
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """block, entries binary: of labelled (text, toxic), for each block of the gram table, each used bucket's gram and its count in either class.
-
-    Counted by task first, so that a task sends a gram once however often it met it, then by block.
-    """
+    """gram, n0, n1: of labelled (text, toxic), each gram and how often either class has it."""
 
-    def by_task(batches):
-        n, gram = np.zeros((2, 1 << GRAM_BITS), np.uint32), np.zeros(1 << GRAM_BITS, np.uint64)
+    def by_step(batches):
         for b in steps(batches):
             key, starts = _grams(b.column("text"))
-            at = _bucket(key, GRAM_BITS, 1)
-            toxic = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
-            for c in (0, 1):
-                n[c] += np.bincount(at[toxic == c], minlength=1 << GRAM_BITS).astype(np.uint32)
-            np.maximum.at(gram, at, key)  # of grams in one bucket the same stands for them in any order
-        out = _entries(n, gram, 0)
-        blocks, at = np.unique(out["bucket"] >> BLOCK_BITS, return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([x.tobytes() for x in np.split(out, at[1:])][: len(blocks)], pa.binary())], names=["block", "entries"])
-
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # one block's entries, some tasks' at a time
-        n, gram = np.zeros((2, 1 << BLOCK_BITS), np.uint32), np.zeros(1 << BLOCK_BITS, np.uint64)
-        block = 0
-        for b in batches:
-            for block, raw in zip(b.column("block").to_pylist(), b.column("entries").to_pylist(), strict=True):
-                x = np.frombuffer(raw, _ENTRY)
-                i = x["bucket"] & np.uint32((1 << BLOCK_BITS) - 1)
-                n[0][i] += x["n0"]
-                n[1][i] += x["n1"]
-                gram[i] = np.maximum(gram[i], x["gram"])
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_entries(n, gram, block << BLOCK_BITS).tobytes()], pa.binary())], names=["block", "entries"])
-
-    kind = "block bigint, entries binary"
-    return labelled.select("text", "toxic").mapInArrow(by_task, kind).groupBy("block").applyInArrow(by_block, kind)
+            toxic = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(starts))
+            both, n = np.unique(key << np.uint64(1) | toxic, return_counts=True)
+            one = both & np.uint64(1)
+            columns = [(both >> np.uint64(1)).astype(np.int64), np.where(one == 0, n, 0), np.where(one == 1, n, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["gram", "n0", "n1"])
+
+    found = labelled.select("text", "toxic").mapInArrow(by_step, "gram bigint, n0 bigint, n1 bigint")
+    return found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _tail(gram: np.ndarray, m: int) -> np.ndarray:
@@ -102,56 +67,79 @@ def _tail(gram: np.ndarray, m: int) -> np.ndarray:
 
 
 _ONE_BYTE = np.uint64(8)
+_FREE = np.uint64((1 << 64) - 1)  # no gram: these have ORDER bytes
+
+
+class Table:
+    """A number for each of some different grams; a place by hash, or the next free one. Twice to four times as many places as grams."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray):
+        self.bits = max(1, (2 * len(gram)).bit_length())
+        home = self._home(gram)
+        order = np.argsort(home, kind="stable")
+        n = np.arange(len(gram))
+        at = np.maximum.accumulate(home[order] - n) + n if len(gram) else home
+        size = max(1 << self.bits, int(at[-1]) + 1 if len(gram) else 0) + 1
+        self.gram, self.value = np.full(size, _FREE, np.uint64), np.zeros(size, np.float32)
+        self.gram[at], self.value[at] = gram[order], value[order]
+
+    def _home(self, gram: np.ndarray) -> np.ndarray:
+        return (mix(gram) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each gram (0 where there is none), and whether there is one."""
+        at = self._home(gram)
+        here = self.gram[at]
+        todo = np.flatnonzero((here != gram) & (here != _FREE))
+        while len(todo):
+            at[todo] += 1
+            here = self.gram[at[todo]]
+            todo = todo[(here != gram[todo]) & (here != _FREE)]
+        return self.value[at], self.gram[at] == gram
 
 
 def _discounted(context: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context bucket 1 / its count (0: none), and the part that the discounts of its grams leave to lower orders."""
+    """For each context 1 / its count (0: none), and the part that the discounts of its grams leave to lower orders."""
     total, kinds = np.bincount(context, counts, size), np.bincount(context, counts > 0, size)
     share = np.divide(1, total, out=np.zeros(size), where=total > 0)
-    return share.astype(np.float32), np.where(total > 0, DISCOUNT * kinds * share, 1).astype(np.float32)
+    return share, np.where(total > 0, DISCOUNT * kinds * share, 1)
 
 
 @dataclass
 class Model:
     """Log of toxic over ordinary probability from gram counts, and the logistic function on top."""
 
-    top: np.ndarray  # by class and gram bucket: count less the discount
-    share: np.ndarray  # by class and context bucket
-    rest: np.ndarray
-    low: np.ndarray  # continuation counts of the shared order ORDER - 1, less the discount
-    low_share: np.ndarray
-    low_rest: np.ndarray
-    two: np.ndarray  # shared probability of a byte after one other, by both
+    seen: Table  # difference of each gram that a class has
+    unseen: Table  # by context, of its other grams: both classes back off to the same probability
     weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 1.0, -4.0]))  # of the text, of the passage, of the word, constant
 
     @classmethod
-    def of(cls, entries: np.ndarray) -> Model:
-        size, gram = 1 << CONTEXT_BITS, entries["gram"]
-        top, share, rest = np.zeros((2, 1 << GRAM_BITS), np.float32), np.zeros((2, size), np.float32), np.ones((2, size), np.float32)
-        context = _bucket(gram >> _ONE_BYTE, CONTEXT_BITS, 2)
-        for c, name in enumerate(("n0", "n1")):
-            n = entries[name].astype(np.float64)
-            top[c][entries["bucket"]] = np.maximum(n - DISCOUNT, 0)
-            share[c], rest[c] = _discounted(context, n, size)
-
-        def continuation(m: int, bits: int, salt: int):  # how many different grams end with each of m bytes
-            end, n = np.unique(_tail(gram, m), return_counts=True)
-            low = np.zeros(1 << bits, np.float32)
-            np.add.at(low, _bucket(end, bits, salt) if bits > 16 else end.astype(np.int64), np.maximum(n - DISCOUNT, 0).astype(np.float32))
-            before = end >> _ONE_BYTE
-            return low, *_discounted(_bucket(before, CONTEXT_BITS, salt + 1) if m > 2 else before.astype(np.int64), n.astype(float), size if m > 2 else 256)
-
-        pairs, pair_share, pair_rest = continuation(2, 16, 0)
-        before = np.arange(1 << 16) >> 8
-        two = pairs * pair_share[before] + pair_rest[before] / 128
-        return cls(top, share, rest, *continuation(ORDER - 1, CONTEXT_BITS, 3), two)
+    def of(cls, gram: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> Model:
+        """From the different grams, in any order, and how often either class has them."""
+
+        def continuation(m: int):  # for each gram, by how many different grams end with its last m bytes: discounted share of their context, and what that leaves
+            end, at, n = np.unique(_tail(gram, m), return_inverse=True, return_counts=True)
+            before, context = np.unique(end >> _ONE_BYTE, return_inverse=True)
+            share, rest = _discounted(context, n.astype(float), len(before))
+            return ((n - DISCOUNT) * share[context])[at], rest[context][at]
+
+        two, two_rest = continuation(2)
+        low, low_rest = continuation(ORDER - 1)
+        low = np.maximum(low + low_rest * (two + two_rest / 128), 1e-9)
+        contexts, context = np.unique(gram >> _ONE_BYTE, return_inverse=True)
+        each, rests = [], []
+        for n in counts:
+            share, rest = _discounted(context, n.astype(float), len(contexts))
+            each.append(np.log(np.maximum(n - DISCOUNT, 0) * share[context] + rest[context] * low))
+            rests.append(np.log(rest))
+        return cls(Table(gram, each[1] - each[0]), Table(contexts, rests[1] - rests[0]))
 
     def differences(self, gram: np.ndarray) -> np.ndarray:
         """Log of the toxic over the ordinary probability of each gram's last byte."""
-        at, context, before = _bucket(gram, GRAM_BITS, 1), _bucket(gram >> _ONE_BYTE, CONTEXT_BITS, 2), _bucket(_tail(gram, ORDER - 1) >> _ONE_BYTE, CONTEXT_BITS, 4)
-        low = self.low[_bucket(_tail(gram, ORDER - 1), CONTEXT_BITS, 3)] * self.low_share[before] + self.low_rest[before] * self.two[_tail(gram, 2).astype(np.int64)]
-        low = np.maximum(low, np.float32(1e-9))
-        return np.log(self.top[1][at] * self.share[1][context] + self.rest[1][context] * low) - np.log(self.top[0][at] * self.share[0][context] + self.rest[0][context] * low)
+        out, known = self.seen.get(gram)
+        new = np.flatnonzero(~known)
+        out[new] = self.unseen.get(gram[new] >> _ONE_BYTE)[0]
+        return out
 
     def inputs(self, col: pa.Array) -> np.ndarray:
         """For each text: its difference by byte, the largest by byte of any passage of PASSAGE bytes (or of all, if shorter), the largest of a word."""
@@ -203,16 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     """The model of labelled documents outside of fold 0: counts from folds 1 to 3, the logistic function from fold 4.
 
     Labels of several rows for a doc_id: the largest counts. Null labels and null doc_ids teach nothing. Without any
-    label the model is neutral. With more than max_labels labels, a part of that size is taken by a hash of doc_id.
+    label the model is neutral. Up to max_labels labels are broadcast, more are joined by a shuffle.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    n = known.count()
-    if n > max_labels:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * 0.99 * max_labels / n))
+    small = known.count() <= max_labels
     known = known.where(fold(F.col("doc_id")) != 0)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id").withColumn("fold", fold(F.col("doc_id")))  # at most max_labels
-    found = gram_counts(rows.where("fold < 4")).toArrow()  # at most 2**GRAM_BITS entries
-    model = Model.of(np.concatenate([np.frombuffer(x, _ENTRY) for x in found.column("entries").to_pylist()] or [np.empty(0, _ENTRY)]))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known) if small else known, "doc_id").withColumn("fold", fold(F.col("doc_id")))
+    found = gram_counts(rows.where("fold < 4")).toArrow()  # the different grams
+    model = Model.of(found["gram"].to_numpy().astype(np.uint64), (found["n0"].to_numpy(), found["n1"].to_numpy()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sample(batches):
@@ -220,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
             x = shared.value.inputs(b.column("text"))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), b.column("toxic")], names=["whole", "best", "word", "toxic"])
 
-    held = rows.where("fold = 4").select("text", "toxic").mapInArrow(sample, "whole double, best double, word double, toxic boolean").toArrow()  # at most max_labels rows
+    held = rows.where("fold = 4").select("text", "toxic").mapInArrow(sample, "whole double, best double, word double, toxic boolean").toArrow()  # a row for each labelled document of the fold
     if held.num_rows:
         x = np.stack([*(held[c].to_numpy() for c in ("whole", "best", "word")), np.ones(held.num_rows)], 1)
         model.calibrate(x, held["toxic"].to_numpy().astype(float))
