@@ -117,6 +117,40 @@ def test_packing_mixture():
     assert (np.abs(g[:, :first] - np.outer(s.phases[0][2], j[:first])) <= 1).all()
 
 
+def test_packing_keeps_a_queue_and_a_weight_for_each_of_many_sources(spark):
+    names = [f"s{k}" for k in range(200)]
+    rows = [(i, prose(i, 60), names[i % 200]) for i in range(600)]
+    weights = {n: 4.0 if k % 10 == 0 else 1.0 for k, n in enumerate(names)}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), JSON, tokenizers.PATTERN, weights=weights).collect()
+    totals, early, sizes = {}, {}, {}
+    for i, _, n in rows:
+        totals[n] = totals.get(n, 0) + next(r.doc_tokens for r in got if r.doc_id == i)
+    for i, _, _ in rows:
+        own = sorted((r.start, r.length) for r in got if r.doc_id == i)
+        assert [s for s, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) == next(r.doc_tokens for r in got if r.doc_id == i)
+    for r in got:
+        sizes.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        if r.sequence_id < 8:  # before any source runs dry
+            early[r.source] = early.get(r.source, 0) + r.length
+    assert all(sorted(x)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:])) for x in sizes.values())
+    rate = 1024 / sum(weights.values())
+    assert all(8 * weights[n] * rate < totals[n] and abs(early[n] - 8 * weights[n] * rate) <= weights[n] * rate + 1 for n in names)  # a sequence may end within a window
+
+
+def test_packing_schedule_of_many_queues():
+    r = np.random.default_rng(2)
+    s = packing.Schedule(r.integers(1, 500, 3000).tolist(), (10.0 ** r.integers(-3, 3, 3000)).tolist(), 64)
+    queue = r.integers(0, 3000, 5000)
+    token = (r.random(5000) * s.totals[queue]).astype(int)
+    j = s.window_of(queue, token)
+    assert ((s.given_by(queue, j) <= token) & (s.given_by(queue, j + 1) > token)).all()
+    assert s.given(np.array([0, s.windows])).T.tolist() == [[0] * 3000, s.totals.tolist()]
+    small = packing.Schedule([50, 7, 90], [1.0, 5.0, 0.0], 16)
+    docs = [(q, k) for q, n in enumerate([50, 7, 90]) for k in range(n)]
+    doc, _, size, number, offset = small.pieces(*(np.array(x) for x in zip(*docs)), np.ones(len(docs), int))
+    assert sorted((number * 16 + offset)[number < 9].tolist()) == list(range(144)) and size.tolist() == [1] * 147
+
+
 def test_embedding_near_duplicates(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(60, 24))

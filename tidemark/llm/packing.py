@@ -2,9 +2,10 @@
 
 Each source is a queue of documents. Deficit round-robin fills window after window: every window credits a queue with
 its share of the window's tokens, the queue gives out the whole tokens that its credit covers, and the fraction stays as
-its deficit for the next window. The credit before window j is j * rate, so any task finds any window's state, deficits
-included, from j alone: partitions carry them over without talking to each other. When a queue runs dry, the others
-share its part from the next window on. The windows' tokens, one after the other, are cut into sequences of `length`;
+its deficit for the next window. The credit of a queue before window j is its weight times a virtual time that all queues
+share, so any task finds any window's state, deficits included, from j alone: partitions carry them over without talking
+to each other. When a queue runs dry, the others share its part from the next window on: virtual time goes faster. Only
+the windows where that happens are kept, and totals and weights by queue, so a schedule is as large as the list of sources. The windows' tokens, one after the other, are cut into sequences of `length`;
 what remains at the end goes to sequences whose lengths are powers of two, so that nothing is padded.
 """
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .common import row_key, steps, texts_of, written
 
-#: More sources than this share this many queues, dealt by a hash of their names.
-MAX_QUEUES = 128
+#: Most cells of (queue, window) that are worked on at a time.
+CELLS = 1 << 21
 
 
 class Schedule:
@@ -31,49 +32,80 @@ class Schedule:
     def __init__(self, totals: list[int], weights: list[float], length: int):
         self.totals = np.array(totals, np.int64)
         self.length = length
-        self.phases: list[tuple[int, np.ndarray, np.ndarray]] = []  # first window, tokens given out before it, rates
-        first, given = 0, np.zeros(len(totals), np.int64)
-        while (given < self.totals).any():
-            w = np.where(given < self.totals, np.maximum(weights, 1e-12), 0.0)
-            rates = w / w.sum() * length
-            self.phases.append((first, given, rates))
-            live = given < self.totals
-            first += int(max(1, (np.floor((self.totals - given - 1)[live] / rates[live]) + 1).min()))
-            given = self.given(np.array([first]))[:, 0]
+        w = np.maximum(np.array(weights, np.float64), 1e-12)
+        self.weights = w / w.sum() * length if len(w) else w
+        dry = (self.totals - 1) / self.weights  # the last virtual time at which a queue has a token left
+        order = np.argsort(dry, kind="stable")
+        times, live = dry[order], np.cumsum(self.weights[order][::-1])[::-1]
+        first, time, k = 0, 0.0, int(np.searchsorted(times, 0.0))
+        firsts, starts, speeds = [], [], []
+        while k < len(times):
+            firsts.append(first)
+            starts.append(time)
+            speeds.append(length / live[k])
+            n = int(max(1, (times[k] - time) / speeds[-1] // 1 + 1))
+            first, time = first + n, time + n * speeds[-1]
+            k += int(np.searchsorted(times[k:], time))
+        self.firsts, self.starts, self.speeds = np.array(firsts, np.int64), np.array(starts), np.array(speeds)
         self.windows = first
         total = int(self.totals.sum())
         self.full, rest = divmod(total, length)
         self.tail = np.cumsum([0, *(1 << i for i in reversed(range(rest.bit_length())) if rest >> i & 1)])
 
+    @property
+    def phases(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """First window, tokens given out before it and rates, between the windows where queues run dry; for a look at a small schedule."""
+        given = self.given(self.firsts).T
+        return [(int(f), g, np.where(g < self.totals, self.weights, 0.0) * v) for f, g, v in zip(self.firsts, given, self.speeds, strict=True)]
+
+    def time(self, windows: np.ndarray) -> np.ndarray:
+        """Virtual time before each of the windows."""
+        phase = np.searchsorted(self.firsts, windows, "right") - 1
+        return self.starts[phase] + (windows - self.firsts[phase]) * self.speeds[phase]
+
+    def given_by(self, queue: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Tokens given out by queue[i] before windows[i]. Queue and windows are broadcast against each other."""
+        total = self.totals[queue]
+        credit = np.ceil(np.minimum(self.weights[queue] * self.time(windows), total)).astype(np.int64)
+        return np.where(windows >= self.windows, total, np.minimum(credit, total))
+
     def given(self, windows: np.ndarray) -> np.ndarray:
         """Tokens given out by each queue (rows) before each of the windows (columns)."""
-        phase = np.searchsorted([p[0] for p in self.phases], windows, "right") - 1
-        first = np.array([p[0] for p in self.phases])[phase]
-        base, rate = (np.stack([p[i] for p in self.phases])[phase].T for i in (1, 2))
-        return np.minimum(base + np.ceil((windows - first) * rate).astype(np.int64), self.totals[:, None])
+        return self.given_by(np.arange(len(self.totals))[:, None], windows[None, :])
 
     def window_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The window that gives out each token, by its number in its queue."""
-        low, high = np.zeros(len(token), np.int64), np.full(len(token), self.windows, np.int64)
-        bases = np.stack([p[1] for p in self.phases])
-        for i, (first, base, rates) in enumerate(self.phases):  # a good guess, then bisection
-            here = (token >= base[queue]) & (token < (bases[i + 1] if i + 1 < len(bases) else self.totals)[queue])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                guess = first + np.nan_to_num(np.floor((token - base[queue]) / rates[queue]), posinf=0).astype(np.int64)
-            low = np.where(here, np.maximum(guess - 2, 0), low)
-            high = np.where(here, np.minimum(guess + 2, self.windows), high)
-        one = lambda j: self.given(j)[queue, np.arange(len(queue))]
+        at = token / self.weights[queue]
+        phase = np.searchsorted(self.starts, at, "right") - 1
+        guess = self.firsts[phase] + np.minimum((at - self.starts[phase]) / self.speeds[phase], self.windows).astype(np.int64)  # a good guess, then bisection
+        low, high = np.clip(guess - 2, 0, self.windows), np.minimum(guess + 2, self.windows)
         while True:  # low's window starts at or before the token, high's after it
-            wrong_low, wrong_high = one(low) > token, one(high) <= token
+            wrong_low, wrong_high = self.given_by(queue, low) > token, self.given_by(queue, high) <= token
             if not (wrong_low.any() or wrong_high.any()):
                 break
             low, high = np.where(wrong_low, np.maximum(low - 64, 0), low), np.where(wrong_high, np.minimum(high + 64, self.windows), high)
         while (high - low > 1).any():
             mid = (low + high) // 2
-            after = one(mid) > token
+            after = self.given_by(queue, mid) > token
             low, high = np.where(after, low, mid), np.where(after, mid, high)
         return low
 
+    def leads(self, queue: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Tokens before queue[i]'s part of windows[i]: of all windows before, and of lower queues in it. By blocks of windows."""
+        out = np.empty(len(queue), np.int64)
+        order = np.argsort(windows, kind="stable")
+        every, begins = np.unique(windows[order], return_index=True)
+        begins = np.append(begins, len(order))
+        block = max(1, CELLS // max(1, len(self.totals)))
+        for k in range(0, len(every), block):
+            some = every[k : k + block]
+            mine = order[begins[k] : begins[k + len(some)]]
+            before = self.given(some)
+            taken = self.given(some + 1) - before
+            lead = before.sum(0) + np.cumsum(taken, 0) - taken
+            out[mine] = lead[queue[mine], np.searchsorted(some, windows[mine])]
+        return out
+
     def sequence(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number, first position and end of the sequence that holds each position."""
         number = position // self.length
@@ -92,14 +124,11 @@ class Schedule:
         count = last - first + 1
         doc = np.repeat(np.arange(len(n)), count)
         window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[doc]
-        every, inverse = np.unique(window, return_inverse=True)
-        before, after = self.given(every), self.given(every + 1)
-        taken = after - before
-        lead = before.sum(0) + np.cumsum(taken, 0) - taken  # where each queue's part of each window begins
         q = queue[doc]
-        low = np.maximum(at[doc], before[q, inverse])
-        size = np.minimum((at + n)[doc], after[q, inverse]) - low
-        place = lead[q, inverse] + low - before[q, inverse]
+        before, after = self.given_by(q, window), self.given_by(q, window + 1)
+        low = np.maximum(at[doc], before)
+        size = np.minimum((at + n)[doc], after) - low
+        place = self.leads(q, window) + low - before
         start = low - at[doc]
         out = []
         while True:
@@ -143,20 +172,17 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: i
     tokens = written(tokens_of(docs, path, pattern, end_id, source), "tokens")
     spark = docs.sparkSession
     rows = tokens.count()
-    sources = sorted(r[0] for r in tokens.select("source").distinct().limit(MAX_QUEUES + 1).collect())
-    if len(sources) > MAX_QUEUES:
-        tokens = tokens.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int"))
-    else:
-        tokens = tokens.withColumn("queue", F.coalesce(*(F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(sources)), F.lit(0)))
+    sources = sorted(r[0] for r in tokens.select("source").distinct().collect())  # a name for each source
+    queues = pa.table({"source": pa.array(sources, pa.string()), "queue": pa.array(range(len(sources)), pa.int32())})
+    tokens = tokens.join(F.broadcast(spark.createDataFrame(queues)), "source")
     # a queue's documents in about sqrt(rows) buckets: neither a bucket nor the list of buckets gets large
     tokens = tokens.withColumn("bucket", F.pmod("k1", F.lit(math.isqrt(rows) + 1)).cast("int"))
     sums = tokens.groupBy("queue", "bucket").agg(F.sum("n").alias("sum"))
     before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
     totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("sum")).collect()}  # one row per queue
-    queues = range(MAX_QUEUES if len(sources) > MAX_QUEUES else len(sources))
-    share = [totals.get(q, 0) if weights is None else weights.get(sources[q], 0.0) if len(sources) <= MAX_QUEUES else 1.0 for q in queues]
-    schedule = Schedule([totals.get(q, 0) for q in queues], share, length) if rows else None
+    share = [totals[q] if weights is None else weights.get(name, 0.0) for q, name in enumerate(sources)]
+    schedule = Schedule([totals[q] for q in range(len(sources))], share, length) if rows else None
     order = Window.partitionBy("queue", "bucket").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     laid = tokens.join(bases, ["queue", "bucket"]).select("doc_id", "source", "queue", (F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0))).alias("at"), "n", "ids")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
