@@ -84,6 +84,29 @@ def test_line_dedup_extends_over_short_lines(spark):
     assert {r.doc_id: r.removed for r in linededup.report(rows).collect()} == {1: "", 2: "0,1,2"}
 
 
+def test_line_dedup_takes_tails_from_any_earlier_place(spark):
+    a = "one two three four five six seven eight\n"
+    rows = spark.createDataFrame([(1, a + "foo"), (2, a + "end"), (3, a + "end"), (4, "so\n" + a + "end\nof it\nx"), (5, a + "end\nof it")], "doc_id bigint, text string")
+    assert {r.doc_id: r.removed for r in linededup.report(rows).collect()} == {1: "", 2: "0", 3: "0,1", 4: "1,2", 5: "0,1,2"}
+
+
+def test_line_dedup_of_many_tails(spark):
+    """Every run of lines with enough words, by brute force."""
+    r = np.random.default_rng(8)
+    kinds = [prose(50, 9), prose(51, 5), "a b", "c", "d e f", "g"]
+    texts = [(i, "\n".join(kinds[k] for k in r.choice(6, r.integers(1, 9), p=[0.3, 0.2, 0.15, 0.15, 0.1, 0.1]))) for i in range(60)]
+    seen, want = set(), {}
+    for i, t in texts:
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):  # a place is earlier by its first line, in its own document too
+            runs = [tuple(lines[a:b]) for b in range(a + 1, len(lines) + 1) if len(" ".join(lines[a:b]).split()) >= 8]
+            for run in runs:
+                gone |= set(range(a, a + len(run))) if run in seen else set()
+            seen.update(runs)
+        want[i] = ",".join(map(str, sorted(gone)))
+    assert {r.doc_id: r.removed for r in linededup.report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()} == want
+
+
 @pytest.mark.parametrize("length", [16, 1024])
 def test_packing(docs, length):
     t = Tokenizer.from_file(JSON)

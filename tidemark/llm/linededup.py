@@ -3,9 +3,10 @@
 A document is the sequence of its lines that aren't blank. A window is the shortest run of lines from some line on that
 holds at least `least_words` words, so a long line is a window by itself. Each window selects its line of least hash as a
 fingerprint; a run that two places share holds the same windows in both, and so the same fingerprints: none can be
-missed. Only positions whose fingerprint also occurs elsewhere go on. They are joined with the first place of the same
-window, matches are extended both ways over lines too short to make a window of their own, and what repeats an earlier
-run is deleted.
+missed. Lines at a run's end that are too short for a window of their own follow its last window: so each window is also
+taken with one, two and more of the lines after it, as long as these hold fewer than `least_words` words. Only positions
+whose fingerprint also occurs elsewhere go on. Each of their runs is joined with the first place of the same run, and
+what repeats an earlier run is deleted.
 """
 
 from __future__ import annotations
@@ -50,36 +51,31 @@ def _windows(col: pa.Array, least: int) -> dict[str, object]:
     s = np.flatnonzero(last < end[row])
     e = last[s]
     doc = row[s]
+    flat, at = _ranges(s, e - s + 1)
+    least_hash = np.minimum.reduceat(h[flat], at[:-1]) if len(s) else np.empty(0, np.uint64)
+    # with each of the lines after the window, fewer than `least` words in all: longer runs end with windows of their own
+    after = np.minimum(np.searchsorted(upto, upto[e] + least) - e - 1, end[doc] - e - 1)
+    e, _ = _ranges(e, after + 1)
+    s, doc, least_hash = (np.repeat(x, after + 1) for x in (s, doc, least_hash))
     up, down = powers(n + 1)
     two = []
     for salt in (0x51, 0xA7):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)) * up[:n])])
         two.append(mix((sums[e + 1] - sums[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64))
-    flat, at = _ranges(s, e - s + 1)
-    least_hash = np.minimum.reduceat(h[flat], at[:-1]) if len(s) else np.empty(0, np.uint64)
-    # lines around the window, fewer than `least` words on either side: longer matches there have windows of their own
-    right, r_at = _ranges(e + 1, np.minimum(np.searchsorted(upto, upto[e] + least) - e - 1, end[doc] - e - 1))
-    low = np.maximum(np.searchsorted(upto, (upto - words)[s] - least, "right") + 0, begin[doc])
-    low = np.where((upto - words)[low] <= (upto - words)[s] - least, low + 1, low)
-    left, l_at = _ranges(low, np.maximum(s - low, 0))
-    lists = lambda x, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[x].view(np.int64)))
-    return {
-        "doc": doc, "first": (s - begin[doc]).astype(np.int32), "last": (e - begin[doc]).astype(np.int32), "fingerprint": least_hash.view(np.int64), "w1": two[0], "w2": two[1],
-        "left": lists(left, l_at), "right": lists(right, r_at),
-    }
+    return {"doc": doc, "first": (s - begin[doc]).astype(np.int32), "last": (e - begin[doc]).astype(np.int32), "fingerprint": least_hash.view(np.int64), "w1": two[0], "w2": two[1]}
 
 
 def windows(texts: DataFrame, least_words: int) -> DataFrame:
-    """A row for each window of texts (k1, k2, doc_id, text): its lines (first, last), fingerprint, content hash and surroundings."""
+    """A row for each window of texts (k1, k2, doc_id, text), alone and with the short lines after it: lines (first, last), the window's fingerprint, content hash."""
 
     def run(batches):
         for b in steps(batches):
             w = _windows(b.column("text"), least_words)
             pick = pa.array(w.pop("doc"))
             keys = [b.column(c).take(pick) for c in ("doc_id", "k1", "k2")]
-            yield pa.RecordBatch.from_arrays([*keys, *(x if isinstance(x, pa.Array) else pa.array(x) for x in w.values())], names=["doc_id", "k1", "k2", *w])
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, w.values())], names=["doc_id", "k1", "k2", *w])
 
-    return texts.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, first int, last int, fingerprint bigint, w1 bigint, w2 bigint, left array<bigint>, right array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, first int, last int, fingerprint bigint, w1 bigint, w2 bigint")
 
 
 def repeated_runs(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -90,16 +86,12 @@ def repeated_runs(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     shared = seen.join(marks, "fingerprint")
     firsts = (
         shared.groupBy("fingerprint", "w1", "w2")
-        .agg(F.min(F.struct(*(place[c].alias(c) for c in ("doc_id", "k1", "k2", "first")), "left", "right")).alias("origin"), F.count("*").alias("n"))
+        .agg(F.min(place).alias("origin"), F.count("*").alias("n"))
         .where("n > 1")
         .drop("n")
     )
-    pairs = shared.join(firsts, ["fingerprint", "w1", "w2"]).where((place != F.struct("origin.doc_id", "origin.k1", "origin.k2", "origin.first")))
-    same = lambda side: f"zip_with({side}, origin.{side}, (x, y) -> coalesce(x = y, false))"
-    reach = lambda side: F.expr(f"CASE array_position({same(side)}, false) WHEN 0 THEN size({side}) ELSE array_position({same(side)}, false) - 1 END").cast("int")
-    back = pairs.withColumn("left", F.reverse("left")).withColumn("origin", F.col("origin").withField("left", F.reverse("origin.left")))  # nearest line first
-    found = back.select("k1", "k2", F.struct((F.col("first") - reach("left")).alias("first"), (F.col("last") + reach("right")).alias("last")).alias("run"))
-    return found.groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("run")).alias("runs"))
+    found = shared.join(firsts, ["fingerprint", "w1", "w2"]).where(place != F.col("origin"))
+    return found.groupBy("k1", "k2").agg(F.array_distinct(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def kept_text(text: str, runs: list[dict]) -> tuple[str, list[int]]:
