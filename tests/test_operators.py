@@ -214,3 +214,14 @@ def test_bootstrap_brackets_the_mean(spark):
     df = frame(spark, [(f"e{i}", "f", float(i % 10)) for i in range(300)], "event_id string, family string, v double")
     r = ev.bootstrap_ci(df, "v", ["family"]).first()
     assert r.ci_low < 4.5 < r.ci_high and r.ci_high - r.ci_low < 1.5
+
+
+def test_trees_predict_the_test_dates_of_every_fold(spark):
+    from tidemark.operators import modeling
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(35)]
+    df = spark.createDataFrame([(x, s, float((k * 7 + s * 3) % 11), float((k * 7 + s * 3) % 11 > 5)) for k, x in enumerate(days) for s in range(4)], "date date, symbol int, f double, y double").persist()
+    folds = validation.walk_forward_folds(df, 15, 10)
+    got = modeling.walk_forward_trees(df, folds, ["f"], "y", rounds=1, depth=1).collect()
+    assert folds.count() == 2 and sorted((r.date, r.symbol) for r in got) == [(x, s) for x in days[15:] for s in range(4)]
+    assert all((r.prediction > 0.5) == (r.y > 0.5) for r in got)

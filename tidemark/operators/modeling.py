@@ -43,6 +43,15 @@ def predictions(model, df: DataFrame, features: list[str]) -> DataFrame:
     return model.transform(panel.clean_matrix(df, features)).drop("_features")
 
 
+def walk_forward_trees(df: DataFrame, folds: DataFrame, features: list[str], label: str, weight: str | None = None, rounds: int = 20, depth: int = 3) -> DataFrame:
+    """MOD-10: trees fitted anew for each fold up to its train_end; df on all test dates with prediction. Folds are few rows."""
+    out = df.where("false").withColumn("prediction", F.lit(None).cast("double"))
+    for f in folds.orderBy("fold").collect():
+        model = boosted_trees(df.where(F.col("date") <= f["train_end"]), features, label, weight, rounds, depth)
+        out = out.unionByName(predictions(model, df.where(F.col("date").between(f["test_start"], f["test_end"])), features))
+    return out
+
+
 def eligible_date(dates: DataFrame, weekday: int = 4) -> DataFrame:
     """SRT-05: the latest date on that weekday (Monday 0), else the latest of all. One row."""
     return dates.agg(F.coalesce(F.max(F.when(F.weekday("date") == weekday, F.col("date"))), F.max("date")).alias("date"))
