@@ -225,3 +225,9 @@ def test_trees_predict_the_test_dates_of_every_fold(spark):
     got = modeling.walk_forward_trees(df, folds, ["f"], "y", rounds=1, depth=1).collect()
     assert folds.count() == 2 and sorted((r.date, r.symbol) for r in got) == [(x, s) for x in days[15:] for s in range(4)]
     assert all((r.prediction > 0.5) == (r.y > 0.5) for r in got)
+
+
+def test_bootstrap_draws_as_often_as_the_study(spark):
+    df = frame(spark, [(f"e{i}", "f", float(i % 10)) for i in range(40)], "event_id string, family string, v double")
+    assert ev.bootstrap_ci(df, "v", ["family"]).collect() == ev.bootstrap_ci(df, "v", ["family"], iterations=1000).collect()
+    assert ev.bootstrap_ci(df, "v", ["family"]).collect() != ev.bootstrap_ci(df, "v", ["family"], iterations=200).collect()

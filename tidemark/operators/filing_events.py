@@ -111,7 +111,7 @@ def study_summary(labels: DataFrame, metric: str, by: list[str]) -> DataFrame:
     )
 
 
-def bootstrap_ci(labels: DataFrame, metric: str, by: list[str], iterations: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_ci(labels: DataFrame, metric: str, by: list[str], iterations: int = 1000, seed: int = 7) -> DataFrame:
     """AGG-10: 95% interval of the group mean by a Poisson bootstrap with hashed weights: one aggregation by (group, iteration)."""
     u = (F.xxhash64(F.lit(seed), "event_id", "_i").bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("_u")
     draws = F.aggregate(F.array(*(F.lit(p) for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676))), F.lit(0), lambda a, p: a + F.when(F.col("_u") > p, 1).otherwise(0))
