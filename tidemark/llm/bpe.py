@@ -13,88 +13,149 @@ import functools
 import hashlib
 import json
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, steps, texts_of
+from .common import as_bytes, row_key, steps, texts_of
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
-#: Entries of a worker's memory of encoded pieces; it is emptied when full.
-CACHE_ENTRIES = 500_000
+#: Bytes of encoded pieces and their ids that a worker remembers; beyond them it starts anew.
+CACHE_BYTES = 96 << 20
+#: Most pieces that are put together in one step.
+PIECES_AT_ONCE = 1 << 20
+#: Bytes of text of a step.
+TEXT_STEP = 4 << 20
 
-_two_spaces = re.compile(r"\s\s")
-_before_space = re.compile(r"(?<=\S)(?= )")
+_WHITE, _LETTER, _MARK = np.zeros((3, 256), bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER[[i for i in range(128) if chr(i).isalpha()]] = True
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to rank, from a .tiktoken rank file or from the vocabulary of a byte-level tokenizers .json file."""
+def read_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes to rank, from a .tiktoken rank file or from the vocabulary of a byte-level tokenizers .json file; and the latter's added tokens."""
     if not path.endswith(".json"):
         with open(path, "rb") as f:
-            return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, {}
     # byte-level vocabularies write a byte that is no printable Latin-1 character as chr(256 + how many such came before)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
-    special = {x["content"] for x in held.get("added_tokens", [])}
-    return {bytes(back[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
+    added = {x["content"]: x["id"] for x in held.get("added_tokens", [])}
+    return {bytes(back[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in added}, added
 
 
-class Encoder:
-    """Ids of texts.
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where texts (UTF-8 bytes, row starts) can be cut so that their pieces, encoded apart, give the same ids.
 
-    A space after a character that isn't white space always begins a pre-token, so the stretches between such spaces can
-    be encoded apart. Most have been seen before; the new ones of many texts are encoded in one go, as one text.
+    White space after a character that isn't white space always begins a pre-token, and so does an ASCII mark after an
+    ASCII letter.
     """
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (_WHITE[data[1:]] & (data[:-1] > 32)) | (_LETTER[data[:-1]] & _MARK[data[1:]])
+    some = np.flatnonzero(cut[1:] & (data[:-1] >= 128)) + 1  # the character before may be white space of two or three bytes: no cut after any that begins like one
+    cut[some[(data[some - 2] == 0xC2) | ((data[some - 3] >= 0xE1) & (data[some - 3] <= 0xE3) & (some >= 3))]] = False
+    cut[starts[:-1][np.diff(starts) > 0]] = True
+    return np.flatnonzero(cut)
+
+
+def binary(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """data cut at the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+class Encoder:
+    """Ids of texts. A column's different pieces are looked up; those not seen before are encoded in one go, as one text."""
 
     def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
+        ranks, self.added = read_ranks(path)
         self.engine = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.ints = list(range(max(ranks.values()) + 1))
-        self.tokens = {i: t for t, i in ranks.items()}
-        self.sizes = np.zeros(len(self.ints), np.int64)
-        self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.size = max([*ranks.values(), *self.added.values()]) + 1
+        back = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.tokens = pa.array([back.get(i, b"") for i in range(self.size)], pa.binary())
+        self.sizes = np.diff(np.frombuffer(self.tokens.buffers()[1], np.int32)[: self.size + 1]).astype(np.int64)
         self.pattern = regex.compile(pattern)
-        self.seen: dict[str, tuple[int, ...]] = {}  # piece without its leading space: ids of " " + piece
-
-    def _learn(self, pieces: set[str]) -> None:
-        whole = [p for p in pieces if p and not p[-1].isspace()]  # what follows a piece can't change how it is cut
-        ids = np.array(self.engine.encode_ordinary("".join([" " + p for p in whole])), np.int64)
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) + 1 for p in whole])) + 1
-        shared = list(map(self.ints.__getitem__, ids.tolist()))  # the same int objects in all tuples
-        self.seen.update(zip(whole, (tuple(shared[x:y]) for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True) if whole else ())
-        self.seen.update((p, tuple(self.engine.encode_ordinary(" " + p))) for p in pieces.difference(self.seen))
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        heads, rests = [], []
-        for text in texts:
-            if _two_spaces.search(text):  # rare: only spaces after other characters than white space may cut
-                first, *rest = _before_space.split(text)
-                rest = [x[1:] for x in rest]
-            else:
-                first, *rest = text.split(" ")
-            heads.append(self.engine.encode_ordinary(first))
-            rests.append(rest)
-        every = set(chain.from_iterable(rests))
-        new = every.difference(self.seen)
-        if len(self.seen) + len(new) > CACHE_ENTRIES:
-            self.seen.clear()
-            new = every
-        self._learn(new)
-        return [np.fromiter(chain(head, chain.from_iterable(map(self.seen.__getitem__, rest))), np.uint32) for head, rest in zip(heads, rests, strict=True)]
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.known, self.held = pa.array([], pa.binary()), 0  # ids of each piece, 32 bits each
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """What follows a piece can't change how it is cut if it ends with another character than white space; others are encoded alone."""
+        white = b" \t\n\v\f\r"
+        order = [i for i, p in enumerate(pieces) if p[0] in white and (p[-1] > 32 if p[-1] < 128 else not p.decode()[-1].isspace())]
+        ids = np.array(self.engine.encode_ordinary(b"".join([pieces[i] for i in order]).decode()), np.int64)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(pieces[i]) for i in order])) + 1 if order else np.empty(0, np.int64)
+        alone = np.setdiff1d(np.arange(len(pieces)), order).tolist()
+        single = [np.array(self.engine.encode_ordinary(pieces[i].decode()), "<u4") for i in alone]
+        flat, sizes = np.concatenate([ids.astype("<u4"), *single]), np.concatenate([np.diff(ends, prepend=0), [len(x) for x in single]]).astype(np.int64)
+        known = len(self.known)
+        self.known = pa.concat_arrays([self.known, binary(flat, np.concatenate([[0], np.cumsum(sizes)]) * 4)])
+        self.number.update((pieces[i], known + k) for k, i in enumerate([*order, *alone]))
+        self.held += 4 * len(flat) + sum(map(len, pieces)) + 128 * len(pieces)
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        found = list(map(self.number.get, pieces))
+        if None in found:
+            if self.held > CACHE_BYTES:
+                self._forget()
+                found = [None] * len(pieces)
+            self._learn([p for p, f in zip(pieces, found, strict=True) if f is None])
+            found = list(map(self.number.__getitem__, pieces))
+        return np.array(found, np.int64)
+
+    def _plain(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, starts = as_bytes(col)
+        cut = piece_starts(data, starts)
+        offsets = np.append(cut, len(data))
+        flat, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for low in range(0, len(cut), PIECES_AT_ONCE):
+            some = offsets[low : low + PIECES_AT_ONCE + 1]
+            coded = binary(data[some[0] : some[-1]], some - some[0]).dictionary_encode()
+            number = self._numbers(coded.dictionary.to_pylist())
+            taken = self.known.take(pa.array(number[coded.indices.to_numpy()]))
+            ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+            flat.append(np.frombuffer(taken.buffers()[2], "<u4")[ends[0] // 4 : ends[-1] // 4])
+            counts.append(np.diff(ends) // 4)
+        ids, upto = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return ids, upto[np.searchsorted(cut, starts)]
+
+    def encode_column(self, col: pa.Array, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after the other, and where each row's begin (one more than rows). added: strings of added tokens are these tokens."""
+        if not (added and self.split and any(pc.any(pc.match_substring(col, t)).as_py() for t in self.added)):
+            return self._plain(col)
+        split = [self.split.split(t or "") for t in col.to_pylist()]
+        texts = [t for parts in split for t in parts[::2]]
+        ids, starts = self._plain(pa.array(texts, pa.string()))
+        last = np.cumsum([(len(parts) + 1) // 2 for parts in split])  # texts up to each row's end
+        gaps = np.setdiff1d(np.arange(len(texts)), last - 1)  # a token stands after each text but a row's last
+        ids = np.insert(ids, starts[gaps + 1], [self.added[t] for parts in split for t in parts[1::2]])
+        return ids, np.concatenate([[0], starts[last] + last - np.arange(1, len(last) + 1)])
+
+    def encode(self, text: str, added: bool = False) -> np.ndarray:
+        return self.encode_column(pa.array([text], pa.string()), added)[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        parts = self.tokens.take(pa.array(ids, pa.int64()))
+        ends = np.frombuffer(parts.buffers()[1], np.int32)
+        return parts.buffers()[2].to_pybytes()[ends[parts.offset] : ends[parts.offset + len(parts)]] if len(parts) else b""
+
+    def decode_column(self, col: pa.Array) -> pa.Array:
+        """Bytes of each row's ids (binary, 32 bits each)."""
+        data, starts = as_bytes(col)
+        ids = np.frombuffer(data, "<u4")
+        upto = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        return binary(self.decode(ids), upto[starts // 4])
 
     def boundaries(self, text: str) -> list[int]:
         return [m.end() for m in self.pattern.finditer(text)]
@@ -115,9 +176,9 @@ def _encoded(df: DataFrame, path: str, pattern: str, keep: list[str], schema: st
 
     def run(batches):
         e = encoder(path, pattern)
-        for b in steps(batches):
-            ids = pa.array([x.astype("<u4").tobytes() for x in e.encode_all(b.column("text").to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, "ids"])
+        for b in steps(batches, most=TEXT_STEP):
+            ids, starts = e.encode_column(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), binary(ids, starts * 4)], names=[*keep, "ids"])
 
     return df.select(*keep, "text").mapInArrow(run, schema + ", ids binary")
 
@@ -171,7 +232,15 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CH
     )
     coded = _encoded(pieces.unionByName(rejoined), path, pattern, [*key, "doc_id", "copies"], "k1 bigint, k2 bigint, chunk int, doc_id bigint, copies bigint")
     ids = coded.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    joined = ids.select("doc_id", F.expr("aggregate(parts, CAST('' AS binary), (a, x) -> a || x.ids)").alias("ids"), F.explode(F.expr("sequence(1, copies)")))
+
+    def join(batches):  # the parts of a row lie one after the other already
+        for b in batches:
+            data, starts = as_bytes(b.column("parts").flatten())
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("parts")).to_numpy())])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copies"), binary(data, starts[ends])], names=["doc_id", "copies", "ids"])
+
+    whole_ids = ids.select("doc_id", "copies", F.transform("parts", lambda x: x["ids"]).alias("parts")).mapInArrow(join, "doc_id bigint, copies bigint, ids binary")
+    joined = whole_ids.select("doc_id", "ids", F.explode(F.expr("sequence(1, copies)")))
     return short.unionByName(joined.select("doc_id", "ids"))
 
 
@@ -181,8 +250,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         e = encoder(path, pattern)
         for b in steps(batches, "ids"):
-            raw = pa.array([e.decode(np.frombuffer(x, "<u4")) for x in b.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), raw], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), e.decode_column(b.column("ids"))], names=["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
-from .common import row_key, steps, texts_of, written
+from .bpe import TEXT_STEP, binary, encoder
+from .common import as_bytes, row_key, steps, written
 
 #: Most cells of (queue, window) that are worked on at a time.
 CELLS = 1 << 21
@@ -150,12 +150,12 @@ def tokens_of(docs: DataFrame, path: str, pattern: str, end_id: int, source: str
 
     def run(batches):
         e = encoder(path, pattern)
-        kind = "<u2" if max(len(e.ints), end_id + 1) <= 1 << 16 else "<u4"
-        for b in steps(batches):
-            ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in e.encode_all(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["k1", "k2", "doc_id", "source", "n", "ids"]
-            )
+        kind = "<u2" if max(e.size, end_id + 1) <= 1 << 16 else "<u4"
+        for b in steps(batches, most=TEXT_STEP):
+            ids, starts = e.encode_column(b.column("text"), added=True)
+            raw = np.insert(ids, starts[1:], end_id).astype(kind)
+            starts = starts + np.arange(len(starts))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.diff(starts)), binary(raw, starts * raw.itemsize)], names=["k1", "k2", "doc_id", "source", "n", "ids"])
 
     return rows.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, source string, n bigint, ids binary")
 
@@ -164,7 +164,8 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: i
     """Packs every row of docs (doc_id, text, source) into sequences of `length` tokens; one row per piece.
 
     doc_id, start, length (which of its document's ids), ids_crc32, doc_tokens, sequence_id, offset, source. Every id lies
-    in exactly one piece; the ids of a document are those of its text and end_id. weights: target proportions of the
+    in exactly one piece; the ids of a document are those of its text, where a string of an added token of the vocabulary is
+    that token, and end_id. weights: target proportions of the
     sources, by default their shares of all tokens, so that all run dry together; sources without a weight have a very
     small one. Null text counts as empty (end_id alone), null source as "". Repeated rows are packed as often as they
     come. Within a source, documents are queued in a hashed order. An empty table gives no rows. Other columns are ignored.
@@ -191,8 +192,8 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: i
         for b in steps(batches, "ids"):
             queue, at, n = (b.column(c).to_numpy().astype(np.int64) for c in ("queue", "at", "n"))
             doc, start, size, number, offset = schedule.pieces(queue, at, n)
-            raw = b"".join(b.column("ids").to_pylist())
-            ids = memoryview(np.frombuffer(raw, f"<u{len(raw) // int(n.sum())}").astype("<u4").tobytes())
+            raw, _ = as_bytes(b.column("ids"))
+            ids = memoryview(raw.view(f"<u{len(raw) // int(n.sum())}").astype("<u4").tobytes())
             low = ((np.cumsum(n) - n)[doc] + start) * 4
             crc = [zlib.crc32(ids[x:y]) for x, y in zip(low.tolist(), (low + 4 * size).tolist(), strict=True)]
             pick = pa.array(doc)
