@@ -212,10 +212,27 @@ def test_top_k(spark):
 
 
 def test_top_k_prunes():
+    """Scores that a query computes: few in groups far apart, and under half among vectors without any structure."""
     r = np.random.default_rng(0)
-    x = np.concatenate([r.normal(c, 1, (500, 4)) for c in (0, 100, 1000)]).round().astype(np.int64)
-    *_, done = topk.best_of_block(np.array([-1]), np.array([[1000, 1000, 1000, 1000]]), np.arange(len(x)), x, 10, 16)
-    assert done < len(x)
+    for x, most in ((np.concatenate([r.normal(c, 1, (500, 4)) for c in (0, 100, 1000)]), 0.3), (1024 * r.normal(size=(4000, 64)) / 8, 0.5)):
+        x = x.round().astype(np.int64)
+        ids, basis = np.arange(len(x)), topk.pivots_of(x[:1000])
+        t = topk.entries(x, basis)
+        q = slice(0, len(x), 50)
+        number, vector, score, done = topk.best_of_block(ids[q], x[q], t[q], np.full(len(x[q]), -np.inf), ids, x, t, 10)
+        every = x[q] @ x.T
+        every[np.arange(len(every)), ids[q]] = every.min() - 1
+        want = [(i, -s, j) for i, row in enumerate(every) for s, j in sorted(zip(-row, ids.tolist()))[:10]]
+        assert sorted(zip(number.tolist(), (-score).tolist(), vector.tolist())) == sorted((i, -s, j) for i, s, j in want)
+        assert done < most * every.size
+
+
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    rows = [(100, [1.0, 2.0], "a"), (100, [1.0, 2.0], "b"), (100, [-1.0, 0.0], "c"), (1, [1e16, 1e300], "d"), (2, [3.0, 1.0], "e"), (2, [3.0, 1.0], "f"), (3, [0.0, -1e16], "g"), (None, [1.0, 1.0], "h")]
+    got = sorted(map(tuple, topk.report(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, q string")).collect()))
+    assert len(got) == 8 and [r[1] for r in got] == [1, 1, 2, 2, 3, 3, 4, 4]  # one query twice in the table, and another of its id
+    assert ((100, 1, 1, (1 << 63) - 1) in got) and ((100, 2, 2, 5 << 20) in got) and ((100, 3, 2, 5 << 20) in got) and ((100, 4, 3, -(1 << 63)) in got)
+    assert (100, 1, 3, 0) in got and (100, 2, 2, -(3 << 20)) in got and (100, 4, 1, -(1 << 63)) in got
 
 
 def test_chat_rotation(spark):
@@ -466,3 +483,25 @@ def test_pipeline(spark, tmp_path):
     assert 30 not in {r.doc_id for r in kept["jaccard_join"].collect()}
     assert "[assign]" in next(r.text for r in kept["secret_scan"].collect() if r.doc_id == 31)
     assert {r.doc_id for r in pipeline.run(spark, d).collect()} == {r.doc_id for r in kept["secret_scan"].collect()}
+
+
+@pytest.mark.parametrize("hot", [4, 1024])
+def test_suffix_dedup_splits_anchors_with_many_places(spark, monkeypatch, hot):
+    """A passage that most documents hold, its ends next to other words in each; in several shards, and with a merge of a few anchors at a time."""
+    p, q = prose(21, 30), prose(22, 25)
+    texts = [(k, prose(300 + k, 6) + p[k % 3 :] + prose(400 + k % 9, 8) + (q if k % 4 == 0 else q[: 60 + k % 5])) for k in range(60)] + [(70, p), (71, p), (None, p), (5, q * 3)]
+    monkeypatch.setattr(suffix, "HOT_PLACES", hot)
+    monkeypatch.setattr(suffix, "COUNTED", 2)
+    monkeypatch.setattr(suffix, "MERGED_BYTES", 200)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    before = spark.catalog.listTables()
+    out = suffix.repeated_strings(df, shard_bytes=2000)
+    gone = {}
+    for r in out.collect():
+        raw = bytearray(zlib.decompress(r.packed))
+        for a, b in np.frombuffer(r.removed, "<u4").reshape(-1, 2).tolist():
+            raw[a:b] = b"\xff" * (b - a)
+        gone[r.doc_id, zlib.decompress(r.packed)] = hashlib.sha256(bytes(x for x in raw if x != 255)).hexdigest()
+    want = {(int(i), sha) for i, *_, sha in brute_repeats(texts) if i != "None"}
+    assert {(i, sha) for (i, _), sha in gone.items()} <= want and len(gone) >= len(want) - 1  # 71 repeats 70 as a whole
+    assert spark.catalog.listTables() == before

@@ -1,10 +1,14 @@
 """Exact top-k search by inner product with a pivot table.
 
-Vectors are quantised to integers. A table holds every vector's distances to many pivots; by the triangle inequality the
-largest difference of two vectors' distances to a pivot is a lower bound of their own distance, and with their norms an
-upper bound of their inner product. A query evaluates candidates in the order of these bounds and stops for good when
-the next bound lies below its k-th best score. Queries and candidates are dealt in blocks, and a task compares one block
-of either; a query's best of each block are merged at the end.
+Vectors are quantised to integers. Pivots are chosen by spread from a bounded sample: each is the vector farthest from those
+before it. The table, built once and written, holds of every vector what its distances to all pivots determine: its
+coordinates in the space that the pivots span, and its distance from that space. Of all lower bounds that the triangle
+inequality and its relatives allow from these distances, the one of two vectors' entries is the largest (the distance of
+their nearest placements), and with their norms it is an upper bound of their inner product: the product of their entries.
+
+A query begins with the k-th best score of the sample, evaluates candidates in the order of their bounds and stops for
+good when the next bound lies below its k-th best score. Queries and candidates are dealt in blocks, and a task compares one
+block of either; a query's best of each block are merged at the end.
 """
 
 from __future__ import annotations
@@ -14,7 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, PIVOTS, AT_ONCE = 1024, 8192, 32, 256
+from .common import written
+
+#: Most vectors of a block; smaller blocks are made while there are fewer pairs of blocks than tasks at a time.
+QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCK = 16_384, 32_768, 2048
+#: Vectors that pivots are chosen from, pivots for each component, candidates that a query evaluates before it looks at the bounds again.
+SAMPLE, PIVOTS, AT_ONCE = 4096, 0.75, 256
+_LONGEST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -29,67 +39,129 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query, vector, score) of each query's k best among x without itself, ties to the smaller id; and how many scores were computed."""
-    exact = float(max(np.abs(q).max(), 1)) * float(max(np.abs(x).max(), 1)) * q.shape[1] < 2.0**53
-    order = np.argsort(xid, kind="stable")
-    xid, x = xid[order], x[order]
-    fq, fx = q.astype(np.float64), x.astype(np.float64)
-    nq, nx = (fq * fq).sum(1), (fx * fx).sum(1)
-    p = fx[np.linspace(0, len(x) - 1, min(pivots, len(x))).astype(int)]
-    table = lambda f, n: np.sqrt(np.maximum(n[:, None] + (p * p).sum(1) - 2 * f @ p.T, 0))
-    dq, dx = table(fq, nq), table(fx, nx).T.copy()
-    slack = 1e-6 * (nq.max() + nx.max() + 1)
-    out, done = [], 0
-    for i in range(len(q)):
-        far = np.zeros(len(x))
-        for j in range(len(p)):
-            np.maximum(far, np.abs(dx[j] - dq[i, j]), out=far)
-        bound = (nq[i] + nx - far * far) / 2 + slack
-        best_id, best = np.empty(0, xid.dtype), np.empty(0, np.int64 if exact else object)
-        rest = np.arange(len(x))
-        while len(rest):
-            if len(best) >= k:
-                rest = rest[bound[rest] >= best[k - 1]]
-            now = rest if len(rest) <= AT_ONCE else rest[np.argpartition(-bound[rest], AT_ONCE)[:AT_ONCE]]  # the largest bounds come next
-            if not len(now):
-                break
-            done += len(now)
-            # float64 sums of integers below 2**53 are exact
-            s = (fx[now] @ fq[i]).astype(np.int64) if exact else np.array([sum(int(a) * int(b) for a, b in zip(x[c], q[i], strict=True)) for c in now], object)
-            other = xid[now] != qid[i]
-            best_id, best = np.concatenate([best_id, xid[now][other]]), np.concatenate([best, s[other]])
-            top = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[top], best[top]
-            rest = np.setdiff1d(rest, now, assume_unique=True) if len(now) < len(rest) else rest[:0]
-        out.append((np.full(len(best), qid[i]), best_id, best))
-    a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-    return a, b, c, done
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def pivots_of(sample: np.ndarray, share: float = PIVOTS) -> np.ndarray:
+    """An orthonormal basis (columns) of the space of the pivots: share * components of them, at least one and at most as many as vectors."""
+    if not len(sample):
+        return np.zeros((sample.shape[1], 0))
+    x = sample.astype(np.float64)
+    chosen = [int(np.argmax((x * x).sum(1)))]
+    near = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(max(1, int(share * x.shape[1])), len(x)):
+        chosen.append(int(np.argmax(near)))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
+    p = x[chosen] / max(1.0, np.abs(x[chosen]).max())
+    u, size, _ = np.linalg.svd(p.T, full_matrices=False)
+    return u[:, size > 1e-9 * max(size[0], 1e-300)]
+
+
+def entries(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The table's entries of vectors: coordinates in the pivots' space, and the distance from it."""
+    f = x.astype(np.float64)
+    inside = f @ basis
+    return np.column_stack([inside, np.sqrt(np.maximum((f * f).sum(1) - (inside * inside).sum(1), 0))])
+
+
+def _scores(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products of a vector with several. float64 sums of integers below 2**53 are exact; others use Python's integers."""
+    return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if exact else np.array([sum(int(a) * int(b) for a, b in zip(y, q, strict=True)) for y in x], object)
+
+
+def _is_exact(q: np.ndarray, x: np.ndarray) -> bool:
+    largest = lambda m: float(np.abs(m.astype(np.float64)).max()) if m.size else 1.0
+    return max(largest(q), 1.0) * max(largest(x), 1.0) * q.shape[1] < 2.0**53
+
+
+def best_of_block(qid: np.ndarray, q: np.ndarray, tq: np.ndarray, least: np.ndarray, xid: np.ndarray, x: np.ndarray, tx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(number of the query, vector, score) of each query's k best among x without its own id, ties to the smaller id, that reach `least`; and how many scores were computed.
+
+    tq, tx: the table's entries.
+    """
+    exact = _is_exact(q, x)
+    slack = 1e-9 * (np.linalg.norm(tq, axis=1).max(initial=0) * np.linalg.norm(tx, axis=1).max(initial=0) + 1)
+    number, vector, score, done = [], [], [], 0
+    for low in range(0, len(q), AT_ONCE):
+        bounds = tq[low : low + AT_ONCE] @ tx.T + slack
+        for i, bound in enumerate(bounds, low):
+            some = np.flatnonzero(bound >= least[i])
+            some = some[np.argsort(-bound[some])]
+            best_id, best = np.empty(0, xid.dtype), np.empty(0, np.int64 if exact else object)
+            for at in range(0, len(some), AT_ONCE):
+                if len(best) == k and bound[some[at]] < float(best[-1]):
+                    break
+                now = some[at : at + AT_ONCE]
+                now = now[xid[now] != qid[i]]
+                done += len(now)
+                best_id, best = np.concatenate([best_id, xid[now]]), np.concatenate([best, _scores(q[i], x[now], exact)])
+                top = np.lexsort((best_id, -best))[:k]
+                best_id, best = best_id[top], best[top]
+            number.append(np.full(len(best), i))
+            vector.append(best_id)
+            score.append(best)
+    return np.concatenate(number), np.concatenate(vector), np.concatenate(score), done
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: float = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors (vec_id, q array<bigint>) of largest inner product with each query.
 
     A query's own vec_id is no candidate. Ties go to the smaller vec_id. Vectors of another length than the query's are
-    none either. Repeated vec_ids: each row is a candidate, so a vec_id can come more than once. Fewer than k candidates
-    give fewer rows; an empty table gives none.
+    none either. Repeated vec_ids: each row is a candidate, so a vec_id can come more than once; query rows equal in
+    vec_id and vector are one query and answered once, those that share the vec_id only are answered each by itself.
+    Scores beyond the range of a long are held at its ends. Fewer than k candidates give fewer rows; an empty table gives
+    none.
     """
-    n, m = vectors.count(), queries.count()
-    rows, cols = max(1, -(-m // query_block)), max(1, -(-n // candidate_block))
-    copies = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    drawn = vectors.select("vec_id", "q").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "q").limit(SAMPLE).toArrow()  # bounded
+    by_length: dict[int, list[int]] = {}
+    for i, v in enumerate(drawn["q"].to_pylist()):
+        by_length.setdefault(len(v), []).append(i)
+    sample = {n: (drawn["vec_id"].to_numpy()[at], _matrix(drawn["q"].take(pa.array(at)))) for n, at in by_length.items()}
+    bases = {n: pivots_of(x, pivots) for n, (_, x) in sample.items()}
+
+    def enter(seek: bool):
+        def run(batches):
+            for b in batches:
+                length = b.column("dim").to_numpy()
+                for n in np.unique(length):
+                    some = b.filter(pa.array(length == n))
+                    q = _matrix(some.column("q"))
+                    t = entries(q, bases.get(int(n), np.zeros((int(n), 0))))
+                    columns = [*some.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, t.shape[1], dtype=np.int32)), pa.array(t.ravel()))]
+                    if seek:  # the k-th best score of the sample, none if it has fewer
+                        ids, x = sample.get(int(n), (np.empty(0, np.int64), q[:0]))
+                        least = np.full(len(q), -np.inf)
+                        exact = _is_exact(q, x)
+                        for i, own in enumerate(some.column("vec_id").to_pylist()):
+                            s = _scores(q[i], x[ids != own], exact)
+                            if len(s) >= k:
+                                least[i] = float(np.sort(s)[-k])
+                        columns.append(pa.array(least if len(q) else [], pa.float64()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names, "entry", *(["least"] if seek else [])])
+
+        return run
+
     dim = F.size("q").alias("dim")
-    a = queries.select("vec_id", "q", dim, F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int").alias("row")).select("*", copies(cols).alias("col"))
-    b = vectors.select("vec_id", "q", dim, F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(cols)).cast("int").alias("col")).select("*", copies(rows).alias("row"))
+    kind = "vec_id bigint, q array<bigint>, dim int"
+    table = written(vectors.select("vec_id", "q", dim).mapInArrow(enter(False), f"{kind}, entry array<double>"), "pivot_table")
+    asked = queries.select("vec_id", "q", dim).dropDuplicates(["vec_id", "q"]).mapInArrow(enter(True), f"{kind}, entry array<double>, least double")
+    asked = written(asked.withColumn("key", F.xxhash64("vec_id", "q")), "queries")
+    n, m = table.count(), asked.count()
+    rows, tasks = max(1, -(-m // query_block)), vectors.sparkSession.sparkContext.defaultParallelism
+    cols = max(1, -(-n // candidate_block), min(-(-n // LEAST_BLOCK), -(-tasks // rows)))
+    copies = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    a = asked.select("*", F.pmod("key", F.lit(rows)).cast("int").alias("row")).select("*", copies(cols).alias("col"))
+    b = table.select("*", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(cols)).cast("int").alias("col")).select("*", copies(rows).alias("row"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        number = x = s = np.empty(0, np.int64)
         if left.num_rows and right.num_rows:
-            q, x, s, _ = best_of_block(left["vec_id"].to_numpy(), _matrix(left["q"]), right["vec_id"].to_numpy(), _matrix(right["q"]), k, pivots)
-        else:
-            q = x = s = np.empty(0, np.int64)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(x, pa.int64()), "score": pa.array(s.tolist() if s.dtype == object else s, pa.int64())})
-
-    near = a.groupBy("dim", "row", "col").cogroup(b.groupBy("dim", "row", "col")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            q, t = _matrix(left["q"]), _matrix(left["entry"])
+            number, x, s, _ = best_of_block(left["vec_id"].to_numpy(), q, t, left["least"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right["q"]), _matrix(right["entry"]), k)
+        if s.dtype == object:
+            s = np.array([max(-_LONGEST - 1, min(_LONGEST, v)) for v in s], np.int64)
+        keys = [left[c].take(pa.array(number.astype(np.int64))) for c in ("vec_id", "key")]
+        return pa.table({"query_id": keys[0], "key": keys[1], "vec_id": pa.array(x, pa.int64()), "score": pa.array(s, pa.int64())})
+
+    near = a.groupBy("dim", "row", "col").cogroup(b.groupBy("dim", "row", "col")).applyInArrow(run, "query_id bigint, key bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
