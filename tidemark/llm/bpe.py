@@ -27,7 +27,7 @@ from .common import as_bytes, row_key, steps, texts_of
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Bytes of encoded pieces and their ids that a worker remembers; beyond them it starts anew.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 40 << 20
 #: Most pieces that are put together in one step.
 PIECES_AT_ONCE = 1 << 20
 #: Bytes of text of a step.
@@ -102,7 +102,7 @@ class Encoder:
         known = len(self.known)
         self.known = pa.concat_arrays([self.known, binary(flat, np.concatenate([[0], np.cumsum(sizes)]) * 4)])
         self.number.update((pieces[i], known + k) for k, i in enumerate([*order, *alone]))
-        self.held += 4 * len(flat) + sum(map(len, pieces)) + 128 * len(pieces)
+        self.held += 4 * len(flat) + sum(map(len, pieces)) + 200 * len(pieces)
 
     def _numbers(self, pieces: list[bytes]) -> np.ndarray:
         found = list(map(self.number.get, pieces))
