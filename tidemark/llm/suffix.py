@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, ranges_of, shared_dir, span_hashes, steps, texts_of, written
+from .common import hashes_in_steps, mix, powers, ranges_of, shared_dir, steps, texts_of, written
 
 LENGTH, ANCHOR, SHARD_BYTES, MERGED_BYTES = 50, 24, 4 << 20, 1 << 17
 #: Places of an anchor from which on its block is split into those of equal strings; places in a shard that a sketch counts.
@@ -89,7 +89,7 @@ def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
-def packed_anchors(packed: list[bytes], length: int, k: int, most: int = 1 << 20) -> tuple[list[bytes], tuple[np.ndarray, ...]]:
+def packed_anchors(packed: list[bytes], length: int, k: int, most: int = 1 << 19) -> tuple[list[bytes], tuple[np.ndarray, ...]]:
     """The texts of compressed ones, and anchors() of them, a step of texts at a time."""
     raw = [zlib.decompress(x) for x in packed]
     found, low = [], 0
@@ -223,7 +223,7 @@ def _repeated_contexts(shard: np.ndarray, number: np.ndarray, sent: np.ndarray,
     """(shard, _FOUND) for all contexts of some anchors: which of their strings occur in a context of a smaller document."""
     data, ends = np.frombuffer(text, np.uint8), np.cumsum(sent["size"], dtype=np.int64)
     starts = ends - sent["size"]
-    order, begins = _groups(sent["hash"], span_hashes(data, starts, ends))
+    order, begins = _groups(sent["hash"], hashes_in_steps(data, starts, ends))
     group, least = _least_of_groups(order, begins, sent["doc"])
     one = order[begins]  # some place of each different context
     anchor = sent["hash"][one]
@@ -380,7 +380,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             size = last - first + length
             # each different context once, its places by its number
             r, b, n, d = row[~hot], begin[~hot], size[~hot], doc[~hot]
-            order, at = _groups(h[~hot], span_hashes(data, b, b + n))
+            order, at = _groups(h[~hot], hashes_in_steps(data, b, b + n))
             group, least = _least_of_groups(order, at, d)
             one = order[at]
             sent = np.empty(len(one), _SENT)
@@ -392,7 +392,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             # each different string of anchors with many places once
             start, at = ranges_of(begin[hot], size[hot] - length + 1)
             owner = np.repeat(np.flatnonzero(hot), np.diff(at))
-            one_hash, two_hash = span_hashes(data, start, start + length), span_hashes(_OTHER[data], start, start + length)
+            one_hash, two_hash = hashes_in_steps(data, start, start + length), hashes_in_steps(_OTHER[data], start, start + length) if len(start) else np.empty(0, np.uint64)
             order, at = _groups(one_hash, two_hash)
             group, least = _least_of_groups(order, at, doc[owner])
             strings = np.empty(len(at), _STRING)
