@@ -13,11 +13,12 @@ def _united(queries: DataFrame, facts: DataFrame, keys: list[str], query_at: str
 
 
 def forward(queries: DataFrame, facts: DataFrame, keys: list[str], query_at: str, fact_at: str, carried: list[str], max_wait: str | None = None) -> DataFrame:
-    """JOIN-05: each query with the first fact of its keys at or after it; null if none, or none within max_wait (an interval)."""
+    """JOIN-05: each query with the first fact of its keys at or after it; null if none, or none within max_wait (an interval). One pass of a key's rows."""
     x = _united(queries, facts, keys, query_at, fact_at, carried, [])
-    # at equal times queries sort first, so that a fact of the same time follows them
-    w = Window.partitionBy(*keys).orderBy("_at", "_fact").rowsBetween(0, Window.unboundedFollowing)
-    got = x.withColumn("_hit", F.first("_carried", ignorenulls=True).over(w)).where("_fact = 0")
+    # backwards in time, so that the frame only grows; at equal times facts come first, and those without a time come last
+    w = Window.partitionBy(*keys).orderBy(F.col("_at").desc_nulls_last(), F.desc("_fact")).rowsBetween(Window.unboundedPreceding, 0)
+    got = x.withColumn("_hit", F.last("_carried", ignorenulls=True).over(w)).where("_fact = 0")
+    got = got.withColumn("_hit", F.when(F.col("_hit._fact_at") >= F.col("_at"), F.col("_hit")))
     if max_wait:
         got = got.withColumn("_hit", F.when(F.col("_hit._fact_at") <= F.col("_at") + F.expr(f"INTERVAL {max_wait}"), F.col("_hit")))
     return got.select("_query.*", F.col("_hit._fact_at").alias(f"{fact_at}_hit"), *(F.col(f"_hit.{c}").alias(c) for c in carried))
