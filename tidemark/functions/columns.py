@@ -32,11 +32,44 @@ def full(value: Column, counted: Column, window: WindowSpec, w: int) -> Column:
 
 def average_rank(value: Column, *by: str) -> Column:
     """Rank from 1 among the rows that have a value; equal values share their mean rank. Null stays null."""
-    ranks = F.rank().over(Window.partitionBy(*by).orderBy(value.asc_nulls_last()))
-    ties = F.count(value).over(Window.partitionBy(*by, value))
+    order = Window.partitionBy(*by).orderBy(value.asc_nulls_last())  # one sort for both
+    ranks = F.rank().over(order)
+    ties = F.count(value).over(order.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(value.isNotNull(), ranks + (ties - 1) / 2)
 
 
+def ordered_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """Of each different value that isn't null, by group: n, how many rows of the group lie before it, and the group's total.
+
+    Values are counted first; counts are summed up within ranges of values and over ranges, so that no window holds more
+    than a range of a group. Where the ranges lie (approximate quantiles of all rows) doesn't change the result.
+    """
+    bounds = df.approxQuantile(value, [k / parts for k in range(1, parts)], 1 / (2 * parts)) if parts > 1 else []
+    part = F.size(F.filter(F.array(*(F.lit(float(b)) for b in sorted(set(bounds)))), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")).withColumn("_part", part)
+    earlier = (Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(*earlier)), F.lit(0)))
+    sums = counts.groupBy(*by, "_part").agg(F.sum("n").alias("_sum"))  # a row a range and group
+    sums = sums.withColumns({"_base": F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(*earlier)), F.lit(0)), "total": F.sum("_sum").over(Window.partitionBy(*by))})
+    return counts.join(sums.drop("_sum"), [*by, "_part"]).select(*by, value, "n", (F.col("_base") + F.col("_inside")).alias("before"), "total")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """By group the exact quantiles of a value, interpolated between neighbours, as columns q0, q1, ... A row a group."""
+    x = ordered_counts(df, value, by)
+
+    def at(k: Column) -> Column:  # the value of the k-th row, from 0
+        return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
+
+    out = {}
+    for i, s in enumerate(shares):
+        place = F.lit(float(s)) * (F.col("total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        rest = F.max(place - F.floor(place))
+        out[f"q{i}"] = (low + rest * (high - low)).alias(f"q{i}")
+    return x.groupBy(*by).agg(*out.values())
+
+
 def gates(checks: list[tuple[str, Column]]) -> Column:
     """Sorted names of the failed checks; a check that is null doesn't fail."""
     return F.array_sort(F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in checks))))
@@ -59,6 +92,11 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
+def unit_hash(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 of the parts as strings, joined by bars: any engine can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+
+
 def short_id(prefix: str, *parts: Column) -> Column:
     """prefix and the first 16 hex digits of the SHA-256 of the parts, joined by bars; null parts count as empty."""
     joined = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))

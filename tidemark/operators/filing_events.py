@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_any, gates, log_ratio, reasons, short_id
+from ..functions.columns import contains_any, gates, log_ratio, quantiles, reasons, short_id, unit_hash
 from . import asof, panel
 
 #: Titles of common shares, titles that exclude, terms of private purchases.
@@ -100,20 +100,24 @@ def event_labels(events: DataFrame, bars: DataFrame, calendar: DataFrame, horizo
     return out.withColumn("label_blockers", blockers).withColumn("label_status", F.when(F.size("label_blockers") == 0, "LABELED").when(F.col("entry_date").isNull(), "BLOCKED").otherwise("PARTIAL"))
 
 
+def labelled(labels: DataFrame, metric: str) -> DataFrame:
+    """PRJ-12: events whose labels are whole and whose metric is there."""
+    return labels.where((F.col("label_status") == "LABELED") & F.col(metric).isNotNull())
+
+
 def study_summary(labels: DataFrame, metric: str, by: list[str]) -> DataFrame:
-    """AGG-09: per group number, mean, median, share above zero, and the five largest absolute values' share of all."""
-    x = labels.where(F.col(metric).isNotNull())
-    x = x.withColumn("_top", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs(metric)), "event_id")) <= 5)
-    total = F.sum(F.abs(metric))
-    return x.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(metric).alias("mean"), F.median(metric).alias("median"), F.avg((F.col(metric) > 0).cast("double")).alias("hit_rate"),
-        F.try_divide(F.sum(F.when(F.col("_top"), F.abs(metric))), total).alias("top5_share"),
-    )
+    """AGG-09: per group number, mean, median, share above zero, and the five largest absolute values' share of all. Groups may be few and large."""
+    x = labels.where(F.col(metric).isNotNull()).select(*by, "event_id", metric)
+    largest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs(metric)), "event_id"))  # cut to five a task before the exchange
+    top = x.withColumn("_r", largest).where("_r <= 5").groupBy(*by).agg(F.sum(F.abs(metric)).alias("_top"))
+    g = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg(metric).alias("mean"), F.avg((F.col(metric) > 0).cast("double")).alias("hit_rate"), F.sum(F.abs(metric)).alias("_all"))
+    mid = quantiles(x, metric, [0.5], tuple(by)).withColumnRenamed("q0", "median")
+    return g.join(mid, by).join(top, by).select(*by, "n", "mean", "median", "hit_rate", F.try_divide("_top", "_all").alias("top5_share"))
 
 
 def bootstrap_ci(labels: DataFrame, metric: str, by: list[str], iterations: int = 1000, seed: int = 7) -> DataFrame:
     """AGG-10: 95% interval of the group mean by a Poisson bootstrap with hashed weights: one aggregation by (group, iteration)."""
-    u = (F.xxhash64(F.lit(seed), "event_id", "_i").bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("_u")
+    u = unit_hash(F.lit(seed), F.col("event_id"), F.col("_i")).alias("_u")
     draws = F.aggregate(F.array(*(F.lit(p) for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676))), F.lit(0), lambda a, p: a + F.when(F.col("_u") > p, 1).otherwise(0))
     x = labels.where(F.col(metric).isNotNull()).select(*by, "event_id", metric, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("_i")).select("*", u).withColumn("_w", draws)
     means = x.groupBy(*by, "_i").agg(F.try_divide(F.sum(F.col("_w") * F.col(metric)), F.sum("_w").cast("double")).alias("_m"))
@@ -123,8 +127,8 @@ def bootstrap_ci(labels: DataFrame, metric: str, by: list[str], iterations: int
 def strength_buckets(labels: DataFrame, metric: str, strength: str = "strength") -> DataFrame:
     """AGG-11: mean of the metric by quartile of strength (edges inclusive above), and Q4 less Q1. Edges are one row."""
     x = labels.where(F.col(metric).isNotNull() & F.col(strength).isNotNull())
-    edges = x.agg(F.percentile(strength, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
-    b = F.when(F.col(strength) <= F.col("e")[0], "Q1").when(F.col(strength) <= F.col("e")[1], "Q2").when(F.col(strength) <= F.col("e")[2], "Q3").otherwise("Q4")
+    edges = quantiles(x, strength, [0.25, 0.5, 0.75])
+    b = F.when(F.col(strength) <= F.col("q0"), "Q1").when(F.col(strength) <= F.col("q1"), "Q2").when(F.col(strength) <= F.col("q2"), "Q3").otherwise("Q4")
     g = x.crossJoin(edges).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.avg(metric).alias("mean"))
     ends = g.agg((F.max(F.when(F.col("bucket") == "Q4", F.col("mean"))) - F.max(F.when(F.col("bucket") == "Q1", F.col("mean")))).alias("q4_minus_q1"))
     return g.crossJoin(ends)
@@ -168,5 +172,5 @@ def placebo_times(events: DataFrame, calendar: DataFrame, sessions: int = -20) -
 
 def variants(labels: DataFrame) -> dict[str, DataFrame]:
     """PRJ-11: fixed subsets of labelled events: by a chief, by several insiders, of the top quartile by value. Edges are one row."""
-    edge = labels.agg(F.percentile("total_value", F.lit(0.75)).alias("edge"))
+    edge = quantiles(labels, "total_value", [0.75]).withColumnRenamed("q0", "edge")
     return {"chief": labels.where("chief_buy"), "clustered": labels.where("n_insiders >= 2"), "top_value": labels.crossJoin(edge).where("total_value >= edge").drop("edge")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, full, log_ratio, trailing
+from ..functions.columns import average_rank, full, log_ratio, ordered_counts, trailing
 
 
 def by_symbol() -> WindowSpec:
@@ -117,13 +117,15 @@ def build_labels(bars: DataFrame, calendar: DataFrame, horizon: int = 5) -> Data
 
     A date that is no session moves along the symbols' observed dates instead.
     """
-    seen = bars.select("date").distinct().withColumn("observed_target", F.lead("date", horizon).over(Window.orderBy("date")))
+    order = Window.orderBy("date")  # one row a day
+    seen = bars.select("date").distinct().withColumns({"observed_idx": F.row_number().over(order), "observed_target": F.lead("date", horizon).over(order)})
     ahead = calendar.select((F.col("session_idx") - horizon).alias("session_idx"), F.col("date").alias("session_target"))
-    target = seen.join(calendar, "date", "left").join(ahead, "session_idx", "left").select(
-        "date", F.when(F.col("session_idx").isNotNull(), F.col("session_target")).otherwise(F.col("observed_target")).alias("target_date")
+    days = seen.join(calendar, "date", "left").join(ahead, "session_idx", "left").select(
+        "date", "session_idx", "observed_idx", F.when(F.col("session_idx").isNotNull(), F.col("session_target")).otherwise(F.col("observed_target")).alias("target_date")
     )
-    later = bars.select("symbol", F.col("date").alias("target_date"), F.col("close").alias("target_close"))
-    raw = bars.select("date", "symbol", "close").join(target, "date").join(later, ["symbol", "target_date"])
+    # the symbol's row exactly `horizon` steps on, by a range of one step: bars aren't joined to themselves
+    step = lambda i: F.max("close").over(Window.partitionBy("symbol").orderBy(i).rangeBetween(horizon, horizon))
+    raw = bars.select("date", "symbol", "close").join(days, "date").withColumn("target_close", F.when(F.col("session_idx").isNotNull(), step("session_idx")).otherwise(step("observed_idx")))
     name = f"raw_forward_return_{horizon}d"
     out = raw.withColumn(name, log_ratio(F.col("target_close"), F.col("close"))).where(F.col(name).isNotNull())
     return out.select("date", "symbol", "target_date", name, (F.col(name) - F.avg(name).over(Window.partitionBy("date"))).alias(f"label_{horizon}d"))
@@ -151,18 +153,12 @@ def rank_ic(df: DataFrame, prediction: str, label: str, by: list[str]) -> DataFr
     return x.groupBy(*by).agg(_correlation("_p", "_l").alias("rank_ic"), F.count("*").alias("n"))
 
 
-def pooled_rank_ic(df: DataFrame, prediction: str, label: str) -> DataFrame:
-    """AGG-07 over all rows: ranks come from counts of distinct values summed up in two steps, not from one global window."""
-    x = df.where(F.col(prediction).isNotNull() & F.col(label).isNotNull()).select(F.col(prediction).alias("p"), F.col(label).alias("l"))
-
-    def ranks(c: str) -> DataFrame:
-        counts = x.groupBy(c).agg(F.count("*").alias("n")).repartitionByRange(c).withColumn("part", F.spark_partition_id())
-        parts = counts.groupBy("part").agg(F.sum("n").alias("in_part"))
-        base = parts.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-        before = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.join(F.broadcast(base), "part").select(c, (F.col("base") + F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}"))  # one row a partition
-
-    return x.join(ranks("p"), "p").join(ranks("l"), "l").agg(_correlation("rank_p", "rank_l").alias("rank_ic"), F.count("*").alias("n"))
+def pooled_rank_ic(df: DataFrame, prediction: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """AGG-07 over all rows of few large groups: ranks come from counts of distinct values summed up in two steps, not from one window a group."""
+    x = df.where(F.col(prediction).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(prediction).cast("double").alias("p"), F.col(label).cast("double").alias("l"))
+    for c in ("p", "l"):
+        x = x.join(ordered_counts(x, c, by).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{c}")), [*by, c])
+    return x.groupBy(*by).agg(_correlation("rank_p", "rank_l").alias("rank_ic"), F.count("*").alias("n"))
 
 
 def bucket_metrics(df: DataFrame, score: str, label: str, most: int = 10) -> DataFrame:
@@ -255,6 +251,11 @@ def volume_ratio(daily: DataFrame, column: str = "n_ticks", w: int = 20) -> Data
     return daily.withColumn("volume_ratio", F.try_divide(F.col(column), F.avg(column).over(trailing(w, "symbol"))))
 
 
+def close_imbalance(daily: DataFrame) -> DataFrame:
+    """WIN-20: the last 30 ticks' return times the volume ratio, by symbol and date; without a ratio 0."""
+    return daily.withColumn("close_imbalance", F.col("last_30_return") * F.coalesce("volume_ratio", F.lit(0.0)))
+
+
 def mature(labels: DataFrame, label: str, report_date) -> DataFrame:
     """PRJ-13: labels whose target date lies after the report date are null."""
     return labels.withColumn(label, F.when(F.col("target_date") <= F.lit(report_date).cast("date"), F.col(label)))

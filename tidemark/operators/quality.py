@@ -79,8 +79,13 @@ def freshness(events: DataFrame, by: str, at: str, now, stale_minutes: int) -> D
 
 
 def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
-    """AGG-48: per partition its rows and an order-free hash of their content."""
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("content"))
+    """AGG-48: per partition its rows and an order-free hash of their content, a sum of hashes: rows that come twice count twice.
+
+    A row's hash is the first 15 hex digits of the MD5 of its values as strings, joined by bars, so that any engine can repeat it.
+    """
+    values = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns))
+    content = F.sum(F.conv(F.substring(F.md5(values), 1, 15), 16, 10).cast("decimal(20,0)"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), content.cast("string").alias("content"))
 
 
 def pit_violations(df: DataFrame, available: str, date: str = "date") -> DataFrame:
