@@ -52,6 +52,33 @@ def walk_forward_trees(df: DataFrame, folds: DataFrame, features: list[str], lab
     return out
 
 
+def tuned_trees(df: DataFrame, folds: DataFrame, features: list[str], label: str, grid: list[dict], weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """MOD-10: walk_forward_trees() for each entry of the grid (rounds, depth); returns scores (setting, fold, rank_ic, n) and the predictions of the best.
+
+    The best has the largest mean rank IC over folds, ties to the earlier entry. A grid is a few entries.
+    """
+    from .validation import test_rows
+
+    scores, made = None, []
+    for k, setting in enumerate(grid):
+        made.append(walk_forward_trees(df, folds, features, label, weight, **setting))
+        one = panel.pooled_rank_ic(test_rows(made[-1], folds), "prediction", label, ("fold",)).withColumn("setting", F.lit(k))
+        scores = one if scores is None else scores.unionByName(one)
+    best = scores.groupBy("setting").agg(F.avg("rank_ic").alias("m")).orderBy(F.desc("m"), "setting").first()  # a row an entry
+    return scores, made[best["setting"] if best else 0]
+
+
+def preflight(table: DataFrame, features: list[str], label: str, least_rows: int = 1) -> DataFrame:
+    """MOD-06: whether a modeling table can be trained on: its rows, labelled rows, missing columns, share of nulls, blockers. One row."""
+    missing = [c for c in [*features, label, "date", "symbol"] if c not in table.columns]
+    there = [F.col(c) for c in features if c in table.columns]
+    labelled = F.count(label) if label in table.columns else F.lit(0)
+    nulls = F.avg(sum((c.isNull().cast("double") for c in there), F.lit(0.0)) / max(1, len(there)))
+    x = table.agg(F.count("*").alias("rows"), labelled.cast("bigint").alias("labelled"), F.coalesce(nulls, F.lit(1.0)).alias("null_share")).withColumn("missing", F.lit(",".join(sorted(missing))))
+    blockers = reasons([("missing_columns", F.col("missing") != ""), ("too_few_labelled_rows", F.col("labelled") < least_rows), ("all_features_null", F.col("null_share") >= 1)])
+    return x.withColumn("blockers", blockers).withColumn("ready", F.size("blockers") == 0)
+
+
 def eligible_date(dates: DataFrame, weekday: int = 4) -> DataFrame:
     """SRT-05: the latest date on that weekday (Monday 0), else the latest of all. One row."""
     return dates.agg(F.coalesce(F.max(F.when(F.weekday("date") == weekday, F.col("date"))), F.max("date")).alias("date"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import log_ratio, normal_cdf
+from ..functions.columns import log_ratio, normal_cdf, unit_hash
 from . import panel
 
 
@@ -28,9 +27,31 @@ def walk_forward_folds(dates: DataFrame, initial: int, step: int, purge: int = 5
 
 
 def assign_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """JOIN-18: each row once for each fold that it trains or tests, with its part. Folds are few rows."""
+    """JOIN-18: each row once for each fold that it trains or tests, with its part. Folds meet dates first, a row a day and fold; rows then join by date."""
+    days = df.select("date").distinct()
     part = F.when(F.col("date") <= F.col("train_end"), "train").when(F.col("date").between(F.col("test_start"), F.col("test_end")), "test")
-    return df.crossJoin(F.broadcast(folds)).withColumn("part", part).where("part IS NOT NULL").drop("train_end", "test_start", "test_end")
+    near = days.join(folds, (F.col("date") <= F.col("train_end")) | F.col("date").between(F.col("test_start"), F.col("test_end"))).select("date", "fold", part.alias("part"))
+    return df.join(near, "date")
+
+
+def test_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """The rows that a fold tests, each with its fold; test windows don't overlap."""
+    days = df.select("date").distinct().join(folds, F.col("date").between(F.col("test_start"), F.col("test_end"))).select("date", "fold")
+    return df.join(days, "date")
+
+
+def with_blocks(df: DataFrame, n_blocks: int, embargo: int) -> DataFrame:
+    """df with block (of n_blocks contiguous date blocks) and near, the sorted blocks that a row is in or within embargo calendar days of, if the row's symbol is in them."""
+    every = Window.partitionBy(F.lit(0))  # a row a day
+    block = Window.partitionBy("block")
+    days = panel.date_blocks(df, n_blocks).withColumn("_span", F.struct("block", F.date_sub(F.min("date").over(block), embargo).alias("lo"), F.date_add(F.max("date").over(block), embargo).alias("hi")))
+    days = days.withColumn("_near", F.filter(F.collect_set("_span").over(every), lambda b: F.col("date").between(b["lo"], b["hi"]))).select("date", "block", F.col("_near.block").alias("_near"))
+    own = F.collect_set("block").over(Window.partitionBy("symbol"))
+    return df.join(days, "date").withColumn("near", F.array_sort(F.array_intersect("_near", own))).drop("_near")
+
+
+def _paths(n_blocks: int, n_test: int) -> F.Column:
+    return F.array(*(F.struct(F.lit(i).alias("path"), F.array(*(F.lit(b) for b in c)).alias("blocks")) for i, c in enumerate(combinations(range(n_blocks), n_test))))
 
 
 def purged_paths(df: DataFrame, n_blocks: int = 8, n_test: int = 2, embargo: int = 10) -> DataFrame:
@@ -38,45 +59,97 @@ def purged_paths(df: DataFrame, n_blocks: int = 8, n_test: int = 2, embargo: int
 
     Rows of a test block's symbols within embargo calendar days of the block are purged from training.
     """
-    x = df.join(panel.date_blocks(df, n_blocks), "date")
-    bounds = x.groupBy("block").agg(F.date_sub(F.min("date"), embargo).alias("lo"), F.date_add(F.max("date"), embargo).alias("hi"))
-    symbols = x.select(F.col("block").alias("test_block"), "symbol").distinct().join(bounds.withColumnRenamed("block", "test_block"), "test_block")
-    near = x.join(symbols, "symbol").where("date BETWEEN lo AND hi").groupBy("date", "symbol").agg(F.collect_set("test_block").alias("near"))
-    x = x.join(near, ["date", "symbol"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
-    paths = F.array(*(F.struct(F.lit(i).alias("path"), F.array(*(F.lit(b) for b in c)).alias("blocks")) for i, c in enumerate(combinations(range(n_blocks), n_test))))
-    counted = x.groupBy("block", F.array_sort("near").alias("near")).agg(F.count("*").alias("n")).select("*", F.explode(paths).alias("p"))  # few groups, before paths multiply them
+    x = with_blocks(df.select("date", "symbol"), n_blocks, embargo)
+    counted = x.groupBy("block", "near").agg(F.count("*").alias("n")).select("*", F.explode(_paths(n_blocks, n_test)).alias("p"))  # few groups, before paths multiply them
     tests, trains = F.array_contains("p.blocks", F.col("block")), ~F.arrays_overlap("near", "p.blocks")
     return counted.groupBy(F.col("p.path").alias("path")).agg(F.sum(F.when(trains, F.col("n")).otherwise(0)).alias("n_train"), F.sum(F.when(tests, F.col("n")).otherwise(0)).alias("n_test"))
 
 
-def gram_sums(df: DataFrame, features: list[str], label: str, by: str) -> DataFrame:
+def purged_path_ridge(df: DataFrame, features: list[str], label: str, alpha: float = 1.0, n_blocks: int = 8, n_test: int = 2, embargo: int = 10) -> DataFrame:
+    """MOD-08: ridge regression fitted and tested on each purged path: path, n_train, n_test, retention, rank_ic of its test rows.
+
+    The sums of a path are those of the groups of (block, near blocks) that it trains on: rows are read once for all fits,
+    and once for the tests.
+    """
+    x = with_blocks(panel.clean_matrix(df, features).where(F.col(label).isNotNull()).select("date", "symbol", label, *features), n_blocks, embargo)
+    sums = gram_sums(x, features, label, ["block", "near"])
+    total = sums.agg(F.sum("n").alias("_total"))
+    trained = sums.select("*", F.explode(_paths(n_blocks, n_test)).alias("p")).where(~F.arrays_overlap("near", "p.blocks")).withColumn("path", F.col("p.path"))
+    models = ridge(added(trained, ["path"]), features, [alpha], ["path"])  # a row a path
+    tested = F.explode(_paths(n_blocks, n_test)).alias("p")
+    use = models.select("path", "coefficients", "intercept", "n").join(models.sparkSession.range(1).select(tested).select("p.path", F.explode("p.blocks").alias("block")), "path")
+    y = x.select("block", label, *features).join(F.broadcast(use), "block").withColumn("prediction", predicted(features))  # n_test rows a path
+    ic = panel.pooled_rank_ic(y, "prediction", label, ("path",))
+    return ic.join(models.crossJoin(total).select("path", F.col("n").alias("n_train"), (F.col("n") / F.col("_total")).alias("retention")), "path").select("path", "n_train", F.col("n").alias("n_test"), "retention", "rank_ic")
+
+
+def gram_sums(df: DataFrame, features: list[str], label: str, by: list[str]) -> DataFrame:
     """MOD-09: per group the sums that ridge regression needs: n, sums of x and y, of products x x and x y. One pass."""
     x = df.where(F.col(label).isNotNull()).na.drop(subset=features)
     f = [F.col(c) for c in features]
     pairs = [(i, j) for i in range(len(f)) for j in range(i, len(f))]
     y = F.col(label)
-    return x.groupBy(by).agg(
+    return x.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(y).alias("sy"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(f)), *(F.sum(f[i] * f[j]).alias(f"s{i}_{j}") for i, j in pairs), *(F.sum(c * y).alias(f"sy{i}") for i, c in enumerate(f)),
     )
 
 
-def ridge_from_sums(sums: pd.DataFrame, p: int, alphas: list[float]) -> pd.DataFrame:
-    """MOD-09: coefficients and intercept for each prefix of groups (an expanding training set) and alpha, in closed form.
+def _sum_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "n" or c.startswith("s") and (c == "sy" or c[1:].removeprefix("y").replace("_", "").isdigit())]
 
-    sums: gram_sums() in order of the group, one small row each; the intercept isn't penalised.
+
+def added(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of groups, added up by other keys."""
+    return sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in _sum_columns(sums)))
+
+
+def ridge(sums: DataFrame, features: list[str], alphas: list[float], keys: list[str]) -> DataFrame:
+    """MOD-09: keys, n, alpha, coefficients, intercept of the ridge regression with each set of sums (a row a model) and penalty.
+
+    Minimises |y - X w - b|^2 + alpha |w|^2 in closed form; the intercept isn't penalised. Without rows all are 0.
     """
-    out = []
-    total = sums.iloc[:, 1:].cumsum()
-    for k in range(len(sums)):
-        s = total.iloc[k]
-        n = s["n"]
-        m = np.array([s[f"s{i}"] for i in range(p)])
-        xx = np.array([[s[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - np.outer(m, m) / n
-        xy = np.array([s[f"sy{i}"] for i in range(p)]) - m * s["sy"] / n
-        for a in alphas:
-            w = np.linalg.solve(xx + a * np.eye(p), xy)
-            out.append((int(k), float(a), *map(float, w), float((s["sy"] - m @ w) / n)))
-    return pd.DataFrame(out, columns=["prefix", "alpha", *(f"w{i}" for i in range(p)), "intercept"])
+    p = len(features)
+    kinds = dict(sums.dtypes)
+
+    def solve(frames):
+        for f in frames:
+            w, b = np.zeros((len(f), p)), np.zeros(len(f))
+            for k, s in enumerate(f.to_dict("records")):
+                n = s["n"]
+                if not n:
+                    continue
+                m = np.array([s[f"s{i}"] for i in range(p)])
+                xx = np.array([[s[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - np.outer(m, m) / n
+                xy = np.array([s[f"sy{i}"] for i in range(p)]) - m * s["sy"] / n
+                w[k] = np.linalg.lstsq(xx + s["alpha"] * np.eye(p), xy, rcond=None)[0]
+                b[k] = (s["sy"] - m @ w[k]) / n
+            yield f[[*keys, "n", "alpha"]].assign(coefficients=list(w), intercept=b)
+
+    x = sums.select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha"))
+    return x.mapInPandas(solve, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, n bigint, alpha double, coefficients array<double>, intercept double")
+
+
+def predicted(features: list[str]) -> F.Column:
+    """intercept + coefficients * features, of columns of these names."""
+    return sum((F.col("coefficients")[i] * F.col(c) for i, c in enumerate(features)), F.col("intercept"))
+
+
+def walk_forward_ridge(df: DataFrame, folds: DataFrame, features: list[str], label: str, alphas: list[float]) -> tuple[DataFrame, DataFrame]:
+    """MOD-07, MOD-09: ridge regression fitted for each fold and penalty, tested on the fold's test dates.
+
+    Returns scores (alpha, fold, rank_ic, n) and the test rows with the prediction of the penalty of the best mean rank IC
+    over folds (rounded to 9 digits, ties to the smaller one). Training sets are prefixes of the dates, so the sums of all
+    folds come from one pass and one running sum over dates; the purge moves the prefix's end.
+    """
+    clean = panel.clean_matrix(df, features).where(F.col(label).isNotNull())
+    daily = gram_sums(clean, features, label, ["date"])
+    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
+    running = daily.select("date", *(F.sum(c).over(upto).alias(c) for c in _sum_columns(daily)))
+    models = ridge(running.join(folds.select(F.col("train_end").alias("date"), "fold"), "date"), features, alphas, ["fold"])
+    tested = test_rows(clean, folds).join(models.select("fold", "alpha", "coefficients", "intercept"), "fold").withColumn("prediction", predicted(features)).drop("coefficients", "intercept")
+    scores = panel.pooled_rank_ic(tested, "prediction", label, ("alpha", "fold"))
+    best = scores.groupBy("alpha").agg(F.round(F.avg("rank_ic"), 9).alias("mean_ic")).orderBy(F.desc("mean_ic"), "alpha").limit(1)  # a row a penalty
+    return scores, tested.join(F.broadcast(best.select("alpha")), "alpha")
 
 
 def fold_report(df: DataFrame, prediction: str, label: str) -> DataFrame:
@@ -111,22 +184,32 @@ def feature_dependence(df: DataFrame, features: list[str], label: str) -> DataFr
 
 
 def shuffled_within_dates(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """MOD-11, AGG-33: the column permuted within each date by a hashed order; the same whatever the partitions."""
+    """MOD-11, AGG-33: the column permuted within each date by the order of a hash; the same whatever the partitions."""
     a = df.withColumn("_i", F.row_number().over(Window.partitionBy("date").orderBy("symbol")))
-    b = df.select("date", F.col(column).alias("_v"), F.row_number().over(Window.partitionBy("date").orderBy(F.xxhash64(F.lit(seed), "date", "symbol"), "symbol")).alias("_i"))
+    b = df.select("date", F.col(column).alias("_v"), F.row_number().over(Window.partitionBy("date").orderBy(unit_hash(F.lit(seed), F.col("date"), F.col("symbol")), "symbol")).alias("_i"))
     return a.drop(column).join(b, ["date", "_i"]).withColumnRenamed("_v", column).drop("_i")
 
 
+def permuted_symbols(df: DataFrame, seed: int) -> DataFrame:
+    """AGG-33: symbol and other, the symbol after it in the order of a hash, the first one after the last. A row a symbol."""
+    order = Window.orderBy(unit_hash(F.lit(seed), F.col("symbol")), "symbol")
+    names = df.select("symbol").distinct().withColumns({"_next": F.lead("symbol").over(order), "_first": F.first("symbol").over(order)})
+    return names.select("symbol", F.coalesce("_next", "_first").alias("other"))
+
+
 def negative_controls(df: DataFrame, prediction: str, label: str, seed: int = 17) -> DataFrame:
-    """AGG-33: mean per-date rank IC of the real label and of controls: shuffled labels, the next row's label, a random prediction, a leak."""
-    noise = (F.xxhash64(F.lit(seed), "date", "symbol").bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("noise")
+    """AGG-33: mean per-date rank IC of the real label and of controls: shuffled labels, the next row's label, a random prediction, the predictions of other symbols, a leak."""
+    noise = unit_hash(F.lit(seed), F.col("date"), F.col("symbol"))
     ahead = df.withColumn(label, F.lead(label, 1).over(panel.by_symbol()))
+    other = df.select("date", F.col("symbol").alias("other"), F.col(prediction).alias("_p"))
+    pair = lambda x, p, l: x.select("date", "symbol", F.col(p).alias("p"), F.col(l).alias("l"))  # noqa: E731, E741
     kinds = {
-        "actual": df.select("date", "symbol", F.col(prediction).alias("p"), F.col(label).alias("l")),
-        "shuffled": shuffled_within_dates(df, label, seed).select("date", "symbol", F.col(prediction).alias("p"), F.col(label).alias("l")),
-        "date_shifted": ahead.select("date", "symbol", F.col(prediction).alias("p"), F.col(label).alias("l")),
-        "random": df.select("date", "symbol", noise.alias("p"), F.col(label).alias("l")),
-        "future_leak": df.select("date", "symbol", F.col(label).alias("p"), F.col(label).alias("l")),
+        "actual": pair(df, prediction, label),
+        "shuffled": pair(shuffled_within_dates(df, label, seed), prediction, label),
+        "date_shifted": pair(ahead, prediction, label),
+        "random": pair(df.withColumn("_noise", noise), "_noise", label),
+        "permuted_ticker": pair(df.join(permuted_symbols(df, seed), "symbol").join(other, ["date", "other"]), "_p", label),
+        "future_leak": pair(df, label, label),
     }
     out = None
     for name, x in kinds.items():
