@@ -8,9 +8,47 @@ from pyspark.sql import functions as F
 from ..functions.columns import gates
 
 
-def decisions(events: DataFrame, since, by: list[str], at: str = "ts") -> DataFrame:
-    """AGG-20, AGG-21, AGG-22, AGG-23: rows since a time by key: number, sum, mean and largest value, latest time."""
-    return events.where(F.col(at) >= F.lit(since).cast("timestamp_ntz")).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.max("value").alias("largest"), F.max(at).alias("latest"))
+def _recent(ledger: DataFrame, since, at: str) -> DataFrame:
+    return ledger.where(F.col(at) >= F.lit(since).cast("timestamp_ntz"))
+
+
+def scheduler_decisions(ledger: DataFrame, since, at: str = "created_at") -> DataFrame:
+    """AGG-20: decisions since a time by vendor, dataset (null: empty) and decision: number, latest time, largest reason."""
+    by = ["vendor", F.coalesce("dataset", F.lit("")).alias("dataset"), "decision"]
+    return _recent(ledger, since, at).groupBy(*by).agg(F.count("*").alias("count"), F.max(at).alias("latest_at"), F.max("reason").alias("latest_reason"))
+
+
+def controller_decisions(ledger: DataFrame, since, at: str = "created_at") -> DataFrame:
+    """AGG-20: a controller's decisions since a time by vendor, dataset and action: largest widths, tasks, budgets and latency, mean rows per credit."""
+    largest = ("target_width", "active_width", "eligible_tasks", "budget_remaining_minute", "budget_remaining_daily", "latency_ms")
+    return _recent(ledger, since, at).groupBy("vendor", "dataset", "action").agg(
+        F.count("*").alias("count"), *(F.max(c).alias(c) for c in largest), F.avg("rows_per_credit").alias("rows_per_credit"), F.max("reason").alias("latest_reason"), F.max(at).alias("latest_at")
+    )
+
+
+def archive_writes(ledger: DataFrame, since, at: str = "created_at") -> DataFrame:
+    """AGG-21: writes since a time by output: successes, failures, rows, duplicates, schema mismatches, mean and largest duration."""
+    done = F.col("status") == "success"
+    return _recent(ledger, since, at).groupBy("output_name").agg(
+        F.count("*").alias("writes"), F.count_if(done).alias("successes"), F.count_if(~done).alias("failures"), F.sum("rows_in").alias("rows_in"), F.sum("rows_written").alias("rows_written"),
+        F.sum("duplicates_dropped").alias("duplicates_dropped"), F.sum("schema_mismatch").alias("schema_mismatches"), F.avg("duration_ms").alias("avg_duration_ms"), F.max("duration_ms").alias("max_duration_ms"),
+        F.max(at).alias("latest_at"), F.max("error").alias("latest_error"),
+    )
+
+
+def ingestion_events(ledger: DataFrame, since, at: str = "created_at") -> DataFrame:
+    """AGG-22: ingestion events since a time by vendor (null: empty), dataset, output and status: rows at each step, latest partition, hash, error and time."""
+    by = [F.coalesce("vendor", F.lit("")).alias("vendor"), "dataset", "output_name", "status"]
+    return _recent(ledger, since, at).groupBy(*by).agg(
+        F.count("*").alias("events"), *(F.sum(c).alias(c) for c in ("rows_in", "rows_normalized", "rows_written", "duplicates_dropped")),
+        F.max("partition_date").alias("latest_partition_date"), F.max("payload_hash").alias("latest_payload_hash"), F.max("error").alias("latest_error"), F.max(at).alias("latest_at"),
+    )
+
+
+def quality_checks(ledger: DataFrame, since, at: str = "created_at") -> DataFrame:
+    """AGG-23: data quality checks since a time by dataset, verdict and status: rows and partitions checked, violations of each kind."""
+    summed = ("rows_checked", "partitions_checked", "duplicate_key_count", "timestamp_violation_count", "pit_violation_count")
+    return _recent(ledger, since, at).groupBy("dataset", "verdict", "status").agg(F.count("*").alias("checks"), *(F.sum(c).alias(c) for c in summed), F.max("reason").alias("latest_reason"), F.max(at).alias("latest_at"))
 
 
 def attempts(events: DataFrame, vendor: str, status: str, failed: str) -> DataFrame:

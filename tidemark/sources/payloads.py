@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_existing, short_id
+from ..functions.columns import first_existing, reasons, short_id
 
 
 def bars_from_json(df: DataFrame, payload: str) -> DataFrame:
@@ -113,16 +113,145 @@ def batch_ids(expected: DataFrame, got: DataFrame, key: str, item: str) -> DataF
     return x.select(key, F.size(F.array_except("want", "have")).alias("missing"), F.size(F.array_except("have", "want")).alias("unexpected"), "twice")
 
 
-def payload_errors(payload: str, excerpt: str) -> F.Column:
-    """EVT-06: sorted errors of a semantic payload: missing fields, a quote that isn't an exact part of the excerpt, a promotable type that isn't material."""
+def contradictions(payload: str, excerpt: str) -> F.Column:
+    """SRC-16: sorted contradictions of a parsed payload (model_payloads): no payload or type, a quote that isn't an exact part of the excerpt, a promotable type that isn't material."""
     p = F.col(payload)
     quotes = F.forall(p["evidence"], lambda e: F.contains(F.col(excerpt), e["quote"]))
-    errors = [("missing_payload", p.isNull()), ("missing_event_type", p.isNotNull() & p["event_type"].isNull()), ("quote_not_in_excerpt", ~F.coalesce(quotes, F.lit(True))), ("promotable_not_material", (p["event_type"] != "none") & (p["is_material_candidate"] != "yes"))]
-    return F.array_sort(F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds in errors))))
+    return reasons(
+        [("missing_payload", p.isNull()), ("missing_event_type", p.isNotNull() & p["event_type"].isNull()), ("quote_not_in_excerpt", ~F.coalesce(quotes, F.lit(True))), ("promotable_not_material", (p["event_type"] != "none") & (p["is_material_candidate"] != "yes"))]
+    )
+
+
+# Keys, values and error names of the semantic payload format.
+EVENT_TYPES = ("DILUTIVE_FINANCING", "AUDITOR_TROUBLE", "DEBT_DEFAULT_COVENANT_STRESS", "CUSTOMER_LOSS", "MATERIAL_CONTRACT_AWARD", "ROUTINE_NO_EVENT", "NEEDS_REVIEW")
+PROMOTABLE_TYPES = EVENT_TYPES[:5]
+CERTAINTIES = ("clear", "mixed", "ambiguous", "insufficient")
+MATERIAL = ("yes", "no", "unknown")
+FIELDS = ("money_amounts", "share_or_warrant_terms", "counterparties", "dates", "trigger_terms", "materiality_evidence")
+PAYLOAD_KEYS = ("event_type", "certainty", "is_material_candidate", "fields", "evidence", "exclusion_reasons", "short_rationale")
+FORBIDDEN_KEYS = ("confidence", "confidence_score", "probability", "probabilities", "score", "scores", "numeric_confidence")
+NOT_BLOCKING = ("field_value_not_exact:", "field_value_blank:")
+BLOCKING_FIELD = "materiality_evidence"
+
+
+def payload_errors(payload: str, excerpt: str, expected_type: str | None = None, expected_material: str | None = None) -> F.Column:
+    """EVT-06: sorted errors of a semantic payload (a JSON object as text) about an excerpt; null where there is no object.
+
+    Missing and unexpected keys, values outside of the format's, keys of forbidden names at any depth, lists that aren't
+    lists of strings, evidence that isn't an exact part of the excerpt, promotable types that aren't material. The expected
+    values are names of columns; a null there expects nothing.
+    """
+    text = F.coalesce(F.col(excerpt), F.lit(""))
+    value = F.try_parse_json(payload)
+    at = lambda path, kind: F.try_variant_get(value, path, kind)
+    kind = lambda path: F.coalesce(F.schema_of_variant(at(path, "variant")), F.lit("MISSING"))
+    strings = lambda path: kind(path).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.coalesce(F.exists(at(path, "array<string>"), lambda x: x.isNull()), F.lit(False))
+    named = lambda holds, name: F.when(holds, F.array(F.lit(name) if isinstance(name, str) else name)).otherwise(F.array().cast("array<string>"))
+
+    def keys(have: F.Column, want: tuple[str, ...], lacks: str, extra: str) -> list[F.Column]:
+        want_ = F.array(*map(F.lit, want))
+        joined = lambda x: F.array_join(F.array_sort(x), ",")
+        return [named(F.size(F.array_except(want_, have)) > 0, F.concat(F.lit(lacks), joined(F.array_except(want_, have)))), named(F.size(F.array_except(have, want_)) > 0, F.concat(F.lit(extra), joined(F.array_except(have, want_))))]
+
+    top = F.json_object_keys(payload)
+    inner = F.json_object_keys(F.to_json(at("$.fields", "variant")))
+    type_, certainty, material = (F.coalesce(at(f"$.{k}", "string"), F.lit("null")) for k in PAYLOAD_KEYS[:3])
+    parts = [
+        *keys(top, PAYLOAD_KEYS, "missing_required_keys:", "unexpected_keys:"),
+        *(named(~v.isin(*allowed), F.concat(F.lit(name), v)) for v, allowed, name in ((type_, EVENT_TYPES, "invalid_event_type:"), (certainty, CERTAINTIES, "invalid_certainty:"), (material, MATERIAL, "invalid_material_candidate:"))),
+        named(inner.isNull(), "fields_not_object"),
+        *(F.when(inner.isNotNull(), x).otherwise(F.array().cast("array<string>")) for x in keys(F.coalesce(inner, F.array().cast("array<string>")), FIELDS, "missing_field_keys:", "unexpected_field_keys:")),
+        *(named(F.array_contains(F.coalesce(inner, F.array().cast("array<string>")), F.lit(k)) & ~strings(f"$.fields.{k}"), f"field_not_string_list:{k}") for k in FIELDS),
+        named(~kind("$.evidence").startswith("ARRAY"), "evidence_not_array"),
+        named(~strings("$.exclusion_reasons"), "exclusion_reasons_not_string_list"),
+        named(kind("$.short_rationale") != "STRING", "short_rationale_not_string"),
+        # a quoted name before a colon is a key; within a string its quotes would be escaped
+        F.transform(F.array_distinct(F.transform(F.regexp_extract_all(F.col(payload), F.lit(r'(?i)(?<!\\)"(' + "|".join(FORBIDDEN_KEYS) + r')"\s*:'), 1), F.lower)), lambda k: F.concat(F.lit("numeric_confidence_key_forbidden:"), k)),
+    ]
+    evidence = F.coalesce(at("$.evidence", "array<variant>"), F.array().cast("array<variant>"))
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    of = lambda e, k: string(F.try_variant_get(e, f"$.{k}", "variant"))
+    blank = lambda v: v.isNull() | (F.trim(v) == "")
+
+    def of_evidence(e, i):
+        quote, supports = of(e, "quote"), of(e, "supports")
+        index = i.cast("string")
+        wrong = F.when(blank(quote), F.concat(F.lit("evidence_quote_missing:"), index)).when(~F.contains(text, quote), F.concat_ws(":", F.lit("evidence_quote_not_exact"), index, F.substring(quote, 1, 80)))
+        each = F.array_compact(F.array(wrong, F.when(blank(supports), F.concat(F.lit("evidence_supports_missing:"), index))))
+        return F.when(F.schema_of_variant(e).startswith("OBJECT"), each).otherwise(F.array(F.concat(F.lit("evidence_not_object:"), index)))
+
+    parts.append(F.flatten(F.transform(evidence, of_evidence)))
+    needed = type_.isin(*PROMOTABLE_TYPES) | (material == "yes")
+    parts.append(named(needed & (F.size(evidence) == 0), "missing_evidence"))
+
+    def of_field(k: str):
+        def check(v, i):
+            s = string(v)
+            return F.when(blank(s), F.concat_ws(":", F.lit("field_value_blank"), F.lit(k), i.cast("string"))).when(~F.contains(text, s), F.concat_ws(":", F.lit("field_value_not_exact"), F.lit(k), i.cast("string"), F.substring(s, 1, 80)))
+
+        return check
+
+    for k in FIELDS:
+        values = F.coalesce(at(f"$.fields.{k}", "array<variant>"), F.array().cast("array<variant>"))
+        parts.append(F.array_compact(F.transform(values, of_field(k))))
+    for expected, got, name in ((expected_type, type_, "event_type_mismatch"), (expected_material, material, "material_candidate_mismatch")):
+        if expected:
+            parts.append(named(F.coalesce(F.col(expected) != got, F.lit(False)), F.concat(F.lit(f"{name}:expected="), F.coalesce(F.col(expected), F.lit("")), F.lit(":actual="), got)))
+    award = type_ == "MATERIAL_CONTRACT_AWARD"
+    proof = F.coalesce(F.exists(at(f"$.fields.{BLOCKING_FIELD}", "array<string>"), lambda v: ~blank(v)), F.lit(False))
+    parts += [named(award & ~proof, "missing_materiality_evidence_for_contract_award"), named(award & (material != "yes"), "contract_award_not_marked_material_candidate"), named(type_.isin(*PROMOTABLE_TYPES) & (material != "yes"), "promotable_event_not_material_candidate")]
+    return F.when(top.isNotNull(), F.array_sort(F.concat(*parts)))
+
+
+def blocking_errors(errors) -> F.Column:
+    """EVT-06: those errors that block a payload: all but values of fields that aren't exact or are blank, and these too for materiality evidence."""
+    minor = lambda e: (F.startswith(e, F.lit(NOT_BLOCKING[0])) | F.startswith(e, F.lit(NOT_BLOCKING[1]))) & (F.split_part(e, F.lit(":"), F.lit(2)) != BLOCKING_FIELD)
+    return F.filter(errors, lambda e: ~minor(e))
+
+
+def routed(df: DataFrame, item: str, targets: dict[str, str] | None = None) -> DataFrame:
+    """EVT-05: rows with route_family and route_reason: all of one broad family, or only those of targeted items (item to family)."""
+    if targets is None:
+        return df.withColumn("route_family", F.lit("broad_8k")).withColumn("route_reason", F.lit("broad_header_only_semantic_probe"))
+    family = F.try_element_at(F.create_map(*(F.lit(x) for pair in targets.items() for x in pair)), F.col(item))
+    return df.withColumn("route_family", family).where("route_family IS NOT NULL").withColumn("route_reason", F.concat(F.lit("sec_item_"), F.col(item), F.lit("_targeted_for_semantic_mvp")))
+
+
+def semantic_snippets(filings: DataFrame, candidates: DataFrame, key: str, text: str, item: str, targets: dict[str, str] | None = None, chars: int = 4000, limit: int | None = None) -> DataFrame:
+    """EVT-05: the snippet queue of candidates (key, item, accepted_at): item sections and exhibits of their filings (key, complete text).
+
+    The section of an item runs from its first heading in the main 8-K document to the next item's heading; exhibits are the
+    EX- documents but machine-readable ones. Tags are out, white space is collapsed, texts are bounded by chars. An id is
+    that of the content, and equal ids come once. Sorted rank: sections first, then by time, key, item and file; a limit
+    keeps the first ones. One exchange by key; a filing's documents are worked on within its row.
+    """
+    raw = F.regexp_extract_all(text, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), 1)
+    tag = lambda b, t: F.trim(F.regexp_extract(b, rf"(?i)<{t}>([^\n<]*)", 1))
+    body = lambda b: F.when(F.rlike(b, F.lit(r"(?is)<TEXT>.*</TEXT>")), F.regexp_extract(b, r"(?is)<TEXT>(.*?)</TEXT>", 1)).otherwise(b)
+    blocks = F.transform(raw, lambda b: F.struct(F.upper(tag(b, "TYPE")).alias("type"), tag(b, "FILENAME").alias("filename"), plain_text(body(b)).alias("text")))
+    x = filings.select(key, F.col(text).alias("_text"), blocks.alias("blocks"))
+    main = F.filter("blocks", lambda b: b["type"] == "8-K")
+    primary = F.when(F.size(main) > 0, F.try_element_at(main, F.lit(1))["text"]).otherwise(plain_text(F.col("_text")))
+    cut = F.slice(F.split(F.regexp_replace(primary, r"(?i)\bItem\s+(?=[1-9]\.\d{2}\b)", "\u0001$0"), "\u0001"), 2, 1 << 30)
+    sections = F.transform(cut, lambda s: F.struct(F.regexp_extract(s, r"(?i)^Item\s+([1-9]\.\d{2})", 1).alias("item"), F.trim(s).alias("text")))
+    exhibits = F.filter("blocks", lambda b: F.startswith(b["type"], F.lit("EX-")) & ~F.startswith(b["type"], F.lit("EX-101")) & (b["type"] != "EX-104") & (b["text"] != ""))
+    x = x.select(key, sections.alias("sections"), exhibits.alias("exhibits"))
+    c = routed(candidates, item, targets).join(x, key)
+    first = F.try_element_at(F.filter("sections", lambda s: s["item"] == F.col(item)), F.lit(1))["text"]
+    kind = "array<struct<snippet_kind: string, document_type: string, filename: string, item: string, text: string>>"
+    section = F.when(first.isNotNull(), F.array(F.struct(F.lit("item_section"), F.lit("8-K"), F.lit("complete.txt"), F.col(item), F.substring(first, 1, chars)))).otherwise(F.array()).cast(kind)
+    others = F.transform("exhibits", lambda e: F.struct(F.lit("exhibit"), e["type"], e["filename"], F.lit(None).cast("string"), F.substring(e["text"], 1, chars))).cast(kind)
+    y = c.select(key, "accepted_at", "route_family", "route_reason", F.explode(F.concat(section, others)).alias("s")).select(key, "accepted_at", "route_family", "route_reason", "s.*")
+    name = F.concat_ws(":", F.col(key).cast("string"), "snippet_kind", F.coalesce("item", F.lit("None")), "document_type", "filename", F.sha2("text", 256))
+    y = y.withColumn("snippet_id", F.concat(F.lit("sec8k_semantic_"), F.substring(F.sha2(name, 256), 1, 20)))
+    y = y.groupBy("snippet_id").agg(*(F.min_by(n, F.struct("accepted_at", "route_reason")).alias(n) for n in y.columns if n != "snippet_id"))
+    if limit is not None:  # a report of the first ones
+        y = y.orderBy(F.desc("snippet_kind"), "accepted_at", key, F.coalesce("item", F.lit("")), "filename", "snippet_id").limit(limit)
+    return y
 
 
 def snippets(df: DataFrame, keys: list[str], text: str, chars: int, most: int) -> DataFrame:
-    """EVT-05, PRJ-18, PRJ-19, SRT-04: paragraphs as bounded snippets with ids of their content, the `most` longest of each text first."""
+    """PRJ-19, SRT-04: paragraphs as bounded snippets with ids of their content, the `most` longest of each text first."""
     from pyspark.sql import Window
 
     x = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("number", "part")).where(F.length(F.trim("part")) > 0)
@@ -131,6 +260,28 @@ def snippets(df: DataFrame, keys: list[str], text: str, chars: int, most: int) -
     return x.withColumn("rank", rank).where(F.col("rank") <= most).drop("part")
 
 
+def first_events(df: DataFrame, key: str, n: int) -> DataFrame:
+    """PRJ-18: the rows of the first n keys. A limit is the feature; the list of keys has n rows."""
+    return df.join(F.broadcast(df.select(key).distinct().orderBy(key).limit(n)), key, "left_semi")
+
+
+def holders(docs: DataFrame, needles: DataFrame) -> DataFrame:
+    """Section 2.8, exact evidence: (doc_id, item_id) of the documents (doc_id, text) that hold a needle (item_id, needle) as a substring.
+
+    A needle of three or more words has an inner word, which a holder has as a whole word: candidates share the longest one.
+    Others can begin and end within words, so their candidates share the first three characters (or all, if fewer) anywhere.
+    """
+    inner = F.split("needle", r"[ \n]")
+    longest = F.element_at(F.array_sort(F.slice(inner, 2, F.size(inner) - 2), lambda a, c: F.length(c) - F.length(a)), 1)
+    b = needles.withColumn("key", F.when(F.size(inner) > 2, longest))
+    found = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("key")).join(b.where("key IS NOT NULL").select("item_id", "key"), "key").select("doc_id", "item_id")
+    short = b.where("key IS NULL").select("item_id", F.substring("needle", 1, 3).alias("key"))
+    for n in (r[0] for r in short.select(F.length("key").alias("n")).distinct().collect()):  # at most three lengths
+        grams = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), 1))).alias("key"))
+        found = found.unionByName(grams.join(short.where(F.length("key") == n), "key").select("doc_id", "item_id"))
+    return found.distinct().join(docs, "doc_id").join(needles, "item_id").where("contains(text, needle)").select("doc_id", "item_id")
+
+
 def plain_text(html) -> F.Column:
     """Tags out, the five named entities in, white space collapsed."""
     x = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")

@@ -56,6 +56,21 @@ def compact(spark: SparkSession, root: str, staging: str, order: list[str], dry_
     return a.join(b, "date").withColumn("duplicates_dropped", F.col("rows_in") - F.col("rows_written"))
 
 
+def sorted_output(df: DataFrame, root: str, order: list[str]) -> None:
+    """SRT-01: one folder a date, each in canonical order: equal tables give equal files whatever order their rows came in."""
+    df.repartition("date").sortWithinPartitions("date", *order).write.mode("overwrite").partitionBy("date").parquet(root)
+
+
+def write_artifacts(frames: dict[str, DataFrame], root: str) -> DataFrame:
+    """SNK-07: each named table (predictions, targets, prices, equity) below root; artifact, rows and columns of what was written. A row a table."""
+    out = None
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        one = df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}").agg(F.lit(name).alias("artifact"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def contract(spark: SparkSession, tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
     """SNK-08: per dataset its rows, latest date, number of columns, missing required columns and state. A row a dataset."""
     out = None
