@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import average_rank, contains_any, normal_cdf
-from tidemark.operators import asof, curation, panel, quality, validation
+from tidemark.functions.columns import average_rank, contains_any, normal_cdf, ordered_counts, quantiles
+from tidemark.operators import asof, curation, modeling, panel, quality, validation
 from tidemark.operators import filing_events as ev
 from tidemark.sources import payloads
 
@@ -118,10 +119,11 @@ def test_ridge_from_sums(spark):
     x = r.normal(size=(200, 2))
     y = x @ [1.5, -2.0] + 0.3 + 0.1 * r.normal(size=200)
     df = frame(spark, [(int(i >= 100), float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "g int, a double, b double, y double")
-    got = validation.ridge_from_sums(validation.gram_sums(df, ["a", "b"], "y", "g").orderBy("g").toPandas(), 2, [1.0])
+    sums = validation.added(validation.gram_sums(df, ["a", "b"], "y", ["g"]).withColumn("m", F.lit(0)), ["m"])
+    got = validation.ridge(sums, ["a", "b"], [1.0, 5.0], ["m"]).where("alpha = 1").first()
     xc = x - x.mean(0)
     want = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ (y - y.mean()))
-    assert np.allclose(got.iloc[1][["w0", "w1"]].astype(float), want) and got.iloc[1]["intercept"] == pytest.approx(y.mean() - x.mean(0) @ want)
+    assert np.allclose(got.coefficients, want) and got.intercept == pytest.approx(y.mean() - x.mean(0) @ want) and got.n == 200
 
 
 def test_portfolio_of_five_names(spark):
@@ -197,7 +199,7 @@ def test_titles_and_tickers(spark):
 def test_payload_errors(spark):
     raw = [('x {"event_type": "merger", "is_material_candidate": "yes", "evidence": [{"quote": "abc"}]} y', "zabcz"), ("nothing", "a"), ('{"event_type": "merger", "is_material_candidate": "no", "evidence": [{"quote": "q"}]}', "a")]
     df = payloads.model_payloads(frame(spark, raw, "raw string, excerpt string"), "raw")
-    assert [r[0] for r in df.select(payloads.payload_errors("payload", "excerpt")).collect()] == [[], ["missing_payload"], ["promotable_not_material", "quote_not_in_excerpt"]]
+    assert [r[0] for r in df.select(payloads.contradictions("payload", "excerpt")).collect()] == [[], ["missing_payload"], ["promotable_not_material", "quote_not_in_excerpt"]]
 
 
 def test_controls_find_no_signal_in_noise(spark):
@@ -231,3 +233,60 @@ def test_bootstrap_draws_as_often_as_the_study(spark):
     df = frame(spark, [(f"e{i}", "f", float(i % 10)) for i in range(40)], "event_id string, family string, v double")
     assert ev.bootstrap_ci(df, "v", ["family"]).collect() == ev.bootstrap_ci(df, "v", ["family"], iterations=1000).collect()
     assert ev.bootstrap_ci(df, "v", ["family"]).collect() != ev.bootstrap_ci(df, "v", ["family"], iterations=200).collect()
+
+
+def test_forward_asof_of_one_long_key(spark):
+    """200,000 rows of one key in one pass: every third is a query, and hits the first fact at or after it."""
+    x = spark.range(200_000).select(F.lit("A").alias("k"), F.col("id").alias("t"))
+    began = time.perf_counter()
+    got = asof.forward(x.where("t % 3 = 0"), x.where("t % 3 <> 0").withColumnRenamed("t", "f").withColumn("v", F.col("f") * 2), ["k"], "t", "f", ["v"]).select("t", "f_hit", "v")
+    assert got.where("f_hit <> t + 1 OR v <> 2 * f_hit").count() == 0 and got.where("f_hit IS NULL").count() == 0 and got.count() == 66_667
+    assert time.perf_counter() - began < 60
+
+
+def test_forward_asof_edges(spark):
+    q = frame(spark, [("A", 5), ("A", 9), ("A", None), ("B", 1)], "k string, t int")
+    f = frame(spark, [("A", 5, "x"), ("A", 7, "y"), ("A", None, "z")], "k string, f int, v string")
+    assert sorted((r.k, r.t or 0, r.v) for r in asof.forward(q, f, ["k"], "t", "f", ["v"]).collect()) == [("A", 0, None), ("A", 5, "x"), ("A", 9, None), ("B", 1, None)]
+
+
+def test_quantiles_and_counts_of_large_groups(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(int(g), float(v)) for g, v in zip(r.integers(0, 3, 2000), np.round(r.normal(size=2000), 2), strict=True)] + [(7, 1.0), (0, None)]
+    df = frame(spark, rows, "g int, v double")
+    for got in quantiles(df, "v", [0.0, 0.3, 0.5, 1.0], ("g",)).collect():
+        assert np.allclose([got.q0, got.q1, got.q2, got.q3], np.quantile([v for g, v in rows if g == got.g and v is not None], [0, 0.3, 0.5, 1]))
+    values = sorted(v for _, v in rows if v is not None)
+    for c in ordered_counts(df, "v").collect():
+        assert (c.before, c.n, c.total) == (sum(v < c.v for v in values), values.count(c.v), len(values))
+
+
+def test_pooled_rank_ic_by_group(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [(int(g), float(a), float(b)) for g, a, b in zip(r.integers(0, 2, 900), r.integers(0, 40, 900), r.normal(size=900), strict=True)]
+    df = frame(spark, rows, "g int, p double, l double")
+    a = {x.g: (round(x.rank_ic, 9), x.n) for x in panel.pooled_rank_ic(df, "p", "l", ("g",)).collect()}
+    assert a == {x.g: (round(x.rank_ic, 9), x.n) for x in panel.rank_ic(df, "p", "l", ["g"]).collect()}
+
+
+def test_fingerprint_counts_rows_that_come_twice(spark):
+    one, two = frame(spark, [(1, "a"), (1, "a"), (2, None)], "k int, v string"), frame(spark, [(1, "b"), (1, "b"), (2, None)], "k int, v string")
+    by = lambda df: {r.g: (r.rows, r.content) for r in quality.fingerprint(df.withColumn("g", F.lit(0)), ["g"]).collect()}
+    assert by(one) != by(two) and by(one) == by(one.orderBy(F.desc("k")))
+
+
+def test_holders_of_needles_without_an_inner_word(spark):
+    docs = frame(spark, [(1, "xfoo bar"), (2, "foo  bar"), (3, "a b c d"), (4, "zz"), (5, None)], "doc_id int, text string")
+    needles = frame(spark, [(1, "foo bar"), (2, "b"), (3, "z"), (4, "a b c"), (5, "oo")], "item_id int, needle string")
+    assert sorted(map(tuple, payloads.holders(docs.where("text IS NOT NULL"), needles).collect())) == [(1, 1), (1, 2), (1, 5), (2, 2), (2, 5), (3, 2), (3, 4), (4, 3)]
+
+
+def test_preflight(spark):
+    x = frame(spark, [(D(2026, 1, 1), "A", None, 1.0), (D(2026, 1, 2), "A", None, None)], "date date, symbol string, f double, label double")
+    r = modeling.preflight(x, ["f", "g"], "label", 2).first()
+    assert (r.rows, r.labelled, r.missing, r.ready) == (2, 1, "g", False) and r.blockers == ["all_features_null", "missing_columns", "too_few_labelled_rows"]
+    assert modeling.preflight(x.withColumn("f", F.lit(1.0)), ["f"], "label").first().ready

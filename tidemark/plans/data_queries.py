@@ -81,11 +81,11 @@ def agg_02_corroborated(spark, d):
 
 
 @query("""
-WITH r AS (SELECT symbol, date, close * volume AS v, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars WHERE symbol % 2 = 0)
+WITH r AS (SELECT symbol, date, close * volume AS v, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars)
 SELECT symbol, round(avg(v), 6) AS adv, count(DISTINCT date) AS n_sessions FROM r WHERE rn <= 30 GROUP BY symbol HAVING count(DISTINCT date) >= 20 ORDER BY avg(v) DESC, symbol LIMIT 10
 """)
 def agg_03_srt_02_stage0_universe(spark, d):
-    return rounded(curation.stage0_universe(t.bars(spark, d), t.listings(spark, d).where("symbol % 2 = 0"), 10, 30, 20))
+    return rounded(curation.stage0_universe(t.bars(spark, d), t.listings(spark, d), 10, 30, 20))
 
 
 @query("SELECT p_partkey, p_name, CASE WHEN t IN ('stock', 'cs', 'common_stock', 'common', 'equity', 'us_equity', '') THEN 'common_stock' WHEN t IN ('etf', 'etp', 'etn', 'fund') THEN 'etf' ELSE t END AS asset_type FROM (SELECT *, regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g') AS t FROM part) WHERE NOT regexp_matches(upper(p_name), '\\b(RED|BLUE)\\b')")
@@ -190,10 +190,10 @@ def agg_43_freshness(spark, d):
     return quality.freshness(t.table(spark, d, "events"), "event_type", "ts", "2024-01-31 00:00:00", 1450)
 
 
-@query()
+@query("""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|' || coalesce(CAST(o_custkey AS VARCHAR), '\\N') || '|' || coalesce(o_orderstatus, '\\N') || '|' || coalesce(o_orderpriority, '\\N') || '|' || year(o_orderdate)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS content FROM orders GROUP BY 1""")
 def agg_48_fingerprint(spark, d):
-    """AGG-48: the hash is Spark's own, so there is no SQL for it."""
-    return quality.fingerprint(t.table(spark, d, "orders").withColumn("year", F.year("o_orderdate")), ["year"])
+    x = t.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    return quality.fingerprint(x, ["year"])
 
 
 @query("SELECT a.symbol, a.date, a.close AS primary_value, b.vwap AS vendor_value, round(abs(b.vwap - a.close) / abs(a.close), 8) AS difference FROM bars a JOIN bars b ON a.symbol = b.symbol AND a.date = b.date")

@@ -201,6 +201,13 @@ def win_20_volume_ratio(spark, d):
     return rounded(panel.volume_ratio(daily))
 
 
+@query(_INTRADAY + """, v AS (SELECT symbol, date, CASE WHEN l30 > 0 AND l > 0 THEN ln(l / l30) END AS r, n_ticks / avg(n_ticks) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS q FROM z)
+SELECT symbol, date, round(r * coalesce(q, 0), 6) + 0.0 AS close_imbalance FROM v
+""")
+def win_20_close_imbalance(spark, d):
+    return rounded(panel.close_imbalance(panel.volume_ratio(panel.intraday_features(t.ticks(spark, d)))).select("symbol", "date", "close_imbalance"))
+
+
 @query("SELECT date, symbol, target_date, CASE WHEN target_date <= DATE '2001-06-30' THEN round(label_5d, 6) + 0.0 END AS label_5d FROM labels_5d")
 def prj_13_label_maturity(spark, d):
     x = panel.build_labels(t.bars(spark, d), t.sessions(spark, d)).drop("raw_forward_return_5d")
@@ -277,7 +284,11 @@ def join_17_event_within(spark, d):
     return asof.within_sessions(t.bars(spark, d).select("date", "symbol"), t.actions(spark, d).select("symbol", F.col("ex_date").alias("event_date")), t.sessions(spark, d))
 
 
-@query()
+_ROUNDED = ", ".join({"adv_dollar_20d": "round(ln(adv_dollar_20d), 8) AS adv_dollar_20d", "amihud_20d": "round(1e6 * amihud_20d, 6) AS amihud_20d"}.get(c, f"round({c}, 6) + 0.0 AS {c}") for c in panel.FEATURES)
+
+
+@query(f"SELECT date, symbol, {_ROUNDED} FROM features")
 def mod_01_features(spark, d):
-    """MOD-01: all 15 features at once; their parts have oracles of their own."""
-    return rounded(panel.build_features(t.bars(spark, d)))
+    """MOD-01: all 15 features at once; dollar volume as its logarithm, illiquidity in millionths."""
+    x = panel.build_features(t.bars(spark, d)).withColumn("amihud_20d", F.col("amihud_20d") * 1e6).withColumn("adv_dollar_20d", F.log("adv_dollar_20d"))
+    return rounded(x.withColumn("adv_dollar_20d", F.round("adv_dollar_20d", 8)).select("date", "symbol", *(F.when(F.lit(c == "adv_dollar_20d"), F.col(c)).otherwise(F.round(c, 6)).alias(c) for c in panel.FEATURES)), 8)

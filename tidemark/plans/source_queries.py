@@ -106,7 +106,7 @@ def src_16_evt_06_model_payloads(spark, d):
     js = F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, "merger").otherwise("none").alias("event_type"), F.lit("no").alias("is_material_candidate"), F.array(F.struct(quote.alias("quote"), F.lit("x").alias("supports"))).alias("evidence")))
     raw = F.when(F.col("doc_id") % 3 == 2, "no answer").otherwise(F.concat(F.lit("Sure: "), js, F.lit(" done")))
     y = p.model_payloads(x.withColumn("raw", raw), "raw")
-    return y.select("doc_id", "payload.event_type", F.array_join(p.payload_errors("payload", "text"), ",").alias("errors"))
+    return y.select("doc_id", "payload.event_type", F.array_join(p.contradictions("payload", "text"), ",").alias("errors"))
 
 
 @query("SELECT conv_id, CAST(count(*) FILTER (turn % 4 = 3) AS INTEGER) AS missing, 1 AS unexpected, count(*) FILTER (turn % 4 = 0) AS twice FROM conversations GROUP BY 1")
@@ -135,16 +135,10 @@ def scalar_html_text(spark, d):
 
 @query("SELECT item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def scalar_exact_evidence(spark, d):
-    """Section 2.8, evidence check: documents that hold a benchmark text; candidates share one of its rarest-length words first, not all pairs."""
-    b = t.table(spark, d, "benchmark").where("length(text) > 0")
-    words = lambda c: F.array_distinct(F.split(c, r"[ \n]"))
-    key = F.element_at(F.array_sort(words("text"), lambda a, c: F.when(F.length(a) > F.length(c), -1).when(F.length(a) < F.length(c), 1).when(a < c, -1).when(a > c, 1).otherwise(0)), 1)
-    inner = F.split("text", r"[ \n]")
-    b = b.select("item_id", F.col("text").alias("needle"), F.when(F.size(inner) > 2, F.element_at(F.array_sort(F.slice(inner, 2, F.size(inner) - 2), lambda a, c: F.length(c) - F.length(a)), 1)).otherwise(key).alias("word"))
-    docs = t.table(spark, d, "documents").select("doc_id", "text")
-    hit = docs.select("doc_id", F.explode(words("text")).alias("word")).join(b.select("word").distinct(), "word", "left_semi")
-    pairs = hit.join(b.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    return pairs.join(docs, "doc_id").join(b.select("item_id", "needle"), "item_id").where("contains(text, needle)").groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    """Section 2.8, evidence check: documents that hold a benchmark text; candidates share a whole word of its inside, not all pairs."""
+    needles = t.table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("needle"))
+    docs = t.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return p.holders(docs, needles).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 @query("SELECT symbol, CASE WHEN symbol % 2 = 0 THEN name END AS name, exchange FROM listings")
@@ -238,13 +232,13 @@ def mod_12_join_19_ensemble(spark, d):
     return rounded(a.join(b, ["date", "symbol"]).select("date", "symbol", ((F.col("p") + F.col("q")) / 2).alias("ensemble")), 8)
 
 
-@query("SELECT coalesce(a.date, b.date) AS date, coalesce(a.symbol, b.symbol) AS symbol, a.r1, b.r5 FROM (SELECT date, symbol, lead(close, 1) OVER (PARTITION BY symbol ORDER BY date) - close AS r1 FROM bars WHERE symbol % 2 = 0) a FULL JOIN (SELECT date, symbol, lead(close, 5) OVER (PARTITION BY symbol ORDER BY date) - close AS r5 FROM bars WHERE symbol % 3 = 0) b ON a.date = b.date AND a.symbol = b.symbol")
+@query("SELECT coalesce(a.date, b.date) AS date, coalesce(a.symbol, b.symbol) AS symbol, a.r1, b.r5 FROM (SELECT date, symbol, lead(close, 1) OVER (PARTITION BY symbol ORDER BY date) - close AS r1 FROM bars WHERE close >= open) a FULL JOIN (SELECT date, symbol, lead(close, 5) OVER (PARTITION BY symbol ORDER BY date) - close AS r5 FROM bars WHERE volume >= 25) b ON a.date = b.date AND a.symbol = b.symbol")
 def join_04_merge_horizons(spark, d):
     from ..operators import panel
 
     b = t.bars(spark, d)
-    one = b.where("symbol % 2 = 0").select("date", "symbol", (F.lead("close", 1).over(panel.by_symbol()) - F.col("close")).alias("r1"))
-    five = b.where("symbol % 3 = 0").select("date", "symbol", (F.lead("close", 5).over(panel.by_symbol()) - F.col("close")).alias("r5"))
+    one = b.where("close >= open").select("date", "symbol", (F.lead("close", 1).over(panel.by_symbol()) - F.col("close")).alias("r1"))
+    five = b.where("volume >= 25").select("date", "symbol", (F.lead("close", 5).over(panel.by_symbol()) - F.col("close")).alias("r5"))
     return one.join(five, ["date", "symbol"], "full")
 
 

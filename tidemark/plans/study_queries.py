@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators import telemetry, validation
 from . import tables as t
 from .tables import query, rounded
 
+# a number in [0, 1) from the MD5 of a string
+_UNIT = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0"
 _CANDIDATES = """
 c AS (SELECT accession, issuer, accepted_at, count(*) AS n_rows, count(v) AS n_strict, CAST(sum(v) AS DOUBLE) AS total_value, CAST(max(v) AS DOUBLE) AS max_value, median(CASE WHEN s THEN CAST(price AS DOUBLE) END) AS median_price,
   count(DISTINCT CASE WHEN s THEN owner END) AS n_insiders, coalesce(bool_or(CASE WHEN s THEN role = '1-URGENT' END), false) AS chief_buy, coalesce(bool_or(CASE WHEN s THEN role = '2-HIGH' END), false) AS director_buy,
@@ -93,6 +97,11 @@ def evt_01_join_15_event_labels(spark, d):
     return rounded(_labels(spark, d).withColumn("label_blockers", F.array_join("label_blockers", ",")))
 
 
+@query(f"WITH {_CANDIDATES}, {_LABELS} SELECT event_id, symbol, round(ret_5d_net, 6) + 0.0 AS ret_5d_net FROM done WHERE len(blockers) = 0 AND ret_5d_net IS NOT NULL")
+def prj_12_labelled(spark, d):
+    return rounded(ev.labelled(_labels(spark, d), "ret_5d_net").select("event_id", "symbol", "ret_5d_net"))
+
+
 @query(f"""WITH {_CANDIDATES}, {_LABELS},
 m AS (SELECT event_id, abret_1d_net AS v, row_number() OVER (ORDER BY abs(abret_1d_net) DESC, event_id) AS rn FROM done WHERE abret_1d_net IS NOT NULL)
 SELECT 'primary' AS family, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(median(v), 6) + 0.0 AS median, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(sum(abs(v)) FILTER (rn <= 5) / sum(abs(v)), 6) AS top5_share FROM m HAVING count(*) > 0
@@ -110,9 +119,14 @@ def agg_11_strength_buckets(spark, d):
     return rounded(ev.strength_buckets(_labels(spark, d, ("strength",)), "abret_1d_net"))
 
 
-@query()
+@query(f"""WITH {_CANDIDATES}, {_LABELS},
+x AS (SELECT event_id, abret_1d_net AS v, i, {_UNIT.format("'7|' || event_id || '|' || i")} AS u FROM done CROSS JOIN (SELECT unnest(generate_series(1, 1000)) AS i) WHERE abret_1d_net IS NOT NULL),
+w AS (SELECT i, v, (u > 0.36787944)::INT + (u > 0.73575888)::INT + (u > 0.91969860)::INT + (u > 0.98101184)::INT + (u > 0.99634015)::INT + (u > 0.99940582)::INT + (u > 0.99991676)::INT AS w FROM x),
+g AS (SELECT i, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY 1)
+SELECT 'primary' AS family, round(quantile_cont(m, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(m, 0.975), 6) + 0.0 AS ci_high FROM g HAVING count(*) > 0
+""")
 def agg_10_bootstrap_ci(spark, d):
-    """AGG-10: the draws are hashed by Spark, so there is no SQL for them."""
+    """AGG-10: the draws are hashed by MD5, so that SQL can repeat them."""
     return rounded(ev.bootstrap_ci(_labels(spark, d).withColumn("family", F.lit("primary")), "abret_1d_net", ["family"]))
 
 
@@ -194,10 +208,64 @@ def mod_08_purged_paths(spark, d):
 
 @query("SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n, round(sum(label_5d), 6) + 0.0 AS sy, round(sum(score), 6) + 0.0 AS s0, round(sum(raw_forward_return_5d), 6) + 0.0 AS s1, round(sum(score * score), 6) AS s0_0, round(sum(score * raw_forward_return_5d), 6) + 0.0 AS s0_1, round(sum(raw_forward_return_5d * raw_forward_return_5d), 6) AS s1_1, round(sum(score * label_5d), 6) + 0.0 AS sy0, round(sum(raw_forward_return_5d * label_5d), 6) + 0.0 AS sy1 FROM scores GROUP BY 1")
 def mod_09_gram_sums(spark, d):
-    return rounded(validation.gram_sums(t.scores(spark, d).withColumn("year", F.year("date")), ["score", "raw_forward_return_5d"], "label_5d", "year"))
+    return rounded(validation.gram_sums(t.scores(spark, d).withColumn("year", F.year("date")), ["score", "raw_forward_return_5d"], "label_5d", ["year"]))
+
+
+# pooled Spearman of p and l by g, as a query over x
+_SPEARMAN = "SELECT {g}, round(coalesce(CASE WHEN isnan(corr(rp, rl)) THEN 0 ELSE corr(rp, rl) END, 0), 6) + 0.0 AS rank_ic, count(*) AS n FROM (SELECT {g}, rank() OVER (PARTITION BY {g} ORDER BY p) + (count(*) OVER (PARTITION BY {g}, p) - 1) / 2 AS rp, rank() OVER (PARTITION BY {g} ORDER BY l) + (count(*) OVER (PARTITION BY {g}, l) - 1) / 2 AS rl FROM {x}) GROUP BY {g}"
+_XY = "xy AS (SELECT date, symbol, score AS a, ln(1 + abs(score)) AS b, label_5d AS y FROM scores WHERE label_5d IS NOT NULL)"
+_SUMS = "count(*) AS n, sum(y) AS sy, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS saa, sum(a * b) AS sab, sum(b * b) AS sbb, sum(a * y) AS say, sum(b * y) AS sby"
+# ridge with two features from sums s and penalty al
+_SOLVED = """c AS (SELECT *, saa - sa * sa / n + al AS p, sab - sa * sb / n AS q, sbb - sb * sb / n + al AS r, say - sa * sy / n AS u, sby - sb * sy / n AS v FROM s),
+w AS (SELECT *, (u * r - v * q) / (p * r - q * q) AS wa, (v * p - u * q) / (p * r - q * q) AS wb FROM c),
+m AS (SELECT *, (sy - wa * sa - wb * sb) / n AS b0 FROM w)"""
+_RIDGE = f"""{_XY}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM scores)),
+f AS (SELECT k AS fold, 500 + k * 60 AS b, least(500 + (k + 1) * 60 - 1, n - 1) AS c FROM (SELECT DISTINCT n FROM dd) CROSS JOIN (SELECT unnest(generate_series(0, 1000)) AS k) WHERE 500 + k * 60 < n),
+folds AS (SELECT CAST(fold AS INTEGER) AS fold, x.date AS train_end, y.date AS test_start, z.date AS test_end FROM f JOIN dd x ON x.i = b - 6 JOIN dd y ON y.i = b JOIN dd z ON z.i = c),
+s0 AS (SELECT fold, {_SUMS} FROM xy JOIN folds ON date <= train_end GROUP BY 1), s AS (SELECT * FROM s0 CROSS JOIN (SELECT unnest([0.01, 1.0, 100.0]) AS al)), {_SOLVED},
+t AS (SELECT xy.date, xy.symbol, m.fold, m.al AS alpha, b0 + wa * a + wb * b AS p, y AS l FROM xy JOIN folds ON date BETWEEN test_start AND test_end JOIN m ON m.fold = folds.fold),
+ic AS ({_SPEARMAN.format(g="alpha, fold", x="t")})"""
+
+
+def _ridge(spark, d):
+    x = t.scores(spark, d).withColumn("size", F.log1p(F.abs("score")))
+    return validation.walk_forward_ridge(x, validation.walk_forward_folds(x, 500, 60), ["score", "size"], "label_5d", [0.01, 1.0, 100.0])
 
 
-@query()
+@query(f"WITH {_RIDGE} SELECT alpha, fold, rank_ic, n FROM ic")
+def mod_09_ridge_grid(spark, d):
+    """MOD-07, MOD-09: rank IC of every walk-forward fold and penalty."""
+    return rounded(_ridge(spark, d)[0])
+
+
+@query(f"WITH {_RIDGE}, best AS (SELECT alpha FROM (SELECT alpha, round(avg(rank_ic), 9) AS k FROM ic GROUP BY 1) ORDER BY k DESC, alpha LIMIT 1) SELECT date, symbol, fold, t.alpha, round(p, 8) + 0.0 AS prediction FROM t JOIN best ON best.alpha = t.alpha")
+def mod_07_09_ridge_predictions(spark, d):
+    """MOD-07, MOD-09: predictions for all test dates with the penalty of the best mean rank IC."""
+    return _ridge(spark, d)[1].select("date", "symbol", "fold", "alpha", (F.round("prediction", 8) + 0.0).alias("prediction"))
+
+
+@query(f"""
+WITH {_XY}, b AS (SELECT xy.*, k FROM xy JOIN (SELECT date, ntile(8) OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM xy)) d ON d.date = xy.date),
+e AS (SELECT k, min(date) - 10 AS lo, max(date) + 10 AS hi FROM b GROUP BY 1), sm AS (SELECT DISTINCT k, symbol FROM b),
+pt AS (SELECT CAST(row_number() OVER (ORDER BY x.k, y.k) - 1 AS INTEGER) AS path, x.k AS k1, y.k AS k2 FROM e x JOIN e y ON x.k < y.k),
+mk AS (SELECT pt.path, b.*, b.k IN (k1, k2) AS is_test, EXISTS (SELECT 1 FROM e JOIN sm ON sm.k = e.k WHERE e.k IN (k1, k2) AND sm.symbol = b.symbol AND b.date BETWEEN lo AND hi) AS purged FROM b, pt),
+s AS (SELECT path, 1.0 AS al, {_SUMS} FROM mk WHERE NOT purged GROUP BY 1), {_SOLVED},
+t AS (SELECT mk.path, b0 + wa * a + wb * mk.b AS p, y AS l FROM mk JOIN m ON m.path = mk.path WHERE is_test), ic AS ({_SPEARMAN.format(g="path", x="t")})
+SELECT ic.path, m.n AS n_train, ic.n AS n_test, round(m.n / (SELECT count(*) FROM xy), 6) AS retention, rank_ic FROM ic JOIN m ON m.path = ic.path
+""")
+def mod_08_path_ridge(spark, d):
+    """MOD-08: a ridge regression and its rank IC on each of the 28 purged paths."""
+    x = t.scores(spark, d).withColumn("size", F.log1p(F.abs("score")))
+    return rounded(validation.purged_path_ridge(x, ["score", "size"], "label_5d"))
+
+
+@query(f"""
+WITH g AS (SELECT symbol, avg(ret_1d) AS m, stddev_samp(ret_1d) AS s, count(ret_1d) AS n FROM returns GROUP BY 1),
+z AS (SELECT symbol, n, CASE WHEN n >= 2 AND coalesce(s, 0) > 0 THEN m / s * sqrt(252.0) - {NormalDist().inv_cdf(0.9)!r} END AS z FROM g),
+k AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS k FROM z),
+u AS (SELECT *, k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))) * exp(-z * z / 2) / 2.5066282746310002 AS u FROM k)
+SELECT symbol, n, CASE WHEN z IS NULL THEN 0.0 WHEN z >= 0 THEN round(1 - u, 6) ELSE round(u, 6) END + 0.0 AS dsr FROM u
+""")
 def agg_29_deflated_sharpe(spark, d):
     from ..operators import panel
 
@@ -216,23 +284,39 @@ def agg_30_overfitting(spark, d):
     return rounded(validation.overfitting_probability(r), 8)
 
 
-@query()
+@query(f"""WITH {_FOLDS}, x AS (SELECT fold, date, score AS p, label_5d AS l FROM scores JOIN folds ON date BETWEEN test_start AND test_end WHERE label_5d IS NOT NULL), ic AS ({_SPEARMAN.format(g="fold", x="x")})
+SELECT ic.fold, rank_ic, ic.n, round(avg(l), 6) + 0.0 AS mean_label, min(date) AS first_date, max(date) AS last_date FROM ic JOIN x ON x.fold = ic.fold GROUP BY 1, 2, 3
+""")
 def agg_31_fold_report(spark, d):
     x = t.scores(spark, d)
     return rounded(validation.fold_report(validation.assign_folds(x, validation.walk_forward_folds(x, 500, 60)).where("part = 'test'"), "score", "label_5d"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT 'score' AS feature, date, score AS p, label_5d AS l FROM scores WHERE label_5d IS NOT NULL UNION ALL SELECT 'raw_forward_return_5d', date, raw_forward_return_5d, label_5d FROM scores WHERE label_5d IS NOT NULL),
+ic AS ({_SPEARMAN.format(g="feature, date", x="x").replace("round(", "(", 1).replace(", 6) + 0.0 AS rank_ic", ") AS rank_ic")}), m AS (SELECT feature, avg(rank_ic) AS m FROM ic GROUP BY 1)
+SELECT feature, round(m, 6) + 0.0 AS mean_ic, round(abs(m), 6) AS abs_ic, CAST(row_number() OVER (ORDER BY abs(m) DESC, feature) AS INTEGER) AS rank FROM m
+""")
 def agg_32_feature_dependence(spark, d):
     return rounded(validation.feature_dependence(t.scores(spark, d), ["score", "raw_forward_return_5d"], "label_5d"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT date, symbol, score AS p, label_5d AS l FROM scores),
+h AS (SELECT date, l, row_number() OVER (PARTITION BY date ORDER BY {_UNIT.format("'17|' || CAST(date AS VARCHAR) || '|' || symbol")}, symbol) AS i FROM b),
+j AS (SELECT date, symbol, p, row_number() OVER (PARTITION BY date ORDER BY symbol) AS i FROM b),
+nm AS (SELECT symbol, coalesce(lead(symbol) OVER w, first_value(symbol) OVER w) AS other FROM (SELECT DISTINCT symbol FROM b) WINDOW w AS (ORDER BY {_UNIT.format("'17|' || symbol")}, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+x AS (SELECT 'actual' AS control, date, p, l FROM b UNION ALL SELECT 'shuffled', j.date, p, l FROM j JOIN h ON h.date = j.date AND h.i = j.i
+  UNION ALL SELECT 'date_shifted', date, p, lead(l) OVER (PARTITION BY symbol ORDER BY date) FROM b UNION ALL SELECT 'random', date, {_UNIT.format("'17|' || CAST(date AS VARCHAR) || '|' || symbol")}, l FROM b
+  UNION ALL SELECT 'permuted_ticker', b.date, o.p, b.l FROM b JOIN nm ON nm.symbol = b.symbol JOIN b o ON o.date = b.date AND o.symbol = nm.other UNION ALL SELECT 'future_leak', date, l, l FROM b),
+y AS (SELECT * FROM x WHERE p IS NOT NULL AND l IS NOT NULL), ic AS ({_SPEARMAN.format(g="control, date", x="y").replace("round(", "(", 1).replace(", 6) + 0.0 AS rank_ic", ") AS rank_ic")})
+SELECT control, round(avg(rank_ic), 6) + 0.0 AS mean_ic, count(*) AS n_dates FROM ic GROUP BY 1
+""")
 def agg_33_mod_11_negative_controls(spark, d):
     return rounded(validation.negative_controls(t.scores(spark, d), "score", "label_5d"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT 'as_is' AS sign, date, score AS p, label_5d AS l FROM scores UNION ALL SELECT 'flipped', date, -score, label_5d FROM scores), ic AS ({_SPEARMAN.format(g="sign, date", x="x").replace("round(", "(", 1).replace(", 6) + 0.0 AS rank_ic", ") AS rank_ic")})
+SELECT sign, round(avg(rank_ic), 6) + 0.0 AS mean_ic FROM ic GROUP BY 1
+""")
 def agg_34_sign_flip(spark, d):
     return rounded(validation.sign_flip(t.scores(spark, d), "score", "label_5d"))
 
@@ -295,9 +379,49 @@ def join_22_agg_37_holding_returns(spark, d):
     return rounded(validation.holding_returns(_weights(spark, d), t.bars(spark, d), 5))
 
 
-@query("SELECT user_id % 5 AS vendor, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, max(value) AS largest, max(ts) AS latest FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1, 2")
-def agg_20_23_decisions(spark, d):
-    return telemetry.decisions(t.table(spark, d, "events").withColumn("vendor", F.col("user_id") % 5), "2024-01-15 00:00:00", ["vendor", "event_type"])
+_LEDGER = """l AS (SELECT user_id % 5 AS vendor, CASE WHEN user_id % 7 > 0 THEN 'd' || user_id % 7 END AS dataset, event_type AS decision, event_type AS action, event_type AS status, event_type AS verdict, 'o' || user_id % 3 AS output_name,
+  props AS reason, props AS error, ts AS created_at, CAST(ts AS DATE) AS partition_date, md5(props) AS payload_hash, event_id % 11 AS k, value FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00')"""
+
+
+def _ledger(spark, d):
+    """Events as rows of the ledgers."""
+    e = t.table(spark, d, "events")
+    k = F.col("event_id") % 11
+    counts = ("rows_in", "rows_written", "rows_normalized", "duplicates_dropped", "schema_mismatch", "rows_checked", "partitions_checked", "duplicate_key_count", "timestamp_violation_count", "pit_violation_count", "target_width", "active_width", "eligible_tasks", "budget_remaining_minute", "budget_remaining_daily")
+    kind = F.col("event_type")
+    return e.select(
+        (F.col("user_id") % 5).alias("vendor"), F.when(F.col("user_id") % 7 > 0, F.concat(F.lit("d"), F.col("user_id") % 7)).alias("dataset"), kind.alias("decision"), kind.alias("action"), kind.alias("verdict"), F.when(kind == "view", "success").otherwise(kind).alias("status"),
+        F.concat(F.lit("o"), F.col("user_id") % 3).alias("output_name"), F.col("props").alias("reason"), F.col("props").alias("error"), F.col("ts").alias("created_at"), F.to_date("ts").alias("partition_date"), F.md5("props").alias("payload_hash"),
+        *(k.alias(c) for c in counts), F.col("value").alias("rows_per_credit"), F.col("value").alias("latency_ms"), F.col("value").alias("duration_ms"),
+    )
+
+
+_SINCE = "2024-01-15 00:00:00"
+
+
+@query(f"WITH {_LEDGER} SELECT vendor, coalesce(dataset, '') AS dataset, decision, count(*) AS count, max(created_at) AS latest_at, max(reason) AS latest_reason FROM l GROUP BY 1, 2, 3")
+def agg_20_scheduler_decisions(spark, d):
+    return telemetry.scheduler_decisions(_ledger(spark, d), _SINCE)
+
+
+@query(f"WITH {_LEDGER} SELECT vendor, dataset, action, count(*) AS count, max(k) AS target_width, max(k) AS active_width, max(k) AS eligible_tasks, max(k) AS budget_remaining_minute, max(k) AS budget_remaining_daily, max(value) AS latency_ms, round(avg(value), 6) AS rows_per_credit, max(reason) AS latest_reason, max(created_at) AS latest_at FROM l GROUP BY 1, 2, 3")
+def agg_20_controller_decisions(spark, d):
+    return rounded(telemetry.controller_decisions(_ledger(spark, d), _SINCE))
+
+
+@query(f"WITH {_LEDGER} SELECT output_name, count(*) AS writes, count(*) FILTER (status = 'view') AS successes, count(*) FILTER (status <> 'view') AS failures, CAST(sum(k) AS BIGINT) AS rows_in, CAST(sum(k) AS BIGINT) AS rows_written, CAST(sum(k) AS BIGINT) AS duplicates_dropped, CAST(sum(k) AS BIGINT) AS schema_mismatches, round(avg(value), 6) AS avg_duration_ms, max(value) AS max_duration_ms, max(created_at) AS latest_at, max(error) AS latest_error FROM l GROUP BY 1")
+def agg_21_archive_writes(spark, d):
+    return rounded(telemetry.archive_writes(_ledger(spark, d), _SINCE))
+
+
+@query(f"WITH {_LEDGER} SELECT CAST(vendor AS VARCHAR) AS vendor, dataset, output_name, CASE WHEN status = 'view' THEN 'success' ELSE status END AS status, count(*) AS events, CAST(sum(k) AS BIGINT) AS rows_in, CAST(sum(k) AS BIGINT) AS rows_normalized, CAST(sum(k) AS BIGINT) AS rows_written, CAST(sum(k) AS BIGINT) AS duplicates_dropped, max(partition_date) AS latest_partition_date, max(payload_hash) AS latest_payload_hash, max(error) AS latest_error, max(created_at) AS latest_at FROM l GROUP BY 1, 2, 3, 4")
+def agg_22_ingestion_events(spark, d):
+    return telemetry.ingestion_events(_ledger(spark, d).withColumn("vendor", F.col("vendor").cast("string")), _SINCE)
+
+
+@query(f"WITH {_LEDGER} SELECT dataset, verdict, CASE WHEN status = 'view' THEN 'success' ELSE status END AS status, count(*) AS checks, CAST(sum(k) AS BIGINT) AS rows_checked, CAST(sum(k) AS BIGINT) AS partitions_checked, CAST(sum(k) AS BIGINT) AS duplicate_key_count, CAST(sum(k) AS BIGINT) AS timestamp_violation_count, CAST(sum(k) AS BIGINT) AS pit_violation_count, max(reason) AS latest_reason, max(created_at) AS latest_at FROM l GROUP BY 1, 2, 3")
+def agg_23_quality_checks(spark, d):
+    return telemetry.quality_checks(_ledger(spark, d), _SINCE)
 
 
 @query("SELECT user_id % 5 AS vendor, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 8) AS failure_rate FROM events GROUP BY 1")
@@ -310,10 +434,10 @@ def srt_02_latest_failures(spark, d):
     return telemetry.latest_failures(t.table(spark, d, "events"), "event_type", "error", "ts", "event_id").select("event_id", "ts", "user_id")
 
 
-@query("SELECT coalesce(lane, 'unassigned') AS lane, count(*) AS attempts, sum(rows) / 60.0 AS rows_per_minute FROM (SELECT user_id AS task, CAST(event_id % 7 AS DOUBLE) AS rows FROM events) e LEFT JOIN (SELECT c_custkey AS task, c_mktsegment AS lane FROM customer WHERE c_custkey % 2 = 0) c ON c.task = e.task GROUP BY 1")
+@query("SELECT coalesce(lane, 'unassigned') AS lane, count(*) AS attempts, sum(rows) / 60.0 AS rows_per_minute FROM (SELECT user_id AS task, CAST(event_id % 7 AS DOUBLE) AS rows FROM events) e LEFT JOIN (SELECT c_custkey AS task, c_mktsegment AS lane FROM customer WHERE c_acctbal >= 0) c ON c.task = e.task GROUP BY 1")
 def agg_25_join_21_throughput(spark, d):
     e = t.table(spark, d, "events").select(F.col("user_id").alias("task"), (F.col("event_id") % 7).cast("double").alias("rows"))
-    return telemetry.throughput(e, t.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("task"), F.col("c_mktsegment").alias("lane")), "task", "lane", 60.0)
+    return telemetry.throughput(e, t.table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("task"), F.col("c_mktsegment").alias("lane")), "task", "lane", 60.0)
 
 
 @query("""WITH x AS (SELECT TRY_CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events) SELECT CASE WHEN k < 25 THEN 'urgent' WHEN k < 75 THEN 'normal' WHEN k IS NOT NULL THEN 'deferred' ELSE 'unknown' END AS backlog_class, count(*) AS n, round(avg(k), 8) AS mean_k FROM x GROUP BY 1""")

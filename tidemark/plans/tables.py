@@ -77,11 +77,12 @@ def event_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, d: str) -> DataFrame:
-    """Corporate actions, one for each (symbol, date, type): splits of price factor 0.5, dividends of a hundredth of the price."""
-    x = table(spark, d, "lineitem")
-    split = x.where("l_returnflag = 'R' AND l_orderkey % 500 = 0").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("ex_date"), F.lit("split").alias("event_type"), F.lit(0.5).alias("ratio"), F.lit(None).cast("double").alias("amount"))
-    paid = x.where("l_returnflag = 'A' AND l_orderkey % 300 = 0").groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("ex_date")).agg(F.round(F.min(F.col("l_extendedprice") / F.col("l_quantity")) / 100, 2).alias("amount"))
-    return split.distinct().unionByName(paid.select("symbol", "ex_date", F.lit("dividend").alias("event_type"), F.lit(None).cast("double").alias("ratio"), "amount"))
+    """Corporate actions: a split of price factor 0.5 on the last day of a symbol's returned lines of each year, a dividend on the last day of its accepted lines of each quarter, a hundredth of the quarter's lowest price."""
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_returnflag", F.try_divide("l_extendedprice", "l_quantity").alias("price"))
+    split = x.where("l_returnflag = 'R'").groupBy("symbol", F.trunc("date", "year")).agg(F.max("date").alias("ex_date"))
+    paid = x.where("l_returnflag = 'A'").groupBy("symbol", F.trunc("date", "quarter")).agg(F.max("date").alias("ex_date"), F.round(F.min("price") / 100, 2).alias("amount"))
+    none = F.lit(None).cast("double")
+    return split.select("symbol", "ex_date", F.lit("split").alias("event_type"), F.lit(0.5).alias("ratio"), none.alias("amount")).unionByName(paid.select("symbol", "ex_date", F.lit("dividend").alias("event_type"), none.alias("ratio"), "amount"))
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:
@@ -122,11 +123,22 @@ VIEWS: dict[str, str] = {
     "news": """SELECT user_id AS symbol, ts AS published_at, regexp_extract(props, '"k": *([0-9]+)', 1) AS source, event_type AS vendor, event_id AS news_id FROM events WHERE event_type IN ('view', 'click')""",
     "filings": "SELECT user_id AS symbol, ts AS accepted_at, CASE event_id % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' ELSE '8-K' END AS form, event_id FROM events WHERE event_type = 'purchase'",
     "event_grid": "SELECT date, symbol FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events) CROSS JOIN (SELECT DISTINCT user_id AS symbol FROM events)",
-    "actions": """SELECT DISTINCT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ex_date, 'split' AS event_type, 0.5::DOUBLE AS ratio, NULL::DOUBLE AS amount FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 500 = 0
-  UNION ALL SELECT l_suppkey, CAST(l_shipdate AS DATE), 'dividend', NULL, round(min(l_extendedprice / l_quantity) / 100, 2) FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 300 = 0 GROUP BY 1, 2""",
+    "actions": """SELECT l_suppkey AS symbol, max(CAST(l_shipdate AS DATE)) AS ex_date, 'split' AS event_type, 0.5::DOUBLE AS ratio, NULL::DOUBLE AS amount FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey, year(l_shipdate)
+  UNION ALL SELECT l_suppkey, max(CAST(l_shipdate AS DATE)), 'dividend', NULL, round(min(l_extendedprice / l_quantity) / 100, 2) FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey, date_trunc('quarter', l_shipdate)""",
     "listings": """SELECT symbol, s_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'NYSE' ELSE 'NASDAQ' END AS exchange, 'common_stock' AS asset_type, a AS ipo_date, CASE WHEN symbol % 7 = 0 THEN b END AS delist_date, s_acctbal AS balance
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN (SELECT symbol, min(date) AS a, max(date) AS b FROM bars GROUP BY 1) ON s_suppkey = symbol""",
     "returns": "SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS ret_1d FROM bars",
+    "features": "SELECT date, symbol, " + ", ".join(f"lag({c}) OVER (PARTITION BY symbol ORDER BY date) AS {c}" for c in panel.FEATURES) + """ FROM (
+  SELECT *, CASE WHEN count(residual) OVER w20 = 20 THEN stddev_samp(residual) OVER w20 END AS idio_vol_20d FROM (
+    SELECT *, ret_1d - CASE WHEN count(CASE WHEN ret_1d IS NOT NULL AND mkt_ret IS NOT NULL THEN 1 END) OVER w20 = 20 THEN covar_samp(ret_1d, mkt_ret) OVER w20 / nullif(var_pop(mkt_ret) OVER w20, 0) END * mkt_ret AS residual,
+      ln(close / lag(close, 5) OVER w) AS momentum_5d, ln(close / lag(close, 20) OVER w) AS momentum_20d, ln(close / lag(close, 60) OVER w) AS momentum_60d, ln(close / lag(close, 126) OVER w) AS momentum_126d,
+      -ln(close / lag(close, 1) OVER w) AS reversal_1d, -ln(close / lag(close, 5) OVER w) AS reversal_5d,
+      CASE WHEN count(*) OVER w20 = 20 THEN close / max(close) OVER w20 - 1 END AS drawdown_20d, CASE WHEN count(*) OVER w60 = 60 THEN close / max(close) OVER w60 - 1 END AS drawdown_60d, ln(open / lag(close) OVER w) AS gap_overnight,
+      CASE WHEN count(ret_1d) OVER w20 = 20 THEN stddev_samp(ret_1d) OVER w20 END AS realized_vol_20d, CASE WHEN count(ret_1d) OVER w60 = 60 THEN stddev_samp(ret_1d) OVER w60 END AS realized_vol_60d,
+      CASE WHEN count(*) OVER w20 = 20 THEN avg(close * volume) OVER w20 END AS adv_dollar_20d, CASE WHEN count(il) OVER w20 = 20 THEN avg(il) OVER w20 END AS amihud_20d, ln(greatest(close, 1e-9)) AS log_price
+    FROM (SELECT *, avg(ret_1d) OVER (PARTITION BY date) AS mkt_ret, abs(ret_1d) / nullif(close * volume, 0) AS il FROM returns)
+    WINDOW w AS (PARTITION BY symbol ORDER BY date), w20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), w60 AS (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING))
+  WINDOW w20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING))""",
     "labels_5d": """SELECT date, symbol, target_date, r AS raw_forward_return_5d, r - avg(r) OVER (PARTITION BY date) AS label_5d FROM (
   SELECT b.date, b.symbol, t.target_date, ln(c.close / b.close) AS r FROM bars b JOIN (
     SELECT o.date, CASE WHEN s.session_idx IS NOT NULL THEN n.date ELSE o.observed END AS target_date
