@@ -77,7 +77,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
     r = row[window[first]]
-    return r, at[first] - starts[r], window[first] - starts[r], window[last] - starts[r], h[at[first]]
+    return r, at[first] - starts[r], window[first] - starts[r], window[last] - starts[r], mix(h[at[first]])  # mixed anew: least hashes lie close together
 
 
 def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
