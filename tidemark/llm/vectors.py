@@ -1,7 +1,7 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
 Unit vectors are rotated to their principal axes, so that the leading dimensions hold most of every product. Tiles are
-ranges of the first coordinate; two vectors of cosine t are at most sqrt(2 - 2t) apart in any coordinate, so only tiles
+ranges of the first coordinate, those of too many vectors (ties) split by a hash; two vectors of cosine t are at most sqrt(2 - 2t) apart in any coordinate, so only tiles
 so near meet. Within a pair of tiles products are accumulated over the leading dimensions first; the rest of a product is
 bounded by the product of the two suffix norms, and a pair is given up as soon as its cosine cannot reach the threshold.
 What remains is decided by the cosine of the vectors as given, in double precision.
@@ -20,7 +20,9 @@ from .common import written
 from .components import components
 from .groups import changes, unite, whole_groups
 
-THRESHOLD, TILE, STEP_DIMS, ROWS_AT_ONCE = 0.9, 4096, 16, 1024
+THRESHOLD, TILE, STEP_DIMS, ROWS_AT_ONCE = 0.9, 16_384, 16, 256
+#: Vectors of a tile at least, while there are fewer pairs of tiles than tasks at a time.
+LEAST_TILE = 2048
 
 #: Vectors that can link: not null, and finite and not null in all components, not all zero.
 USABLE = "embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x != 0)"
@@ -115,18 +117,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     schema = "e1 bigint, e2 bigint, rep bigint, n bigint, embedding array<{}>, dim int".format(classes.schema["embedding"].dataType.elementType.simpleString())
     placed = classes.mapInArrow(lead, schema + ", x double")
-    tiles = max(1, -(-classes.count() // tile))
+    rows_ = classes.count()
+    tasks = classes.sparkSession.sparkContext.defaultParallelism
+    tiles = max(1, -(-rows_ // tile), min(-(-rows_ // min(tile, LEAST_TILE)), int((2 * tasks) ** 0.5) + 1))
     edges = np.unique(placed.approxQuantile("x", [i / tiles for i in range(1, tiles)], 0.2 / tiles)) if tiles > 1 else np.empty(0)
     low, high = np.concatenate([[-1.0], edges]), np.concatenate([edges, [1.0]])
-    until = np.searchsorted(low, high + np.sqrt(2 - 2 * threshold) + 1e-9, "right") - 1  # the last tile in reach of each
-    since = np.searchsorted(until, np.arange(len(low)))  # the first tile whose reach includes it
+    until = np.searchsorted(low, high + np.sqrt(2 - 2 * threshold) + 1e-9, "right") - 1  # the last range in reach of each
+    since = np.searchsorted(until, np.arange(len(low)))  # the first range whose reach includes it
+
+    def range_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column("x").to_numpy(), "right").astype(np.int32))], names=["r"])
+
+    held = np.zeros(len(low), np.int64)
+    for r, n in placed.select("x").mapInArrow(range_of, "r int").groupBy("r").count().collect():  # a row a range
+        held[r] = n
+    parts_of = np.maximum(1, -(-held // (2 * tile)))  # a range of ties is split by a hash into tiles
+    begin = np.concatenate([[0], np.cumsum(parts_of)])
 
     def deal(batches):  # a copy of each vector for each pair of tiles that its own is in
         for b in batches:
-            own = np.searchsorted(edges, b.column("x").to_numpy(), "right")
-            count = until[own] - since[own] + 1
+            range_ = np.searchsorted(edges, b.column("x").to_numpy(), "right")
+            own = begin[range_] + b.column("e1").to_numpy() % parts_of[range_]
+            first = begin[since[range_]]
+            count = begin[until[range_] + 1] - first  # tiles in reach lie side by side
             pick = np.repeat(np.arange(len(own)), count)
-            other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + since[own][pick]
+            other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[pick]
             mine = own[pick]
             for s in range(0, len(pick), 10_000):
                 p = pa.array(pick[s : s + 10_000])
