@@ -39,15 +39,19 @@ def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return new
 
 
-def pairs_within(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j), i < j, of rows of one group. Only for groups of bounded size."""
+def pairs_within(new: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j), i < j, of rows of one group, in steps of about so many. Only for groups of bounded size."""
     n = len(new)
     group = np.cumsum(new) - 1
     ends = np.append(np.flatnonzero(new)[1:], n)[group]
-    count = ends - np.arange(n) - 1
-    i = np.repeat(np.arange(n), count)
-    j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + i + 1
-    return i, j
+    count = ends - np.arange(n) - 1  # of each row as i
+    upto, low = np.cumsum(count), 0
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most, "right")))
+        some = count[low:high]
+        i = np.repeat(np.arange(low, high), some)
+        yield i, np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + i + 1
+        low = high
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

@@ -3,8 +3,8 @@
 A document's set holds the runs of five words of its lower-cased text. MinHash values are grouped into bands of rows; a
 pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands, and bands and rows are chosen so that at the
 threshold this reaches the target recall. Band hashes are shuffled; documents that share one are compared on their full
-sets. A bucket of any size is split into blocks, and each pair of blocks is a tile of bounded size, so no bucket is too
-large and no list of all pairs is made: a tile reports link counts and a spanning forest. A pair that shares several
+sets. A bucket of any size is split into blocks of bounded numbers of documents and of runs, and each pair of blocks is a
+tile, so no bucket is too large and no list of all pairs is made: a tile reports link counts and a spanning forest. A pair that shares several
 bands is compared in the first of them only.
 
 Documents of the same words are one class and are compared once.
@@ -22,7 +22,9 @@ from .common import as_bytes, mix, powers, row_key, span_hashes, steps, words_of
 from .components import components
 from .groups import changes, pairs_within, unite, whole_groups
 
-WORDS, THRESHOLD, RECALL, MOST_HASHES, BLOCK = 5, 0.8, 0.9999, 80, 256
+WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 80
+#: Most documents and most runs of a block; pairs that are looked at in one step.
+BLOCK, BLOCK_RUNS, PAIRS_AT_ONCE = 1024, 1 << 20, 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -91,17 +93,18 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 def _candidates(table: pa.Table, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of a tile to be compared in it: across its two blocks or within its one, and sharing no band before."""
-    i, j = pairs_within(changes(table, ["bucket", "t1", "t2"]))
     t1, t2, side, band = (table[c].to_numpy() for c in ("t1", "t2", "side", "band"))
-    ok = (t1[i] == t2[i]) | (side[i] != side[j])
-    i, j = i[ok], j[ok]
     sig = table["bands"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, bands)
-    out = []
-    for at in range(0, len(i), 1 << 18):
-        x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-        first = np.argmax(sig[x] == sig[y], 1) == band[x]
-        out.append((x[first], y[first]))
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (i, j)
+    none = np.empty(0, np.int64)
+    out = [(none, none)]
+    for i, j in pairs_within(changes(table, ["bucket", "t1", "t2"]), PAIRS_AT_ONCE):
+        ok = (t1[i] == t2[i]) | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), 1 << 17):
+            x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+            first = np.argmax(sig[x] == sig[y], 1) == band[x]
+            out.append((x[first].astype(np.int32), y[first].astype(np.int32)))
+    return tuple(np.concatenate(z).astype(np.int64) for z in zip(*out, strict=True))
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -143,7 +146,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     return rows.join(kept, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
 
 
-def links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_runs: int = BLOCK_RUNS) -> DataFrame:
     """k1, k2 (the row's key), doc_id, class_id, n_links, copy_of, kept of every row of docs (doc_id, text).
 
     n_links counts the other documents whose sets have a Jaccard similarity >= threshold, class_id is the smallest doc_id
@@ -155,10 +158,11 @@ def links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, rec
     bands, rows = choose_bands(threshold, recall)
     sigs = written(signatures(docs, words, bands, rows), "signatures")
     usable = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select("c1", "c2", F.posexplode("bands").alias("band", "h")).select("c1", "c2", "band", F.xxhash64("band", "h").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = spread.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.expr("CAST(pmod(c1, blocks) AS int)"))
+    classes = written(usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    spread = classes.select("c1", "c2", "n", F.posexplode("bands").alias("band", "h")).select("c1", "c2", "n", "band", F.xxhash64("band", "h").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("runs")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("runs") / block_runs)).cast("int")
+    members = spread.join(shared, "bucket").withColumn("blocks", blocks).withColumn("own", F.expr("CAST(pmod(c1, blocks) AS int)"))
     tiled = members.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
         "bucket", "band", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), (F.col("own") > F.col("other")).cast("int").alias("side"), "c1", "c2"
     )
