@@ -21,6 +21,7 @@ TURNS_TOGETHER = 1024
 def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES, turns_together: int = TURNS_TOGETHER) -> DataFrame:
     """One row for each message and perspective of conversations (conv_id, turn, role, text).
 
+    The format's marks within texts and names are broken up (`<|` to `< |`, `|>` to `| >`), so that none can forge a turn.
     conv_id, perspective, turn, speaker, role (assistant, user, or the context role), name (of a user), segment,
     begin and end (its characters in the rendering), mask_begin and mask_end (the trained part; equal if none).
     Messages are ordered by turn, then speaker, then text. Null text counts as empty, a null role as "unknown", null
@@ -34,11 +35,12 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
     people = messages.where(~context).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
     seen = messages.join(people, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
     role = F.when(context, F.col("speaker")).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
-    head = F.concat(F.lit("<|"), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(F.lit("")), F.lit("|>\n"))
+    plain = lambda c: F.replace(F.replace(c, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    head = F.concat(F.lit("<|"), plain(F.col("role")), F.when(F.col("role") == "user", F.concat(F.lit(" name="), plain(F.col("speaker")))).otherwise(F.lit("")), F.lit("|>\n"))
     parts = (
         seen.withColumn("role", role)
         .withColumn("head", head)
-        .withColumn("segment", F.concat("head", "text", F.lit("<|end|>\n")))
+        .withColumn("segment", F.concat("head", plain(F.col("text")), F.lit("<|end|>\n")))
         .withColumn("block", F.coalesce(F.floor(F.col("turn") / turns_together), F.lit(-(1 << 62))))
     )
     # lengths are summed up in two steps, over blocks of turns and within them, so that no task gets a whole conversation
@@ -70,9 +72,9 @@ WITH messages AS (
     CASE WHEN speaker = 'system' THEN speaker WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM messages JOIN people ON conv_id IS NOT DISTINCT FROM conv
 ), headed AS (
-  SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) AS head FROM seen
+  SELECT *, '<|' || replace(replace(role, '<|', '< |'), '|>', '| >') || CASE WHEN role = 'user' THEN ' name=' || replace(replace(speaker, '<|', '< |'), '|>', '| >') ELSE '' END || '|>' || chr(10) AS head FROM seen
 ), parts AS (
-  SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM headed
+  SELECT *, head || replace(replace(text, '<|', '< |'), '|>', '| >') || '<|end|>' || chr(10) AS segment FROM headed
 ), placed AS (
   SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM parts
 )

@@ -213,19 +213,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     return model
 
 
-def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs and `toxicity`, the score from 0 to 1 of the column text. Null text counts as empty, repeated rows score alike."""
+def scores(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """docs and a column `out`, the score from 0 to 1 of the column text; it takes the place of one of that name. Null text counts as empty, repeated rows score alike."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    if "toxicity" in docs.columns:
-        raise ValueError("docs has a column toxicity already")
 
     def run(batches):
         for b in steps(batches, text):
             col = b.column(at)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(col.fill_null("") if col.null_count else col))], names=[*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(col.fill_null("") if col.null_count else col))], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, toxicity double")
+    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{out}` double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
