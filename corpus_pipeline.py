@@ -17,13 +17,16 @@ from tidemark.llm.common import written
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; the model learns from the labels of documents that are here."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scores(docs, model).where("toxicity < 0.5").drop("toxicity")
+    score = "toxicity"
+    while score in docs.columns:
+        score += "_"
+    return toxicity.scores(docs, model, out=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier run; one of which nothing is left goes."""
     done = linededup.dedup_lines(docs).where("NOT (size(removed) > 0 AND row.text = '')").select("row.*")
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
