@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curation, quality
+from ..operators import curation, quality, reference
+from ..sources.folders import fresh
 from . import tables as t
 from .tables import query, rounded
 
@@ -65,13 +66,68 @@ SELECT symbol, arg_min(name, r) FILTER (name <> '') AS name, arg_min(exchange, r
   CASE WHEN bool_or(delist_date IS NOT NULL) THEN 'delisted' ELSE 'active' END AS status, 'delisting,listing' AS sources FROM src GROUP BY symbol
 """)
 def agg_01_prj_01_golden_records(spark, d):
+    return curation.golden_records(_listing_sources(spark, d))
+
+
+def _listing_sources(spark, d):
+    """Listings and delistings in layouts of their own, aligned."""
     x = t.listings(spark, d)
     a = x.select("symbol", F.when(F.col("symbol") % 3 == 0, "").otherwise(F.col("name")).alias("title"), "exchange", "ipo_date")
     b = x.select(F.col("symbol").alias("ticker"), F.concat(F.lit("X"), "name").alias("name"), F.date_add("ipo_date", 5).alias("start"), "delist_date")
     fields = {"symbol": ["symbol", "ticker"], "name": ["name", "title"], "exchange": ["exchange"], "asset_type": ["type"], "ipo_date": ["ipo_date", "start"], "delist_date": ["delist_date"]}
     one, two = curation.aligned(a, fields, "listing", 1), curation.aligned(b, fields, "delisting", 2)
     typed = lambda f: f.select("symbol", "name", F.col("exchange").cast("string").alias("exchange"), F.col("asset_type").cast("string").alias("asset_type"), "ipo_date", F.col("delist_date").cast("date").alias("delist_date"), "source", "source_rank")
-    return curation.golden_records(typed(one).unionByName(typed(two)))
+    return typed(one).unionByName(typed(two))
+
+
+# renames of negative balances to the next key, two of some symbols; links of customers' nations to suppliers; orders as filings
+_REFERENCE = """
+raw AS (SELECT CAST(s_suppkey AS VARCHAR) AS o, CAST(s_suppkey + 1 AS VARCHAR) AS n, DATE '2001-01-01' + CAST(s_nationkey AS INTEGER) AS dt, CASE WHEN s_acctbal < -500 THEN 'K' || s_nationkey END AS c FROM supplier WHERE s_acctbal < 0
+  UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CAST(s_suppkey + 2 AS VARCHAR), DATE '2002-01-01', NULL FROM supplier WHERE s_acctbal < -700),
+links AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, min('C' || s_nationkey) AS cik FROM supplier WHERE s_acctbal > 2000 GROUP BY 1),
+last AS (SELECT o, arg_max(n, dt) AS n, max(dt) AS dt, arg_max(coalesce(c, '-'), dt) AS c FROM raw GROUP BY 1),
+filed AS (SELECT DISTINCT 'C' || (o_custkey % 25) AS cik, o_orderstatus AS form, CAST(o_orderdate AS DATE) AS filing_date, CAST(o_orderkey AS VARCHAR) AS accession_number FROM orders),
+by_cik AS (SELECT cik, min(symbol) AS symbol FROM links GROUP BY 1),
+master AS (SELECT CAST(l.symbol AS VARCHAR) AS symbol, coalesce(last.n, CAST(l.symbol AS VARCHAR)) AS primary_symbol, last.dt AS change_date, coalesce(nullif(last.c, '-'), a.cik, b.cik) AS cik FROM listings l
+  LEFT JOIN last ON last.o = CAST(l.symbol AS VARCHAR) LEFT JOIN links a ON a.symbol = CAST(l.symbol AS VARCHAR) LEFT JOIN links b ON b.symbol = coalesce(last.n, CAST(l.symbol AS VARCHAR)))
+"""
+
+
+def _reference_sources(spark, d):
+    s, name = t.table(spark, d, "supplier"), F.col("s_suppkey").cast("string")
+    first = s.where("s_acctbal < 0").select(name.alias("oldSymbol"), (F.col("s_suppkey") + 1).cast("string").alias("newSymbol"), F.expr("date_add(DATE '2001-01-01', CAST(s_nationkey AS int))").alias("date"), F.when(F.col("s_acctbal") < -500, F.concat(F.lit("k"), "s_nationkey")).alias("cik"))
+    second = s.where("s_acctbal < -700").select(F.concat(F.lit(" "), name).alias("oldSymbol"), (F.col("s_suppkey") + 2).cast("string").alias("newSymbol"), F.lit("2002-01-01").cast("date").alias("date"), F.lit(None).cast("string").alias("cik"))
+    changes = first.withColumn("cik", F.upper("cik")).unionByName(second).unionByName(second.withColumn("newSymbol", F.lit("")))
+    links = s.where("s_acctbal > 2000").select(name.alias("ticker"), F.concat(F.lit("C"), "s_nationkey").alias("cik_str"))
+    o = t.table(spark, d, "orders")
+    filings = o.select(F.concat(F.lit("C"), F.col("o_custkey") % 25).alias("cik"), F.lit("").alias("symbol"), F.col("o_orderstatus").alias("form"), F.to_date("o_orderdate").alias("filingDate"), F.col("o_orderkey").cast("string").alias("accessionNumber"))
+    return changes, links, filings.unionByName(filings)
+
+
+@query(f"WITH {_REFERENCE} SELECT symbol, primary_symbol, change_date, cik, coalesce('cik:' || cik, 'symbol:' || primary_symbol) AS issuer_key FROM master")
+def ref_01_security_master(spark, d):
+    changes, links, _ = _reference_sources(spark, d)
+    x = t.listings(spark, d).withColumn("symbol", F.col("symbol").cast("string"))
+    return reference.security_master(x, changes, links).select("symbol", "primary_symbol", "change_date", "cik", "issuer_key")
+
+
+@query(f"WITH {_REFERENCE} SELECT filed.cik, coalesce(by_cik.symbol, '') AS symbol, form, filing_date, accession_number FROM filed LEFT JOIN by_cik ON by_cik.cik = filed.cik")
+def ref_01_filing_index(spark, d):
+    _, links, filings = _reference_sources(spark, d)
+    return reference.filing_index(filings, links).drop("accepted_at")
+
+
+@query(f"""WITH {_REFERENCE}, adv AS (SELECT date, symbol, CASE WHEN count(*) OVER w >= 5 THEN avg(close * volume) OVER w END AS adv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)),
+act AS (SELECT adv.date, adv.symbol FROM adv JOIN listings l ON l.symbol = adv.symbol WHERE adv IS NOT NULL AND (ipo_date IS NULL OR ipo_date <= adv.date) AND (delist_date IS NULL OR delist_date > adv.date)),
+sized AS (SELECT date, least(count(*), 20) AS n FROM act GROUP BY 1)
+SELECT 'listing_history' AS artifact, count(*) AS rows, 8 AS columns FROM listings UNION ALL SELECT 'ticker_changes', count(*), 5 FROM (SELECT DISTINCT * FROM raw) UNION ALL SELECT 'sec_filing_index', count(*), 6 FROM filed
+UNION ALL SELECT 'security_master', count(*), 12 FROM master UNION ALL SELECT 'time_varying_universe', CAST(sum(n) AS BIGINT), 4 FROM sized WHERE date IN (SELECT CAST(date_trunc('month', date) AS DATE) FROM bars)
+UNION ALL SELECT 'universe_snapshots', CAST(sum(n) AS BIGINT), 4 FROM sized WHERE date IN (SELECT min(date) FROM bars GROUP BY date_trunc('month', date))
+""")
+def ref_01_rebuild(spark, d):
+    """REF-01: every derived reference table written in one go, with its size."""
+    changes, links, filings = _reference_sources(spark, d)
+    return reference.rebuild(_listing_sources(spark, d), changes, links, filings, t.bars(spark, d), fresh(spark, "reference"), 20)
 
 
 @query("SELECT user_id AS symbol, CAST(ts AS DATE) AS date, count(DISTINCT event_type) AS source_count, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, max(ts) AS last_verified FROM events GROUP BY 1, 2")
