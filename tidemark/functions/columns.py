@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+
 
 def first_existing(df: DataFrame, names: list[str]) -> Column:
     """The first value that isn't null of those named columns that df has; null if it has none."""
@@ -55,8 +57,11 @@ def ordered_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), parts: i
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """By group the exact quantiles of a value, interpolated between neighbours, as columns q0, q1, ... A row a group."""
-    x = ordered_counts(df, value, by)
+    """By group the exact quantiles of a value, interpolated between neighbours, as columns q0, q1, ... A row a group.
+
+    The values are written to the shared folder first, as they are read several times.
+    """
+    x = ordered_counts(written(df.select(*by, value), "values"), value, by)
 
     def at(k: Column) -> Column:  # the value of the k-th row, from 0
         return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))

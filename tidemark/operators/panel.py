@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, full, log_ratio, ordered_counts, trailing
+from ..sources.folders import written
 
 
 def by_symbol() -> WindowSpec:
@@ -156,6 +157,7 @@ def rank_ic(df: DataFrame, prediction: str, label: str, by: list[str]) -> DataFr
 def pooled_rank_ic(df: DataFrame, prediction: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """AGG-07 over all rows of few large groups: ranks come from counts of distinct values summed up in two steps, not from one window a group."""
     x = df.where(F.col(prediction).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(prediction).cast("double").alias("p"), F.col(label).cast("double").alias("l"))
+    x = written(x, "pairs")  # read several times
     for c in ("p", "l"):
         x = x.join(ordered_counts(x, c, by).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{c}")), [*by, c])
     return x.groupBy(*by).agg(_correlation("rank_p", "rank_l").alias("rank_ic"), F.count("*").alias("n"))

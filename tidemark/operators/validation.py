@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_ratio, normal_cdf, unit_hash
+from ..sources.folders import written
 from . import panel
 
 
@@ -72,6 +73,7 @@ def purged_path_ridge(df: DataFrame, features: list[str], label: str, alpha: flo
     and once for the tests.
     """
     x = with_blocks(panel.clean_matrix(df, features).where(F.col(label).isNotNull()).select("date", "symbol", label, *features), n_blocks, embargo)
+    x = written(x, "blocks")  # read for the sums and for the tests
     sums = gram_sums(x, features, label, ["block", "near"])
     total = sums.agg(F.sum("n").alias("_total"))
     trained = sums.select("*", F.explode(_paths(n_blocks, n_test)).alias("p")).where(~F.arrays_overlap("near", "p.blocks")).withColumn("path", F.col("p.path"))
@@ -141,7 +143,7 @@ def walk_forward_ridge(df: DataFrame, folds: DataFrame, features: list[str], lab
     over folds (rounded to 9 digits, ties to the smaller one). Training sets are prefixes of the dates, so the sums of all
     folds come from one pass and one running sum over dates; the purge moves the prefix's end.
     """
-    clean = panel.clean_matrix(df, features).where(F.col(label).isNotNull())
+    clean = written(panel.clean_matrix(df, features).where(F.col(label).isNotNull()), "panel")  # read for the sums and for the tests
     daily = gram_sums(clean, features, label, ["date"])
     upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
     running = daily.select("date", *(F.sum(c).over(upto).alias(c) for c in _sum_columns(daily)))
