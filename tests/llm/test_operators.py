@@ -603,3 +603,27 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
         ids = [*t.encode(x[1] or "", add_special_tokens=False).ids, 0]
         own = sorted((p.start, p.length, p.ids_crc32) for p in pieces if p.doc_id == x[0])
         assert sum(n for _, n, _ in own) == len(ids) and all(c == zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) for s, n, c in own)
+
+
+def test_texts_longer_than_a_step(spark):
+    """One text of over 2 MB among short ones, with a passage that another document has."""
+    r = np.random.default_rng(14)
+    words = np.array([*WORDS, "naïve", "x=1;"])
+    long = "\n".join(" ".join(r.choice(words, 14)) + f" {k}" for k in range(30_000))
+    assert len(long.encode()) > 2 << 20
+    part = long[1_500_000:1_500_400]
+    rows = [(1, part + " tail", "a"), (2, long, "b"), (3, "password = hunter2hunter2\n" + long.split("\n")[20_000], "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert sorted((str(x[0]), *x[1:]) for x in suffix.report(docs).collect()) == brute_repeats([x[:2] for x in rows])
+    e = bpe.encoder(RANKS, tokenizers.PATTERN)
+    want = {i: e.engine.encode_ordinary(t) for i, t, _ in rows}
+    got = {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in bpe.encode(docs, RANKS, tokenizers.PATTERN).collect()}
+    assert got == want
+    pieces = packing.pack(docs, JSON, tokenizers.PATTERN).collect()
+    assert {i: sum(p.length for p in pieces if p.doc_id == i) for i in want} == {i: len(x) + 1 for i, x in want.items()}
+    lines = {x.doc_id: x for x in linededup.report(docs).collect()}
+    assert lines[2].n_lines == 30_000 and lines[2].text and lines[3].removed == "1"
+    assert {x.doc_id: x.n_assign for x in secrets.report(docs).collect()} == {1: 0, 2: 0, 3: 1}
+    assert {x.doc_id: x.n_links for x in jaccard.join(docs).collect()} == {1: 0, 2: 0, 3: 0}
+    scored = toxicity.report(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, toxic int")).collect()
+    assert len(scored) == 3 and all(0 <= x.score <= 1 for x in scored)
