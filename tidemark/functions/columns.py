@@ -97,6 +97,11 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
+def eastern_to_utc(text: Column, form: str = "yyyyMMddHHmmss") -> Column:
+    """Section 2.8: New York wall-clock text as a UTC time without zone, summer time heeded; null if it isn't of that form."""
+    return F.convert_timezone(F.lit("America/New_York"), F.lit("UTC"), F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz"))
+
+
 def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts as strings, joined by bars: any engine can repeat it."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("bigint") / float(1 << 52)

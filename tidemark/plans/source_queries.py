@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import eastern_to_utc
 from ..operators import filing_events as ev
 from ..sources import payloads as p
 from ..sources import tables as io
@@ -133,6 +134,16 @@ def scalar_html_text(spark, d):
     return t.table(spark, d, "pages").select("page_id", F.sha2(p.plain_text(F.col("html")), 256).alias("text_sha"))
 
 
+@query("""
+WITH x AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, make_date(CAST(year(o_orderdate) AS INTEGER), 4, 1) AS a, make_date(CAST(year(o_orderdate) AS INTEGER), 10, 31) AS o FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR + CASE WHEN d >= a + CAST(7 - isodow(a) AS INTEGER) AND d < o - CAST(isodow(o) % 7 AS INTEGER) THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END END AS accepted_at FROM x
+""")
+def scalar_eastern_to_utc(spark, d):
+    """Section 2.8: acceptance times in New York (at noon; summer time of 1987 to 2006) to UTC, some of them malformed."""
+    text = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderkey") % 4 > 0, "120000").otherwise("noon"))
+    return t.table(spark, d, "orders").select("o_orderkey", eastern_to_utc(text).alias("accepted_at"))
+
+
 @query("SELECT item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def scalar_exact_evidence(spark, d):
     """Section 2.8, evidence check: documents that hold a benchmark text; candidates share a whole word of its inside, not all pairs."""
