@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, ballcodes, bpe, chat, jaccard, linededup, packing, secrets, suffix, topk, toxicity, vectors
+from . import audit, ballcodes, bpe, chat, interpolation, jaccard, linededup, packing, secrets, suffix, topk, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ballcodes.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_vector_codes": op11_vector_codes,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_filter_audit": op13_filter_audit,
 }
 
