@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 import time
 
@@ -112,18 +113,67 @@ def test_purged_paths_keep_enough(spark):
     assert len(x) == 28 and all(r.n_test == 160 for r in x) and all(r.n_train >= 0.67 * 480 for r in x)
 
 
-def test_ridge_from_sums(spark):
+def test_ridge_from_co_moments(spark):
     import numpy as np
 
+    from tidemark.operators import moments
+
     r = np.random.default_rng(0)
     x = r.normal(size=(200, 2))
     y = x @ [1.5, -2.0] + 0.3 + 0.1 * r.normal(size=200)
     df = frame(spark, [(int(i >= 100), float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "g int, a double, b double, y double")
-    sums = validation.added(validation.gram_sums(df, ["a", "b"], "y", ["g"]).withColumn("m", F.lit(0)), ["m"])
-    got = validation.ridge(sums, ["a", "b"], [1.0, 5.0], ["m"]).where("alpha = 1").first()
+    sets = moments.merged(moments.co_moments(df.repartition(5), ["a", "b"], ["y"], ["g"]).withColumn("m", F.lit(0)), ["m"], 2, 1)
+    got = moments.ridge(sets, 2, ["y"], [1.0, 5.0], ["m"]).where("alpha = 1").first()
     xc = x - x.mean(0)
     want = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ (y - y.mean()))
-    assert np.allclose(got.coefficients, want) and got.intercept == pytest.approx(y.mean() - x.mean(0) @ want) and got.n == 200
+    assert np.allclose(got.coefficients, want) and got.intercept == pytest.approx(y.mean() - x.mean(0) @ want) and got.n == 200 and got.label == "y"
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e9])
+def test_ridge_keeps_its_digits_at_large_means(spark, mean):
+    import numpy as np
+
+    from tidemark.operators import moments
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=2000)
+    y = 0.5 * x + 0.01 * r.normal(size=2000)
+    start = D(2020, 1, 1)
+    rows = [(start + dt.timedelta(days=i // 20), f"S{i % 20}", mean + float(a), float(b), float(-b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = frame(spark, rows, "date date, symbol string, x double, y double, z double").repartition(7)
+    sets = moments.co_moments(df, ["x"], ["y", "z"], ["date"])
+    every = moments.merged(sets, [], 1, 2)
+    slopes = {k.label: k.coefficients[0] for k in moments.ridge(every, 1, ["y", "z"], [1e-6], []).collect()}
+    assert slopes["y"] == pytest.approx(0.5, abs=2e-3) and slopes["z"] == pytest.approx(-0.5, abs=2e-3)
+    upto = {k.date: k for k in moments.prefixes(sets, "date", 1, 2).collect()}
+    assert len(upto) == 100
+    for d in (start, start + dt.timedelta(days=41), start + dt.timedelta(days=99)):
+        n = 20 * ((d - start).days + 1)
+        xc = x[:n] - x[:n].mean()
+        assert upto[d].n == n and upto[d].xx[0] == pytest.approx(xc @ xc, rel=1e-5) and upto[d].xy[0] == pytest.approx(xc @ (y[:n] - y[:n].mean()), rel=1e-5)
+    folds = validation.walk_forward_folds(df, 50, 25)
+    scores, best = validation.walk_forward_ridge(df, folds, ["x"], "y", [1e-6, 1.0])
+    assert {(r.alpha, r.fold) for r in scores.collect()} == {(a, k) for a in (1e-6, 1.0) for k in (0, 1)} and all(r.rank_ic > 0.99 for r in scores.collect())
+    assert best.agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.1
+
+
+def test_placebo_refits(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, 2))
+    y = x @ [1.0, -0.5] + 0.2 * r.normal(size=3000)
+    rows = [(D(2020, 1, 1) + dt.timedelta(days=i // 10), f"S{i % 10}", float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    df = frame(spark, rows, "date date, symbol string, a double, b double, y double")
+    shuffled = validation.placebo_labels(df.repartition(5), "y", [1, 2], part_rows=500)
+    got = shuffled.orderBy("date", "symbol").collect()
+    unit = lambda s, k: hashlib.md5(f"{s}|{k[0]}|{k[1]}".encode()).hexdigest()[:13]
+    for s in (1, 2):
+        want = [k[4] for k in sorted(rows, key=lambda k, s=s: (unit(s, k), k[0], k[1]))]
+        assert [g[f"placebo_{s}"] for g in got] == want
+    ics = validation.placebo_ridge(df, validation.walk_forward_folds(df, 150, 50), ["a", "b"], "y", [1, 2, 3])
+    by = {k.seed: k for k in validation.placebo_summary(ics).collect()}
+    assert by[-1].mean_ic > 0.9 and by[-1].passed is None and all(by[s].passed and by[s].folds == 3 for s in (1, 2, 3))
 
 
 def test_portfolio_of_five_names(spark):

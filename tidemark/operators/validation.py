@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_ratio, normal_cdf, unit_hash
 from ..sources.folders import written
 from . import panel
+from .moments import co_moments, merged, predicted, prefixes, ridge
 
 
 def walk_forward_folds(dates: DataFrame, initial: int, step: int, purge: int = 5) -> DataFrame:
@@ -69,15 +69,15 @@ def purged_paths(df: DataFrame, n_blocks: int = 8, n_test: int = 2, embargo: int
 def purged_path_ridge(df: DataFrame, features: list[str], label: str, alpha: float = 1.0, n_blocks: int = 8, n_test: int = 2, embargo: int = 10) -> DataFrame:
     """MOD-08: ridge regression fitted and tested on each purged path: path, n_train, n_test, retention, rank_ic of its test rows.
 
-    The sums of a path are those of the groups of (block, near blocks) that it trains on: rows are read once for all fits,
-    and once for the tests.
+    The co-moments of a path are those of the groups of (block, near blocks) that it trains on, merged: rows are read once
+    for all fits, and once for the tests.
     """
     x = with_blocks(panel.clean_matrix(df, features).where(F.col(label).isNotNull()).select("date", "symbol", label, *features), n_blocks, embargo)
-    x = written(x, "blocks")  # read for the sums and for the tests
-    sums = gram_sums(x, features, label, ["block", "near"])
-    total = sums.agg(F.sum("n").alias("_total"))
-    trained = sums.select("*", F.explode(_paths(n_blocks, n_test)).alias("p")).where(~F.arrays_overlap("near", "p.blocks")).withColumn("path", F.col("p.path"))
-    models = ridge(added(trained, ["path"]), features, [alpha], ["path"])  # a row a path
+    x = written(x, "blocks")  # read for the co-moments and for the tests
+    sets = written(co_moments(x, features, [label], ["block", "near"]), "co_moments")
+    total = sets.agg(F.sum("n").alias("_total"))
+    trained = sets.select("*", F.explode(_paths(n_blocks, n_test)).alias("p")).where(~F.arrays_overlap("near", "p.blocks")).withColumn("path", F.col("p.path"))
+    models = ridge(merged(trained, ["path"], len(features), 1), len(features), [label], [alpha], ["path"])  # a row a path
     tested = F.explode(_paths(n_blocks, n_test)).alias("p")
     use = models.select("path", "coefficients", "intercept", "n").join(models.sparkSession.range(1).select(tested).select("p.path", F.explode("p.blocks").alias("block")), "path")
     y = x.select("block", label, *features).join(F.broadcast(use), "block").withColumn("prediction", predicted(features))  # n_test rows a path
@@ -86,7 +86,7 @@ def purged_path_ridge(df: DataFrame, features: list[str], label: str, alpha: flo
 
 
 def gram_sums(df: DataFrame, features: list[str], label: str, by: list[str]) -> DataFrame:
-    """MOD-09: per group the sums that ridge regression needs: n, sums of x and y, of products x x and x y. One pass."""
+    """MOD-09: per group n, sums of x and y, of products x x and x y, for a report. Models use co_moments(), which keeps its digits at large means."""
     x = df.where(F.col(label).isNotNull()).na.drop(subset=features)
     f = [F.col(c) for c in features]
     pairs = [(i, j) for i in range(len(f)) for j in range(i, len(f))]
@@ -96,58 +96,23 @@ def gram_sums(df: DataFrame, features: list[str], label: str, by: list[str]) ->
     )
 
 
-def _sum_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c == "n" or c.startswith("s") and (c == "sy" or c[1:].removeprefix("y").replace("_", "").isdigit())]
-
-
-def added(sums: DataFrame, by: list[str]) -> DataFrame:
-    """Sums of groups, added up by other keys."""
-    return sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in _sum_columns(sums)))
-
-
-def ridge(sums: DataFrame, features: list[str], alphas: list[float], keys: list[str]) -> DataFrame:
-    """MOD-09: keys, n, alpha, coefficients, intercept of the ridge regression with each set of sums (a row a model) and penalty.
-
-    Minimises |y - X w - b|^2 + alpha |w|^2 in closed form; the intercept isn't penalised. Without rows all are 0.
-    """
-    p = len(features)
-    kinds = dict(sums.dtypes)
-
-    def solve(frames):
-        for f in frames:
-            w, b = np.zeros((len(f), p)), np.zeros(len(f))
-            for k, s in enumerate(f.to_dict("records")):
-                n = s["n"]
-                if not n:
-                    continue
-                m = np.array([s[f"s{i}"] for i in range(p)])
-                xx = np.array([[s[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - np.outer(m, m) / n
-                xy = np.array([s[f"sy{i}"] for i in range(p)]) - m * s["sy"] / n
-                w[k] = np.linalg.lstsq(xx + s["alpha"] * np.eye(p), xy, rcond=None)[0]
-                b[k] = (s["sy"] - m @ w[k]) / n
-            yield f[[*keys, "n", "alpha"]].assign(coefficients=list(w), intercept=b)
-
-    x = sums.select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha"))
-    return x.mapInPandas(solve, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, n bigint, alpha double, coefficients array<double>, intercept double")
-
-
-def predicted(features: list[str]) -> F.Column:
-    """intercept + coefficients * features, of columns of these names."""
-    return sum((F.col("coefficients")[i] * F.col(c) for i, c in enumerate(features)), F.col("intercept"))
+def _walk_forward_models(clean: DataFrame, folds: DataFrame, features: list[str], labels: list[str], alphas: list[float]) -> DataFrame:
+    """fold, n, alpha, label, coefficients, intercept: a row for each fold, penalty and label. Products of features are shared by all labels."""
+    p, q = len(features), len(labels)
+    upto = prefixes(co_moments(clean, features, labels, ["date"]), "date", p, q)
+    return ridge(upto.join(folds.select(F.col("train_end").alias("date"), "fold"), "date"), p, labels, alphas, ["fold"])
 
 
 def walk_forward_ridge(df: DataFrame, folds: DataFrame, features: list[str], label: str, alphas: list[float]) -> tuple[DataFrame, DataFrame]:
     """MOD-07, MOD-09: ridge regression fitted for each fold and penalty, tested on the fold's test dates.
 
     Returns scores (alpha, fold, rank_ic, n) and the test rows with the prediction of the penalty of the best mean rank IC
-    over folds (rounded to 9 digits, ties to the smaller one). Training sets are prefixes of the dates, so the sums of all
-    folds come from one pass and one running sum over dates; the purge moves the prefix's end.
+    over folds (rounded to 9 digits, ties to the smaller one). Training sets are prefixes of the dates, so the co-moments of
+    all folds come from one pass and one merge along the dates; the purge moves the prefix's end.
     """
-    clean = written(panel.clean_matrix(df, features).where(F.col(label).isNotNull()), "panel")  # read for the sums and for the tests
-    daily = gram_sums(clean, features, label, ["date"])
-    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
-    running = daily.select("date", *(F.sum(c).over(upto).alias(c) for c in _sum_columns(daily)))
-    models = ridge(running.join(folds.select(F.col("train_end").alias("date"), "fold"), "date"), features, alphas, ["fold"])
+    clean = written(panel.clean_matrix(df, features).where(F.col(label).isNotNull()), "panel")  # read for the co-moments and for the tests
+    folds = written(folds, "folds")
+    models = written(_walk_forward_models(clean, folds, features, [label], alphas), "models")
     tested = test_rows(clean, folds).join(models.select("fold", "alpha", "coefficients", "intercept"), "fold").withColumn("prediction", predicted(features)).drop("coefficients", "intercept")
     scores = panel.pooled_rank_ic(tested, "prediction", label, ("alpha", "fold"))
     best = scores.groupBy("alpha").agg(F.round(F.avg("rank_ic"), 9).alias("mean_ic")).orderBy(F.desc("mean_ic"), "alpha").limit(1)  # a row a penalty
@@ -185,6 +150,50 @@ def feature_dependence(df: DataFrame, features: list[str], label: str) -> DataFr
     return ic.withColumn("abs_ic", F.abs("mean_ic")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("abs_ic"), "feature")))  # one row a feature
 
 
+def _numbered(df: DataFrame, part: str, order: list, out: str) -> DataFrame:
+    """df with the number of each row, from 0, in the order of (part, order), in two steps: within parts, and over the counts of parts (a row a part)."""
+    counts = df.groupBy(part).agg(F.count("*").alias("_n"))
+    bases = counts.select(part, F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return df.withColumn("_inside", inside).join(bases, part).withColumn(out, F.col("_base") + F.col("_inside")).drop("_inside", "_base")
+
+
+def placebo_labels(df: DataFrame, label: str, seeds: list[int], part_rows: int = 100_000) -> DataFrame:
+    """MOD-11: df with placebo_{seed}, the label permuted over the whole table, for each seed; date and symbol tell rows apart.
+
+    The row that is n-th by date and symbol gets the label of the row that is n-th by a hash of seed, date and symbol. Both
+    orders are numbered in parts (dates; ranges of hashes, of about part_rows rows), so no window holds the table.
+    """
+    x = written(_numbered(df, "date", ["symbol"], "_row"), "numbered")  # read once for each seed
+    parts = max(1, x.count() // part_rows)
+    source = x.select("date", "symbol", F.col(label).alias("_label"))
+    for s in seeds:
+        hashed = source.withColumn("_h", unit_hash(F.lit(s), F.col("date"), F.col("symbol"))).withColumn("_part", F.floor(F.col("_h") * parts))
+        x = x.join(_numbered(hashed, "_part", ["_h", "date", "symbol"], "_row").select("_row", F.col("_label").alias(f"placebo_{s}")), "_row")
+    return x.drop("_row")
+
+
+def placebo_ridge(df: DataFrame, folds: DataFrame, features: list[str], label: str, seeds: list[int], alpha: float = 1.0) -> DataFrame:
+    """MOD-11: seed, fold, rank_ic, n: ridge regressions fitted anew to permuted labels and tested on permuted labels; -1 is the real label.
+
+    All seeds share one pass of co-moments: the products of features once, those with labels for each seed.
+    """
+    clean = panel.clean_matrix(df, features).where(F.col(label).isNotNull()).select("date", "symbol", *features, F.col(label).alias("placebo_-1"))
+    names = ["placebo_-1", *(f"placebo_{s}" for s in seeds)]
+    x, folds = written(placebo_labels(clean, "placebo_-1", seeds), "placebo"), written(folds, "folds")
+    models = written(_walk_forward_models(x, folds, features, names, [alpha]), "models").select("fold", "label", "coefficients", "intercept")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("label"), F.col(f"`{n}`").alias("actual")) for n in names))).alias("_y")
+    tested = test_rows(x, folds).select("fold", *features, each).select("fold", *features, "_y.*")
+    made = tested.join(models, ["fold", "label"]).select("fold", F.substring_index("label", "_", -1).cast("int").alias("seed"), predicted(features).alias("prediction"), "actual")
+    return panel.pooled_rank_ic(made, "prediction", "actual", ("seed", "fold")).select("seed", "fold", "rank_ic", "n")
+
+
+def placebo_summary(ics: DataFrame, most: float = 0.1) -> DataFrame:
+    """MOD-11: per seed the mean rank IC over folds, and whether a placebo stays within the bound."""
+    g = ics.groupBy("seed").agg(F.avg("rank_ic").alias("mean_ic"), F.count("*").alias("folds"))
+    return g.withColumn("passed", F.when(F.col("seed") >= 0, F.abs("mean_ic") <= most))
+
+
 def shuffled_within_dates(df: DataFrame, column: str, seed: int) -> DataFrame:
     """MOD-11, AGG-33: the column permuted within each date by the order of a hash; the same whatever the partitions."""
     a = df.withColumn("_i", F.row_number().over(Window.partitionBy("date").orderBy("symbol")))
