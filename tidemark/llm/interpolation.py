@@ -32,7 +32,7 @@ ORDER = 2
 #: Rows whose crc32(doc_id as text) mod FOLDS is HELD_OUT are never learned from; those with DELETED teach the weights, and count in the end.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text of a piece, and for each range of hashes.
-PIECE, RANGE = 12 << 20, 6 << 20
+PIECE, RANGE = 8 << 20, 2 << 20
 #: Buckets of context frequencies (floor of the binary logarithm), steps of an octave that ratios are told apart by, octaves either way.
 BUCKETS, RATIOS, OCTAVES = 48, 32, 64
 #: No weight is larger: something is left to shorter n-grams.
@@ -80,9 +80,19 @@ class Grams:
         inner[self.first] = False
         return np.concatenate([*self.keys[:-1], self.keys[-1][inner]]), np.concatenate([*[self.text] * (self.order - 1), self.text[inner]])
 
-    def found(self, unique: np.ndarray) -> list[np.ndarray]:
-        """Where each place's key stands among the sorted different keys, by length."""
-        return [np.minimum(np.searchsorted(unique, k), max(0, len(unique) - 1)) for k in self.keys]
+    def numbered(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The sorted different keys, and by length where each place's key stands among them."""
+        key, _ = self.all()
+        unique, begin, by = _runs(key)
+        at = np.empty(len(key), np.int64)
+        at[by] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+        places = len(self.text)
+        out = [at[m * places : (m + 1) * places] for m in range(self.order - 1)]
+        inner = np.ones(places, bool)
+        inner[self.first] = False
+        last = np.zeros(places, np.int64)
+        last[inner] = at[(self.order - 1) * places :]
+        return unique, [*out, last]
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,8 +212,8 @@ def _sent(most: int, deleted_only: bool):
     return run, "task bigint, number bigint, sign bigint, ids array<bigint>, fold array<bigint>, sizes array<bigint>, packed binary"
 
 
-def _received(piece: pa.Table, answers: pa.Table, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of a piece, their sorted different keys, and what was answered about these."""
+def _received(piece: pa.Table, answers: pa.Table, order: int) -> tuple[Grams, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The n-grams of a piece, by length the number of each place's, and what was answered about each number."""
     signs = {*piece["sign"].to_pylist(), *answers["sign"].to_pylist()}
     if piece.num_rows != 1 or len(signs) != 1:
         raise ValueError("documents must come in the same rows and partitions whenever they are read: write them as a table first")
@@ -211,12 +221,12 @@ def _received(piece: pa.Table, answers: pa.Table, order: int) -> tuple[Grams, np
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     data = np.frombuffer(pa.decompress(piece["packed"][0].as_py(), int(starts[-1]), codec="zstd", asbytes=True) if starts[-1] else b"", np.uint8)
     grams = Grams.of(data, starts, order)
-    unique = _runs(grams.all()[0])[0]
+    unique, at = grams.numbered()
     by = answers.sort_by("part")
     train, deleted = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in by[c].chunks]) for c in ("train", "deleted"))
     if len(train) != len(unique):
         raise ValueError("answers don't fit a piece's n-grams")
-    return grams, unique, train, deleted
+    return grams, at, train, deleted
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -268,8 +278,8 @@ def _expectations(order: int, m: int, model: Mixture, left: int):
     def run(sent: pa.Table, answered: pa.Table) -> pa.Table:
         n = cell = np.empty(0, np.int64)
         if sent.num_rows:
-            grams, unique, train, deleted = _received(sent, answered, order)
-            counts = [(train - deleted)[x] for x in grams.found(unique)]
+            grams, at, train, deleted = _received(sent, answered, order)
+            counts = [(train - deleted)[x] for x in at]
             context, p = np.roll(counts[m - 1], 1), model.probabilities(counts, grams.first, left)[m - 1]
             some = context > 0
             some[grams.first] = False
@@ -327,8 +337,8 @@ def scores(docs: DataFrame, order: int = ORDER, piece: int = PIECE, ranges: int
         model = Mixture(tokens, words, [*model.weights, weights])  # the last, at -1: contexts that never occur
 
     def judge(sent: pa.Table, answered: pa.Table) -> pa.Table:
-        grams, unique, train, _ = _received(sent, answered, order)
-        counts = [train[x] for x in grams.found(unique)]
+        grams, at, train, _ = _received(sent, answered, order)
+        counts = [train[x] for x in at]
         inner = np.ones(len(grams.text), bool)
         inner[grams.first] = False
         text, c = grams.text[inner], counts[0][inner]
