@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import average_rank, contains_any, normal_cdf, ordered_counts, quantiles
-from tidemark.operators import asof, curation, modeling, panel, quality, validation
+from tidemark.operators import asof, calendars, curation, modeling, panel, quality, validation
 from tidemark.operators import filing_events as ev
 from tidemark.sources import payloads
 
@@ -340,3 +340,31 @@ def test_preflight(spark):
     r = modeling.preflight(x, ["f", "g"], "label", 2).first()
     assert (r.rows, r.labelled, r.missing, r.ready) == (2, 1, "g", False) and r.blockers == ["all_features_null", "missing_columns", "too_few_labelled_rows"]
     assert modeling.preflight(x.withColumn("f", F.lit(1.0)), ["f"], "label").first().ready
+
+
+def test_exchange_calendar(spark):
+    cal = calendars.exchange_calendar(calendars.days_between(spark, "1990-01-01", "2026-12-31"))
+    rows = {r.date: r for r in cal.collect()}
+    off = lambda y: [d for d, r in sorted(rows.items()) if d.year == y and r.is_holiday]
+    # The exchange's published holidays and early closes of some years.
+    assert off(2024) == [D(2024, 1, 1), D(2024, 1, 15), D(2024, 2, 19), D(2024, 3, 29), D(2024, 5, 27), D(2024, 6, 19), D(2024, 7, 4), D(2024, 9, 2), D(2024, 11, 28), D(2024, 12, 25)]
+    assert off(2021) == [D(2021, 1, 1), D(2021, 1, 18), D(2021, 2, 15), D(2021, 4, 2), D(2021, 5, 31), D(2021, 7, 5), D(2021, 9, 6), D(2021, 11, 25), D(2021, 12, 24)]
+    assert off(2022)[0] == D(2022, 1, 17) and D(2022, 6, 20) in off(2022) and D(2022, 12, 26) in off(2022)  # New Year 2022 was a Saturday
+    assert [d for d, r in sorted(rows.items()) if d.year == 2024 and r.is_early_close] == [D(2024, 7, 3), D(2024, 11, 29), D(2024, 12, 24)]
+    assert {d for d in off(2001) if d.month == 9} == {D(2001, 9, 3), *(D(2001, 9, k) for k in (11, 12, 13, 14))}
+    at = lambda *x: dt.datetime(*x)
+    assert rows[D(2024, 3, 8)].market_open == at(2024, 3, 8, 14, 30) and rows[D(2024, 3, 11)].market_open == at(2024, 3, 11, 13, 30)  # summer time began on the 10th
+    assert rows[D(2024, 11, 29)].market_close == at(2024, 11, 29, 18, 0) and rows[D(2024, 7, 3)].market_close == at(2024, 7, 3, 17, 0)
+    assert rows[D(2024, 3, 9)].market_open is None and not rows[D(2024, 3, 9)].is_holiday and rows[D(2024, 3, 9)].session_idx is None
+    easter = {1990: D(1990, 4, 15), 1991: D(1991, 3, 31), 2000: D(2000, 4, 23), 2008: D(2008, 3, 23), 2011: D(2011, 4, 24), 2025: D(2025, 4, 20), 1954: D(1954, 4, 18), 1981: D(1981, 4, 19), 2038: D(2038, 4, 25)}
+    years = frame(spark, [(y,) for y in easter], "y int")
+    assert {r.y: r.d for r in years.select("y", calendars.easter_sunday(F.col("y")).alias("d")).collect()} == easter
+    idx = [r.session_idx for _, r in sorted(rows.items()) if r.session_idx is not None]
+    assert idx == list(range(len(idx)))
+
+
+def test_first_tradable_before_the_first_session(spark):
+    cal = calendars.trading_hours(calendars.exchange_calendar(calendars.days_between(spark, "2024-01-01", "2024-01-05")))
+    e = frame(spark, [(1, dt.datetime(2024, 1, 1, 9)), (2, dt.datetime(2023, 12, 29, 9)), (3, dt.datetime(2024, 1, 2, 21, 0))], "event_id int, ts timestamp_ntz")
+    got = {r.event_id: (r.tradable_at, r.entry_session) for r in ev.first_tradable(e, cal, "ts").collect()}
+    assert got[1] == got[2] == (dt.datetime(2024, 1, 2, 14, 35), D(2024, 1, 2)) and got[3] == (dt.datetime(2024, 1, 3, 14, 35), D(2024, 1, 3))

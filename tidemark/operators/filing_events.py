@@ -63,7 +63,8 @@ def first_tradable(events: DataFrame, calendar: DataFrame, at: str = "accepted_a
     The session is that of the UTC date, or the next. Before its open: open + latency; from its close on: the next open
     + latency; within: the next full minute after at + latency if not after the close, else the next open.
     """
-    days = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    dates = calendar.select("date").unionByName(events.select(F.col(at).cast("date").alias("date")))  # events may come before the first session
+    days = dates.agg(F.min("date").alias("a")).crossJoin(calendar.agg(F.max("date").alias("b"))).where("a <= b").select(F.explode(F.sequence("a", "b")).alias("day"))
     next_ = Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing)  # one row a day
     own = days.join(calendar.select(F.col("date").alias("day"), "session_idx"), "day", "left").select("day", F.first("session_idx", ignorenulls=True).over(next_).alias("session_idx"))
     later = calendar.select((F.col("session_idx") - 1).alias("session_idx"), F.col("open_at").alias("next_open"), F.col("date").alias("next_date"))
