@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_existing, reasons, short_id
@@ -62,11 +62,28 @@ def company_facts(df: DataFrame, payload: str, concepts: list[str]) -> DataFrame
     return x.select("cik", F.col("f.end").alias("metric_date"), F.concat_ws(":", "ns", "concept", "unit").alias("metric_name"), F.col("f.val").alias("metric_value"), F.date_add("f.filed", 1).alias("available_at"))
 
 
+def index_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-13: line, file, file_hash of every line of index files: text is scanned by line, the SHA-256 of each file's content comes from one scan of whole files."""
+    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("file_hash"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    name = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the two sources write authorities differently
+    return lines.withColumn("_f", name("file")).join(whole.select(name("file").alias("_f"), "file_hash"), "_f").drop("_f")
+
+
 def index_manifest(df: DataFrame, line: str, forms: tuple[str, ...]) -> DataFrame:
-    """SRC-13: index lines `cik|company|form|date|file` to manifest rows of these forms; other lines are left out."""
+    """SRC-13: index lines to manifest rows of these forms; other columns of df stay, other lines are left out.
+
+    A line's layout is its own: `cik|company|form|date|file`, or columns of spaces in the order form, company, cik, date,
+    file. The accession is the file's name in its path.
+    """
     f = F.split(line, r"\|")
-    x = df.where(F.size(f) == 5).select(F.trim(f[0]).alias("cik"), F.trim(f[1]).alias("company"), F.trim(f[2]).alias("form"), F.try_to_date(F.trim(f[3]), "yyyy-MM-dd").alias("filed_date"), F.trim(f[4]).alias("filename"))
-    accession = F.regexp_extract("filename", r"(\d{10}-\d{2}-\d{6})", 1)
+    piped = F.contains(line, F.lit("|"))
+    fixed = lambda i: F.regexp_extract(F.trim(line), r"^(\S+(?: \S+)*?)\s{2,}(.+?)\s{2,}(\d{1,10})\s+(\d{4}-\d{2}-\d{2})\s+(edgar/data/\d+/.+?\.txt)\s*$", i)
+    part = lambda at, group: F.when(piped, F.trim(F.get(f, at))).otherwise(fixed(group))
+    kept = [F.col(c) for c in df.columns if c != line]
+    x = df.where(~piped | (F.size(f) == 5)).select(*kept, part(0, 3).alias("cik"), part(1, 2).alias("company"), part(2, 1).alias("form"), F.try_to_date(part(3, 4), "yyyy-MM-dd").alias("filed_date"), part(4, 5).alias("filename"))
+    in_path = F.regexp_extract("filename", r"edgar/data/\d+/(?:\d+/)?([^/]+)\.txt$", 1)
+    accession = F.when(in_path != "", in_path).otherwise(F.regexp_extract("filename", r"(\d{10}-\d{2}-\d{6})", 1))
     return x.where(F.col("form").isin(*forms) & F.col("filed_date").isNotNull()).withColumn("accession", accession).withColumn("accession_no_dashes", F.replace("accession", F.lit("-"), F.lit("")))
 
 
