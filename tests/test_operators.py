@@ -368,3 +368,32 @@ def test_first_tradable_before_the_first_session(spark):
     e = frame(spark, [(1, dt.datetime(2024, 1, 1, 9)), (2, dt.datetime(2023, 12, 29, 9)), (3, dt.datetime(2024, 1, 2, 21, 0))], "event_id int, ts timestamp_ntz")
     got = {r.event_id: (r.tradable_at, r.entry_session) for r in ev.first_tradable(e, cal, "ts").collect()}
     assert got[1] == got[2] == (dt.datetime(2024, 1, 2, 14, 35), D(2024, 1, 2)) and got[3] == (dt.datetime(2024, 1, 3, 14, 35), D(2024, 1, 3))
+
+
+def test_range_and_distinct_counts_by_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    start = dt.datetime(2024, 1, 1)
+    facts = [("AB"[int(r.integers(2))], start + dt.timedelta(hours=12 * int(r.integers(0, 240))), [None, "x", "y", "z"][int(r.integers(4))]) for _ in range(150)] + [("A", None, "x")]
+    grid = [(D(2024, 1, 1) + dt.timedelta(days=i), s) for i in range(-2, 130) for s in "ABC"]
+    windows = {"w1": (1, 0), "w7": (7, 0), "w37": (37, 7)}
+    got = asof.range_counts(frame(spark, grid, "date date, symbol string"), frame(spark, facts, "symbol string, at timestamp_ntz, v string"), "symbol", "at", windows, {"d7": ("v", 7), "d40": ("v", 40)}).collect()
+    want = {}
+    for d, s in grid:
+        t = dt.datetime(d.year, d.month, d.day)
+        mine = [(a, v) for k, a, v in facts if k == s and a is not None and a <= t]
+        if mine:
+            near = lambda a, b, mine=mine, t=t: [v for x, v in mine if t - dt.timedelta(days=a) <= x <= t - dt.timedelta(days=b)]
+            want[d, s] = (*(len(near(*w)) for w in windows.values()), len(set(near(7, 0))), len(set(near(40, 0))), (t - max(x for x, _ in mine)).days)
+    assert {(k.date, k.symbol): (k.w1, k.w7, k.w37, k.d7, k.d40, k.days_since_last) for k in got} == want
+
+
+def test_range_counts_of_a_busy_key_are_linear(spark):
+    facts = spark.range(200_000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 13).alias("at"), (F.col("id") % 50).cast("string").alias("v"))
+    grid = spark.sql("SELECT explode(sequence(DATE '2024-01-02', DATE '2024-02-10')) AS date, 'A' AS symbol")
+    asof.range_counts(grid, facts.limit(100), "symbol", "at", {"n": (30, 0)}, {"d": ("v", 7)}).count()
+    began = time.time()
+    rows = asof.range_counts(grid, facts, "symbol", "at", {"n": (30, 0)}, {"d": ("v", 7)}).collect()
+    assert time.time() - began < 30 and len(rows) == 40  # quadratic work took minutes
+    assert {k.date: k.n for k in rows}[D(2024, 2, 10)] == sum(1 for i in range(200_000) if 10 * 86400 <= i * 13 <= 40 * 86400) and {k.d for k in rows} <= {0, 50}

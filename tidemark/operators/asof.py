@@ -33,21 +33,72 @@ def backward(queries: DataFrame, facts: DataFrame, keys: list[str], query_at: st
     return got.select("_query.*", F.col("_hit._fact_at").alias(f"{fact_at}_hit"), *(F.col(f"_hit.{c}").alias(c) for c in carried))
 
 
-def range_counts(grid: DataFrame, facts: DataFrame, key: str, at: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
+_DAY_US = 86_400_000_000
+#: Length of the parts of a key's time that are summed up apart, so that a busy key isn't one task's work.
+_PART_US = 30 * _DAY_US
+
+
+def _us(column: str) -> F.Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _mark(t, turn: int, name: str | None, delta: int) -> F.Column:
+    """A change of a running count at a time; turn 0 counts at that time already, turn 2 only after it. Grid dates read in turn 1."""
+    return F.struct(t.alias("_t"), F.lit(turn).alias("_turn"), F.lit(name).alias("_name"), F.lit(delta).alias("_delta"))
+
+
+def _counted(marks: DataFrame, grid: DataFrame, facts: DataFrame, key: str, at: str, names: list[str]) -> DataFrame:
+    """date, key, a count for each name, days_since_last of the grid's dates at midnight, from marks (key, _t, _turn, _name, _delta).
+
+    Running sums within parts of a key's time, and over the parts before: linear in marks and dates. Dates before a key's
+    first fact are left out.
+    """
+    none = F.lit(None)
+    x = marks.withColumns({"date": none.cast("date"), "_seen": none.cast("bigint")})
+    x = x.unionByName(facts.select(F.col(key), _us(at).alias("_t"), F.lit(0).alias("_turn"), none.cast("string").alias("_name"), F.lit(0).alias("_delta"), none.cast("date").alias("date"), _us(at).alias("_seen")))
+    x = x.unionByName(grid.select(F.col(key), _us("date").alias("_t"), F.lit(1).alias("_turn"), none.cast("string").alias("_name"), F.lit(0).alias("_delta"), "date", none.cast("bigint").alias("_seen")))
+    x = x.where("_t IS NOT NULL").withColumn("_part", F.floor(F.col("_t") / _PART_US))
+    of = lambda n: F.sum(F.when(F.col("_name") == n, F.col("_delta")).otherwise(0))
+    every = {**{f"_{n}": of(n) for n in names}, "_last": F.max("_seen")}
+    sums = x.groupBy(key, "_part").agg(*(c.alias(n) for n, c in every.items()))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a key and part
+    base = sums.select(key, "_part", *((F.max if n == "_last" else F.sum)(n).over(before).alias(f"_base{n}") for n in every))
+    inside = Window.partitionBy(key, "_part").orderBy("_t", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    read = x.withColumns({n: c.over(inside) for n, c in every.items()}).where("_turn = 1").join(base, [key, "_part"])
+    read = read.withColumn("_last", F.greatest("_last", "_base_last")).where("_last IS NOT NULL")
+    return read.select("date", key, *((F.col(f"_{n}") + F.coalesce(f"_base_{n}", F.lit(0))).alias(n) for n in names), F.floor((F.col("_t") - F.col("_last")) / _DAY_US).alias("days_since_last"))
+
+
+def _range_marks(facts: DataFrame, key: str, at: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
+    """A fact counts at the dates from b to a days after it, bounds included."""
+    t = _us(at)
+    marks = [m for n, (a, b) in windows.items() for m in (_mark(t + b * _DAY_US, 0, n, 1), _mark(t + a * _DAY_US, 2, n, -1))]
+    return facts.select(F.col(key), F.explode(F.array(*marks)).alias("m")).select(key, "m.*")
+
+
+def _distinct_marks(facts: DataFrame, key: str, at: str, name: str, value: str, days: int) -> DataFrame:
+    """A fact counts from its time until the next one of the same value, or until `days` after it: one fact of each value of a window counts."""
+    x = facts.select(F.col(key), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("_v"), _us(at).alias("_t")).where("_t IS NOT NULL").withColumn("_part", F.floor(F.col("_t") / _PART_US))
+    own = Window.partitionBy(key, "_v", "_part").orderBy("_t")
+    first = x.groupBy(key, "_v", "_part").agg(F.min("_t").alias("_first"))
+    after = first.select(key, "_v", "_part", F.lead("_first").over(Window.partitionBy(key, "_v").orderBy("_part")).alias("_later"))  # a row a key, value and part
+    x = x.withColumn("_next", F.lead("_t").over(own)).join(after, [key, "_v", "_part"]).withColumn("_next", F.coalesce("_next", "_later"))
+    out_of = F.col("_t") + days * _DAY_US
+    over = F.when(F.col("_next") <= out_of, _mark(F.col("_next"), 0, name, -1)).otherwise(_mark(out_of, 2, name, -1))
+    return x.select(key, F.explode(F.array(_mark(F.col("_t"), 0, name, 1), over)).alias("m")).select(key, "m.*")
+
+
+def range_counts(grid: DataFrame, facts: DataFrame, key: str, at: str, windows: dict[str, tuple[int, int]], distinct: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """JOIN-07: for each (date, key) of the grid how many facts lie from a to b days before its midnight, bounds included.
 
-    windows: name to (a, b), say (30, 0) for the last 30 days. Dates before a key's first fact are left out. Also
-    days_since_last. The grid's rows are markers among the facts: no join of dates with facts.
+    windows: name to (a, b), say (30, 0) for the last 30 days. distinct: name to (column, days), exact counts of the
+    column's different values (null is one) in the last days. Dates before a key's first fact are left out. Also
+    days_since_last. Facts enter and leave running counts, which dates read: no join of dates with facts, no window's set.
     """
-    g = grid.select(F.col(key), F.unix_micros(F.col("date").cast("timestamp")).alias("_t"), F.lit(0).alias("_e"), F.col("date"))
-    f = facts.select(F.col(key), F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.lit(1).alias("_e"), F.lit(None).cast("date").alias("date"))
-    day = 86_400_000_000
-    by = Window.partitionBy(key).orderBy("_t")
-    x = g.unionByName(f)
-    counts = {n: F.sum("_e").over(by.rangeBetween(-a * day, -b * day)) for n, (a, b) in windows.items()}
-    last = F.max(F.when(F.col("_e") == 1, F.col("_t"))).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    x = x.withColumns({**counts, "_last": last}).where("_e = 0 AND _last IS NOT NULL")
-    return x.select("date", key, *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in windows), F.floor((F.col("_t") - F.col("_last")) / day).alias("days_since_last"))
+    marks = _range_marks(facts, key, at, windows)
+    for n, (value, days) in (distinct or {}).items():
+        marks = marks.unionByName(_distinct_marks(facts, key, at, n, value, days))
+    return _counted(marks, grid, facts, key, at, [*windows, *(distinct or {})])
 
 
 def within_sessions(panel: DataFrame, events: DataFrame, calendar: DataFrame, k: int = 5) -> DataFrame:

@@ -28,6 +28,15 @@ def fundamental_features(dates: DataFrame, facts: DataFrame) -> DataFrame:
     return hit.groupBy("date", "symbol").agg(F.count("*").alias("metric_count"), F.avg("metric_value").alias("metric_mean"), F.min(F.datediff("date", "available_at_hit")).alias("metric_age"))
 
 
+def news_features(grid: DataFrame, news: DataFrame, at: str = "published_at", source: str = "source", vendor: str = "vendor", headline: str = "headline") -> DataFrame:
+    """MOD-04: per (date, symbol) with earlier news: items of 1 and 7 days, different sources and vendors of 7 days, volume against that of the 30 days before (at least 1), share of different headlines, days since the last item."""
+    windows = {"news_1d": (1, 0), "news_7d": (7, 0), "_news_37d": (37, 0)}
+    x = asof.range_counts(grid, news, "symbol", at, windows, {"sources_7d": (source, 7), "vendors_7d": (vendor, 7), "_headlines_7d": (headline, 7)})
+    base = F.greatest((F.col("_news_37d") - F.col("news_7d")) / 30 * 7, F.lit(1.0))
+    novelty = F.when(F.col("news_7d") > 0, F.col("_headlines_7d") / F.col("news_7d")).otherwise(0.0)
+    return x.select("date", "symbol", "news_1d", "news_7d", "sources_7d", "vendors_7d", (F.col("news_7d") / base).alias("abnormal_volume"), novelty.alias("novelty"), "days_since_last")
+
+
 def boosted_trees(train: DataFrame, features: list[str], label: str, weight: str | None = None, rounds: int = 20, depth: int = 3, seed: int = 7):
     """MOD-10: Spark ML's gradient-boosted trees on clean features, with time-decay weights if given."""
     from pyspark.ml import Pipeline

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import eastern_to_utc
 from ..operators import filing_events as ev
+from ..operators import modeling
 from ..sources import payloads as p
 from ..sources import tables as io
 from ..streaming import streams
@@ -202,23 +203,14 @@ _PER = "count(*) FILTER (n.published_at > CAST(g.date AS TIMESTAMP) - INTERVAL {
 @query("""
 SELECT g.date, g.symbol, count(*) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 1 DAY) AS news_1d, count(*) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY) AS news_7d,
   round(count(*) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY) / greatest(count(*) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 37 DAY AND n.published_at < CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY) / 30 * 7, 1), 8) AS abnormal_volume,
-  count(DISTINCT n.source) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY) AS sources_7d
+  count(DISTINCT n.source) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY) AS sources_7d, count(DISTINCT n.vendor) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY) AS vendors_7d,
+  round(count(DISTINCT n.vendor || ' ' || n.source) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY) / greatest(count(*) FILTER (n.published_at >= CAST(g.date AS TIMESTAMP) - INTERVAL 7 DAY), 1), 8) AS novelty,
+  CAST(floor(epoch_us(CAST(g.date AS TIMESTAMP) - max(n.published_at)) / 86400000000) AS BIGINT) AS days_since_last
 FROM event_grid g JOIN news n ON n.symbol = g.symbol AND n.published_at <= CAST(g.date AS TIMESTAMP) GROUP BY 1, 2
 """)
 def mod_04_news_features(spark, d):
-    from pyspark.sql import Window
-
-    from ..operators import asof
-
-    grid, news = t.event_grid(spark, d), t.news(spark, d)
-    x = asof.range_counts(grid, news, "symbol", "published_at", {"news_1d": (1, 0), "news_7d": (7, 0), "news_37d": (37, 0)})
-    day = 86_400_000_000
-    g = grid.select("symbol", F.unix_micros(F.col("date").cast("timestamp")).alias("t"), "date", F.lit(None).cast("string").alias("source"))
-    n = news.select("symbol", F.unix_micros(F.col("published_at").cast("timestamp")).alias("t"), F.lit(None).cast("date").alias("date"), "source")
-    names = g.unionByName(n).withColumn("s", F.size(F.collect_set("source").over(Window.partitionBy("symbol").orderBy("t").rangeBetween(-7 * day, 0)))).where("date IS NOT NULL")
-    y = x.join(names.select("date", "symbol", F.col("s").cast("bigint").alias("sources_7d")), ["date", "symbol"])
-    base = F.greatest((F.col("news_37d") - F.col("news_7d")) / 30 * 7, F.lit(1.0))
-    return rounded(y.select("date", "symbol", "news_1d", "news_7d", (F.col("news_7d") / base).alias("abnormal_volume"), "sources_7d"), 8)
+    news = t.news(spark, d).withColumn("headline", F.concat_ws(" ", "vendor", "source"))
+    return rounded(modeling.news_features(t.event_grid(spark, d), news), 8)
 
 
 @query("SELECT b.date, b.symbol, close AS feature, coalesce(v, 0.0) AS event_value, v IS NOT NULL AS has_event FROM bars b LEFT JOIN (SELECT symbol, ex_date AS date, max(coalesce(amount, ratio)) AS v FROM actions GROUP BY 1, 2) a ON a.symbol = b.symbol AND a.date = b.date")
