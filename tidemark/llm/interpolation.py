@@ -310,10 +310,11 @@ def scores(docs: DataFrame, order: int = ORDER, piece: int = PIECE, ranges: int
     if not 2 <= order <= 7:
         raise ValueError("order must be from 2 to 7")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), fold(F.col("doc_id")).alias("fold"))
-    if ranges is None:
-        ranges = max(2, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = ranges or max(2, size // RANGE)
+    tasks = max(2, size // piece)  # a few pieces, or twice as many ranges, for a task: no task grows with the input
     ask, asked = _asks(order, ranges, piece)
-    answers = written(rows.mapInArrow(ask, asked).groupBy("part").applyInArrow(_answer, _ANSWER), "ngram_totals")
+    answers = written(rows.mapInArrow(ask, asked).repartition(max(2, ranges // 2), "part").groupBy("part").applyInArrow(_answer, _ANSWER), "ngram_totals")
     item = lambda i: F.sum(F.get("train", F.lit(i)))
     tokens, deleted, words = (x or 0 for x in answers.where(F.col("kind") == SUMS).agg(item(0), item(1), item(2)).first())
     by_step = answers.where(F.col("kind") == WORDS).select(F.explode(F.arrays_zip("train", "deleted"))).select("col.*").groupBy("train").agg(F.sum("deleted").alias("n"))
@@ -323,10 +324,11 @@ def scores(docs: DataFrame, order: int = ORDER, piece: int = PIECE, ranges: int
     model = Mixture(tokens, words, [np.array([learn(ratios, steps[:, 1])])])
 
     keys = ["task", "number"]
-    grouped = lambda kind: answers.where(F.col("kind") == kind).drop("kind").groupBy(*keys)
+    dealt = lambda x: x.repartition(tasks, *keys).groupBy(*keys)
+    grouped = lambda kind: dealt(answers.where(F.col("kind") == kind).drop("kind"))
     for m in range(1, order):
         send, kind = _sent(piece, True)
-        found = rows.mapInArrow(send, kind).groupBy(*keys).cogroup(grouped(OF_DELETED)).applyInArrow(_expectations(order, m, model, left), "bucket bigint, step bigint, n bigint")
+        found = dealt(rows.mapInArrow(send, kind)).cogroup(grouped(OF_DELETED)).applyInArrow(_expectations(order, m, model, left), "bucket bigint, step bigint, n bigint")
         table = np.array([tuple(r) for r in found.groupBy("bucket", "step").agg(F.sum("n")).collect()], np.float64).reshape(-1, 3)  # bounded by buckets and steps
         weights, known = np.zeros(BUCKETS + 1), 0.0
         for b in range(BUCKETS):  # a bucket that the held-out part never meets takes the weight of the one below
@@ -351,5 +353,5 @@ def scores(docs: DataFrame, order: int = ORDER, piece: int = PIECE, ranges: int
         })
 
     send, kind = _sent(piece, False)
-    sent = rows.mapInArrow(send, kind).groupBy(*keys)
+    sent = dealt(rows.mapInArrow(send, kind))
     return sent.cogroup(grouped(ALL)).applyInArrow(judge, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
