@@ -459,7 +459,7 @@ def test_toxicity_counts_every_gram(spark):
         for g, k in n[c].items():
             total, kinds = contexts[c].get(g[:4], (0, 0))
             contexts[c][g[:4]] = total + k, kinds + 1
-    ends = {m: {} for m in (2, 4)}
+    ends = {m: {} for m in (1, 2, 3, 4)}
     for g in grams:
         for m in ends:
             ends[m][g[-m:]] = ends[m].get(g[-m:], 0) + 1
@@ -475,7 +475,7 @@ def test_toxicity_counts_every_gram(spark):
 
     def log(g, c):
         total, kinds = contexts[c].get(g[:4], (0, 0))
-        low = continued(g, 4, continued(g, 2, 1 / 128))
+        low = continued(g, 4, continued(g, 3, continued(g, 2, continued(g, 1, 1 / 128))))
         return np.log((max(n[c].get(g, 0) - 0.75, 0) + 0.75 * kinds * low) / total if total else low)
 
     model = toxicity.fit(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, toxic int"))
@@ -484,11 +484,54 @@ def test_toxicity_counts_every_gram(spark):
     assert len(grams) > 30_000 and np.allclose(got, [log(g, 1) - log(g, 0) for g in asked], atol=1e-4)
 
 
-def test_toxicity_learns_from_labels_beyond_the_broadcast(spark):
-    texts = [(i, prose(i, 30) + (" scoundrel" if i % 3 == 0 else "")) for i in range(200)]
+def test_toxicity_scores_by_brute_force():
+    """inputs(), score() and calibrate() from the differences of single grams."""
+    grams = {}
+    for c, t in ((0, "a plain text of words that are mild"), (1, "a vile text of words that are vile")):
+        t = "    " + t
+        for k in range(len(t) - 4):
+            grams.setdefault(t[k : k + 5], [0, 0])[c] += 1
+    number = lambda g: int.from_bytes(g, "big")
+    model = toxicity.Model.of(np.array([number(g.encode()) for g in grams], np.uint64), tuple(np.array([v[c] for v in grams.values()]) for c in (0, 1)))
+    texts = ["", None, "vile", "A Vile-text, of\tmild words; " * 3, "é漢 vile", "x" * 40, "  "]
+    got = model.inputs(pa.array(texts))
+    for t, x in zip(texts, got, strict=True):
+        raw = (t or "").lower().encode()
+        plain = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in raw)
+        each = [float(model.differences(np.array([number((b"    " + plain)[k : k + 5])], np.uint64))[0]) for k in range(len(plain))]
+        passages = [sum(each[k : k + 16]) / 16 for k in range(max(1, len(each) - 15))]
+        words, begin = [0.0] if not each else [], [k for k in range(len(plain)) if k == 0 or plain[k] == 32]
+        words += [sum(each[a:b]) for a, b in zip(begin, [*begin, len(each)][1:], strict=True)]
+        assert np.allclose(x, [sum(each) / max(1, len(each)), max(passages), max(words) / 16, 1.0], atol=1e-5)
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.normal(size=(400, 3)), np.ones(400)])
+    y = (x @ [1.0, 2.0, -1.0, 0.5] + r.logistic(size=400) > 0).astype(float)
+    weight = r.integers(1, 4, 400).astype(float)
+    model.calibrate(x, y, weight)
+    once = model.weights
+    p = 1 / (1 + np.exp(-(x @ once)))
+    scale = np.append(np.sqrt(np.average((x[:, :3] - np.average(x[:, :3], 0, weight)) ** 2, 0, weight)), 1)
+    assert np.abs(x[:, :3].T @ (weight * (p - y)) / scale[:3]).max() < 1.0  # but for the pull to 0 the gradient vanishes
+    model.calibrate(np.repeat(x, weight.astype(int), 0), np.repeat(y, weight.astype(int)))
+    assert np.allclose(model.weights, once, atol=1e-6)
+    assert np.allclose(model.score(pa.array(texts)), 1 / (1 + np.exp(-got @ model.weights)))
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark):
+    texts = [(i, prose(i, 30) + (" scoundrel" if i % 3 == 0 else "")) for i in range(1200)]
     docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
-    few, all_ = toxicity.fit(docs, labels, max_labels=10), toxicity.fit(docs, labels)
-    assert set(few.seen.gram.tolist()) == set(all_.seen.gram.tolist()) and np.allclose(few.weights, all_.weights)
+    few, again = toxicity.fit(docs, labels, max_labels=100), toxicity.fit(docs.repartition(7), labels.repartition(5), max_labels=100)
+    assert set(few.seen.gram.tolist()) == set(again.seen.gram.tolist()) and np.allclose(few.weights, again.weights)
+    got = toxicity.scores(docs, few).collect()
+    assert np.mean([(r.toxicity >= 0.5) == (r.doc_id % 3 == 0) for r in got]) > 0.95
+
+
+def test_columns_whose_names_need_quoting(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight\nend", 7, "x"), (2, "one two three four five six seven eight\nother", 8, "y")], "doc_id bigint, text string, `my col` int, `a``b, c` string")
+    rows = linededup.dedup_lines(docs).select("row.*").collect()
+    assert rows[0].__fields__ == docs.columns and {r["my col"] for r in rows} == {7, 8}
+    scored = toxicity.scores(docs, toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")))
+    assert scored.columns == [*docs.columns, "toxicity"] and {r["a`b, c"] for r in scored.collect()} == {"x", "y"}
 
 
 def test_components(spark):

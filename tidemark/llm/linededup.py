@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from .common import as_bytes, mix, powers, ranges_of, row_key, span_hashes, steps, words_of, written
 
@@ -130,7 +131,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     removed.append(gone)
                 yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.int32())), pa.array(count, pa.int64())], names=["row", "kept", "removed", "n_lines"])
 
-    out = joined.select("row", "runs").mapInArrow(run, f"row {docs.schema.simpleString()}, kept string, removed array<int>, n_lines bigint")
+    kind = StructType().add("row", docs.schema).add("kept", StringType()).add("removed", ArrayType(IntegerType())).add("n_lines", LongType())  # any column name
+    out = joined.select("row", "runs").mapInArrow(run, kind)
     return out.select(F.col("row").withField("text", F.col("kept")).alias("row"), "n_lines", "removed")
 
 

@@ -2,12 +2,14 @@
 
 Two interpolated Kneser-Ney models over bytes, of toxic and of ordinary labelled documents, predict each byte of the
 lower-cased text from the four before it, so that they know parts of words too. Below the highest order both back off to
-one chain of continuation counts that they share: how many different longer grams end so, in either class. What a class
-has not seen is thus as likely in the other, and rare expressions weigh little. A document's score is a logistic function
+one chain of continuation counts that they share, of four, three, two and one byte down to the uniform distribution: how many
+different longer grams end so, in either class. What a class has not seen is thus as likely in the other, and rare
+expressions weigh little. A document's score is a logistic function
 of the difference of the two log-likelihoods, normalised by length, of the whole text, of its most toxic passage and of
 its most toxic word; the function is fitted on labelled documents that the counts leave out.
 
-Grams are counted exactly, so the model grows with the labelled text. What a byte adds to the difference depends on its
+Grams are counted exactly, over a bounded sample of labelled documents (MAX_LABELS of either class): the different grams
+that pass through the driver and the model that is broadcast don't grow beyond that. What a byte adds to the difference depends on its
 gram alone: it is worked out once for each gram seen, and once for each context, which decides for grams not seen.
 """
 
@@ -21,11 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import as_bytes, mix, steps
 
-#: Most labels that are broadcast; more are joined by a shuffle. All of them teach.
-MAX_LABELS = 1_000_000
+#: About how many labelled documents of either class teach at most; where there are more, those with the least hashes of doc_id.
+MAX_LABELS = 10_000
 ORDER, PASSAGE = 5, 16
 DISCOUNT = 0.75
 
@@ -123,9 +126,10 @@ class Model:
             share, rest = _discounted(context, n.astype(float), len(before))
             return ((n - DISCOUNT) * share[context])[at], rest[context][at]
 
-        two, two_rest = continuation(2)
-        low, low_rest = continuation(ORDER - 1)
-        low = np.maximum(low + low_rest * (two + two_rest / 128), 1e-9)
+        low = np.full(len(gram), 1 / 128)
+        for m in range(1, ORDER):
+            own, rest = continuation(m)
+            low = np.maximum(own + rest * low, 1e-9)
         contexts, context = np.unique(gram >> _ONE_BYTE, return_inverse=True)
         each, rests = [], []
         for n in counts:
@@ -167,14 +171,16 @@ class Model:
     def score(self, col: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(col) @ self.weights, -50, 50)))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton's method, with a weak pull to 0 after scaling."""
-        mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Logistic regression by Newton's method, with a weak pull to 0 after scaling. weight: how many documents each row stands for."""
+        weight = np.ones(len(y)) if weight is None else weight
+        mean = np.average(x, 0, weight)
+        scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, 0, weight)), 1e-9)
         mean[-1], scale[-1] = 0, 1
         z, w = (x - mean) / scale, np.zeros(x.shape[1])
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (p - y) + 0.1 * w)
+            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (weight * (p - y)) + 0.1 * w)
             w = w - np.clip(step, -2, 2)
             if abs(step).max() < 1e-9:
                 break
@@ -191,12 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     """The model of labelled documents outside of fold 0: counts from folds 1 to 3, the logistic function from fold 4.
 
     Labels of several rows for a doc_id: the largest counts. Null labels and null doc_ids teach nothing. Without any
-    label the model is neutral. Up to max_labels labels are broadcast, more are joined by a shuffle.
+    label the model is neutral. Of a class with more than max_labels labels a sample of about so many teaches, drawn by a
+    hash of doc_id; the logistic function weights each class by what its sample stands for.
     """
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    small = known.count() <= max_labels
-    known = known.where(fold(F.col("doc_id")) != 0)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known) if small else known, "doc_id").withColumn("fold", fold(F.col("doc_id")))
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).where(fold(F.col("doc_id")) != 0)
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = {t: min(1.0, max_labels / max(1, count.get(t, 0))) for t in (False, True)}
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) < F.when(F.col("toxic"), share[True] * (1 << 30)).otherwise(share[False] * (1 << 30))
+    known = known.where(drawn)  # bounded by max_labels
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id").withColumn("fold", fold(F.col("doc_id")))
     found = gram_counts(rows.where("fold < 4")).toArrow()  # the different grams
     model = Model.of(found["gram"].to_numpy().astype(np.uint64), (found["n0"].to_numpy(), found["n1"].to_numpy()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -206,10 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
             x = shared.value.inputs(b.column("text"))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), b.column("toxic")], names=["whole", "best", "word", "toxic"])
 
-    held = rows.where("fold = 4").select("text", "toxic").mapInArrow(sample, "whole double, best double, word double, toxic boolean").toArrow()  # a row for each labelled document of the fold
+    held = rows.where("fold = 4").select("text", "toxic").mapInArrow(sample, "whole double, best double, word double, toxic boolean").toArrow()  # a row for each labelled document of the fold, bounded
     if held.num_rows:
         x = np.stack([*(held[c].to_numpy() for c in ("whole", "best", "word")), np.ones(held.num_rows)], 1)
-        model.calibrate(x, held["toxic"].to_numpy().astype(float))
+        y = held["toxic"].to_numpy().astype(float)
+        model.calibrate(x, y, np.where(y > 0, 1 / share[True], 1 / share[False]))
     return model
 
 
@@ -217,14 +227,14 @@ def scores(docs: DataFrame, model: Model, text: str = "text", out: str = "toxici
     """docs and a column `out`, the score from 0 to 1 of the column text; it takes the place of one of that name. Null text counts as empty, repeated rows score alike."""
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))  # whatever the columns' names
 
     def run(batches):
-        for b in steps(batches, text):
-            col = b.column(at)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(col.fill_null("") if col.null_count else col))], names=[*b.schema.names, out])
+        for b in steps(batches):
+            col = b.column("text")
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(shared.value.score(col.fill_null("") if col.null_count else col))], names=["row", "score"])
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{out}` double")
+    return rows.mapInArrow(run, StructType().add("row", docs.schema).add("score", DoubleType())).select("row.*", F.col("score").alias(out))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
