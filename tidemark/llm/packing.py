@@ -1,12 +1,16 @@
 """Mixture-controlled packing of documents into token sequences.
 
-Each source is a queue of documents. Deficit round-robin fills window after window: every window credits a queue with
-its share of the window's tokens, the queue gives out the whole tokens that its credit covers, and the fraction stays as
-its deficit for the next window. The credit of a queue before window j is its weight times a virtual time that all queues
-share, so any task finds any window's state, deficits included, from j alone: partitions carry them over without talking
-to each other. When a queue runs dry, the others share its part from the next window on: virtual time goes faster. Only
-the windows where that happens are kept, and totals and weights by queue, so a schedule is as large as the list of sources. The windows' tokens, one after the other, are cut into sequences of `length`;
-what remains at the end goes to sequences whose lengths are powers of two, so that nothing is padded.
+Each source is a queue of documents, cut into quanta of up to QUANTUM tokens of one document. Deficit round-robin fills
+window after window: every window credits a queue with its share of the window's tokens, the queue gives out the quanta that
+its credit covers, and what is left over stays as its deficit, until it covers another quantum. The credit of a queue up to
+a window is its weight times the window's number, so the window of a quantum follows from how many tokens its queue has
+given out by its end: partitions carry deficits over without talking to each other. A queue that runs dry gives nothing
+more, and windows fill from the others in their proportions. What windows give out, one after the other, is numbered by a
+range-partitioned sort and sums of partitions, and cut into sequences of `length`; what remains at the end goes to sequences
+whose lengths are powers of two, so that nothing is padded.
+
+Quanta are narrow rows without ids; ids move once, to meet the list of their document's pieces. Sources are rows of tables
+throughout: their number doesn't matter to any task.
 """
 
 from __future__ import annotations
@@ -22,125 +26,12 @@ from pyspark.sql import functions as F
 from .bpe import TEXT_STEP, binary, encoder
 from .common import as_bytes, row_key, steps, written
 
-#: Most cells of (queue, window) that are worked on at a time.
-CELLS = 1 << 21
-
-
-class Schedule:
-    """Which tokens of which queue stand where. totals, weights: of each queue; a weight of 0 counts as very small."""
-
-    def __init__(self, totals: list[int], weights: list[float], length: int):
-        self.totals = np.array(totals, np.int64)
-        self.length = length
-        w = np.maximum(np.array(weights, np.float64), 1e-12)
-        self.weights = w / w.sum() * length if len(w) else w
-        dry = (self.totals - 1) / self.weights  # the last virtual time at which a queue has a token left
-        order = np.argsort(dry, kind="stable")
-        times, live = dry[order], np.cumsum(self.weights[order][::-1])[::-1]
-        first, time, k = 0, 0.0, int(np.searchsorted(times, 0.0))
-        firsts, starts, speeds = [], [], []
-        while k < len(times):
-            firsts.append(first)
-            starts.append(time)
-            speeds.append(length / live[k])
-            n = int(max(1, (times[k] - time) / speeds[-1] // 1 + 1))
-            first, time = first + n, time + n * speeds[-1]
-            k += int(np.searchsorted(times[k:], time))
-        self.firsts, self.starts, self.speeds = np.array(firsts, np.int64), np.array(starts), np.array(speeds)
-        self.windows = first
-        total = int(self.totals.sum())
-        self.full, rest = divmod(total, length)
-        self.tail = np.cumsum([0, *(1 << i for i in reversed(range(rest.bit_length())) if rest >> i & 1)])
-
-    @property
-    def phases(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """First window, tokens given out before it and rates, between the windows where queues run dry; for a look at a small schedule."""
-        given = self.given(self.firsts).T
-        return [(int(f), g, np.where(g < self.totals, self.weights, 0.0) * v) for f, g, v in zip(self.firsts, given, self.speeds, strict=True)]
-
-    def time(self, windows: np.ndarray) -> np.ndarray:
-        """Virtual time before each of the windows."""
-        phase = np.searchsorted(self.firsts, windows, "right") - 1
-        return self.starts[phase] + (windows - self.firsts[phase]) * self.speeds[phase]
-
-    def given_by(self, queue: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Tokens given out by queue[i] before windows[i]. Queue and windows are broadcast against each other."""
-        total = self.totals[queue]
-        credit = np.ceil(np.minimum(self.weights[queue] * self.time(windows), total)).astype(np.int64)
-        return np.where(windows >= self.windows, total, np.minimum(credit, total))
-
-    def given(self, windows: np.ndarray) -> np.ndarray:
-        """Tokens given out by each queue (rows) before each of the windows (columns)."""
-        return self.given_by(np.arange(len(self.totals))[:, None], windows[None, :])
-
-    def window_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """The window that gives out each token, by its number in its queue."""
-        at = token / self.weights[queue]
-        phase = np.searchsorted(self.starts, at, "right") - 1
-        guess = self.firsts[phase] + np.minimum((at - self.starts[phase]) / self.speeds[phase], self.windows).astype(np.int64)  # a good guess, then bisection
-        low, high = np.clip(guess - 2, 0, self.windows), np.minimum(guess + 2, self.windows)
-        while True:  # low's window starts at or before the token, high's after it
-            wrong_low, wrong_high = self.given_by(queue, low) > token, self.given_by(queue, high) <= token
-            if not (wrong_low.any() or wrong_high.any()):
-                break
-            low, high = np.where(wrong_low, np.maximum(low - 64, 0), low), np.where(wrong_high, np.minimum(high + 64, self.windows), high)
-        while (high - low > 1).any():
-            mid = (low + high) // 2
-            after = self.given_by(queue, mid) > token
-            low, high = np.where(after, low, mid), np.where(after, mid, high)
-        return low
-
-    def leads(self, queue: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Tokens before queue[i]'s part of windows[i]: of all windows before, and of lower queues in it. By blocks of windows."""
-        out = np.empty(len(queue), np.int64)
-        order = np.argsort(windows, kind="stable")
-        every, begins = np.unique(windows[order], return_index=True)
-        begins = np.append(begins, len(order))
-        block = max(1, CELLS // max(1, len(self.totals)))
-        for k in range(0, len(every), block):
-            some = every[k : k + block]
-            mine = order[begins[k] : begins[k + len(some)]]
-            before = self.given(some)
-            taken = self.given(some + 1) - before
-            lead = before.sum(0) + np.cumsum(taken, 0) - taken
-            out[mine] = lead[queue[mine], np.searchsorted(some, windows[mine])]
-        return out
-
-    def sequence(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number, first position and end of the sequence that holds each position."""
-        number = position // self.length
-        start, end = number * self.length, (number + 1) * self.length
-        late = number >= self.full
-        if late.any():
-            k = np.searchsorted(self.tail, position[late] - self.full * self.length, "right") - 1
-            number[late] = self.full + k
-            start[late] = self.full * self.length + self.tail[k]
-            end[late] = self.full * self.length + self.tail[np.minimum(k + 1, len(self.tail) - 1)]
-        return number, start, end
-
-    def pieces(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Cuts documents (queue, first token's number in it, tokens): document, start, length, sequence, offset of each piece."""
-        first, last = self.window_of(queue, at), self.window_of(queue, at + n - 1)
-        count = last - first + 1
-        doc = np.repeat(np.arange(len(n)), count)
-        window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[doc]
-        q = queue[doc]
-        before, after = self.given_by(q, window), self.given_by(q, window + 1)
-        low = np.maximum(at[doc], before)
-        size = np.minimum((at + n)[doc], after) - low
-        place = self.leads(q, window) + low - before
-        start = low - at[doc]
-        out = []
-        while True:
-            some = size > 0
-            doc, start, size, place = doc[some], start[some], size[some], place[some]
-            if not len(doc):
-                break
-            number, begin, end = self.sequence(place)
-            here = np.minimum(size, end - place)
-            out.append((doc, start, here, number, place - begin))
-            start, size, place = start + here, size - here, place + here
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+#: Most tokens of a document that a queue gives out at a time.
+QUANTUM = 256
+#: About how many quanta are numbered by one task.
+SORTED_ROWS = 250_000
+#: Rounds beyond this are one: queues of hardly any weight.
+_LAST_ROUND = 1 << 60
 
 
 def tokens_of(docs: DataFrame, path: str, pattern: str, end_id: int, source: str) -> DataFrame:
@@ -160,44 +51,99 @@ def tokens_of(docs: DataFrame, path: str, pattern: str, end_id: int, source: str
     return rows.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, source string, n bigint, ids binary")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: int = 0, source: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
+def _queued(docs: DataFrame, weights: dict[str, float] | None, length: int) -> DataFrame:
+    """row, source, n of the documents (row, source, n, bucket) with at, the tokens before in the queue, and credit, its tokens for each window."""
+    sums = docs.groupBy("source", "bucket").agg(F.sum("n").alias("sum"))
+    totals = sums.groupBy("source").agg(F.sum("sum").alias("weight"))
+    if weights is not None:
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
+        totals = totals.select("source").join(given, "source", "left")
+    totals = totals.select("source", F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(1e-12)).alias("weight"))
+    every = totals.agg(F.sum("weight")).first()[0] or 1.0
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.join(totals, "source").select("source", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"), (F.col("weight") / every * length).alias("credit"))
+    order = Window.partitionBy("source", "bucket").orderBy("k1", "k2", "row").rowsBetween(Window.unboundedPreceding, -1)
+    laid = docs.withColumn("own", F.coalesce(F.sum("n").over(order), F.lit(0))).join(bases, ["source", "bucket"])
+    return laid.select("row", "source", "n", (F.col("base") + F.col("own")).alias("at"), "credit")
+
+
+def quanta(queued: DataFrame, quantum: int) -> DataFrame:
+    """round, source, at, row, start, size: the quanta of the documents, with the window (round) whose credit covers them first. A queue's quanta are in the order of `at`."""
+    x = queued.select("*", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(quantum).cast("bigint"))).alias("_", "start"))
+    x = x.withColumn("size", F.least(F.col("n") - F.col("start"), F.lit(quantum)))
+    at = F.col("at") + F.col("start")
+    covered = F.least(F.ceil(F.least((at + F.col("size")) / F.col("credit"), F.lit(float(_LAST_ROUND)))) - 1, F.lit(_LAST_ROUND))
+    return x.select(covered.cast("bigint").alias("round"), "source", at.alias("at"), "row", "start", "size")
+
+
+def numbered(x: DataFrame, tasks: int) -> DataFrame:
+    """The quanta with place, the tokens of all quanta before in the order of (round, source, at): sums within the parts of a sorted table, and of parts."""
+    x = written(x.repartitionByRange(tasks, "round", "source", "at").withColumn("part", F.spark_partition_id()), "quanta")
+    sums = x.groupBy("part").agg(F.sum("size").alias("sum"))  # a row a part
+    earlier = (Window.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("round", "source", "at").rowsBetween(*earlier)
+    return x.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, "part").select("row", "start", "size", (F.col("base") + F.col("own")).alias("place"))
+
+
+def _cut(placed: DataFrame, length: int, total: int) -> DataFrame:
+    """row, start, size, sequence, offset of the pieces that quanta (of up to `length` tokens) are cut into by the ends of sequences."""
+    full, rest = divmod(total, length)
+    tail = [full * length]
+    for bit in reversed(range(rest.bit_length())):
+        if rest >> bit & 1:
+            tail.append(tail[-1] + (1 << bit))
+    ends = F.array(*(F.lit(t).cast("bigint") for t in tail))  # where the last full sequence and those after it end
+    following = (F.floor(F.col("place") / length) + 1) * length
+    cuts = F.array_sort(F.array_distinct(F.filter(F.concat(ends, F.array(F.least(following, F.lit(full * length)))), lambda c: (c > F.col("place")) & (c < F.col("place") + F.col("size")))))
+    x = placed.withColumn("cuts", F.concat(F.array(F.col("place")), cuts, F.array(F.col("place") + F.col("size"))))
+    x = x.select("row", "start", "place", F.explode(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.get("cuts", i).alias("a"), F.get("cuts", i + 1).alias("b")))).alias("c"))
+    late = F.size(F.filter(ends, lambda e: e <= F.col("c.a"))) - 1  # of the sequences at the end
+    in_full = F.col("c.a") < full * length
+    sequence = F.when(in_full, F.floor(F.col("c.a") / length)).otherwise(full + late)
+    first = F.when(in_full, F.floor(F.col("c.a") / length) * length).otherwise(F.get(ends, late))
+    return x.select("row", (F.col("start") + F.col("c.a") - F.col("place")).alias("start"), (F.col("c.b") - F.col("c.a")).alias("size"), sequence.cast("bigint").alias("sequence"), (F.col("c.a") - first).alias("offset"))
+
+
+def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: int = 0, source: str = "source", weights: dict[str, float] | None = None, quantum: int = QUANTUM) -> DataFrame:
     """Packs every row of docs (doc_id, text, source) into sequences of `length` tokens; one row per piece.
 
     doc_id, start, length (which of its document's ids), ids_crc32, doc_tokens, sequence_id, offset, source. Every id lies
     in exactly one piece; the ids of a document are those of its text, where a string of an added token of the vocabulary is
-    that token, and end_id. weights: target proportions of the
-    sources, by default their shares of all tokens, so that all run dry together; sources without a weight have a very
-    small one. Null text counts as empty (end_id alone), null source as "". Repeated rows are packed as often as they
-    come. Within a source, documents are queued in a hashed order. An empty table gives no rows. Other columns are ignored.
+    that token, and end_id. weights: target proportions of the sources, by default their shares of all tokens, so that all
+    run dry together; sources without a weight have a very small one. At the end of any window what a source with tokens
+    left has given out is less than `quantum` short of its credit, and never beyond it. Null text counts as empty (end_id
+    alone), null source as "". Repeated rows are packed as often as they come. Within a source, documents are queued in a
+    hashed order. An empty table gives no rows. Other columns are ignored.
     """
-    tokens = written(tokens_of(docs, path, pattern, end_id, source), "tokens")
-    spark = docs.sparkSession
-    rows = tokens.count()
-    sources = sorted(r[0] for r in tokens.select("source").distinct().collect())  # a name for each source
-    queues = pa.table({"source": pa.array(sources, pa.string()), "queue": pa.array(range(len(sources)), pa.int32())})
-    tokens = tokens.join(F.broadcast(spark.createDataFrame(queues)), "source")
+    tokens = written(tokens_of(docs, path, pattern, end_id, source).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    quantum = min(quantum, length)
     # a queue's documents in about sqrt(rows) buckets: neither a bucket nor the list of buckets gets large
-    tokens = tokens.withColumn("bucket", F.pmod("k1", F.lit(math.isqrt(rows) + 1)).cast("int"))
-    sums = tokens.groupBy("queue", "bucket").agg(F.sum("n").alias("sum"))
-    before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("queue", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("sum")).collect()}  # one row per queue
-    share = [totals[q] if weights is None else weights.get(name, 0.0) for q, name in enumerate(sources)]
-    schedule = Schedule([totals[q] for q in range(len(sources))], share, length) if rows else None
-    order = Window.partitionBy("queue", "bucket").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
-    laid = tokens.join(bases, ["queue", "bucket"]).select("doc_id", "source", "queue", (F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0))).alias("at"), "n", "ids")
+    narrow = tokens.select("row", "source", "n", "k1", "k2", F.pmod("k1", F.lit(math.isqrt(rows) + 1)).cast("int").alias("bucket"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total // (quantum * SORTED_ROWS))
+    pieces = _cut(numbered(quanta(_queued(narrow, weights, length), quantum), tasks), length, total)
+    lists = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "size", "sequence", "offset"))).alias("pieces"))  # of a document
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 
     def cut(batches):
         for b in steps(batches, "ids"):
-            queue, at, n = (b.column(c).to_numpy().astype(np.int64) for c in ("queue", "at", "n"))
-            doc, start, size, number, offset = schedule.pieces(queue, at, n)
+            n = b.column("n").to_pylist()
             raw, _ = as_bytes(b.column("ids"))
-            ids = memoryview(raw.view(f"<u{len(raw) // int(n.sum())}").astype("<u4").tobytes())
-            low = ((np.cumsum(n) - n)[doc] + start) * 4
-            crc = [zlib.crc32(ids[x:y]) for x, y in zip(low.tolist(), (low + 4 * size).tolist(), strict=True)]
-            pick = pa.array(doc)
-            columns = [b.column("doc_id").take(pick), start, size, pa.array(crc, pa.int64()), n[doc], number, offset, b.column("source").take(pick)]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], names=names)
-
+            ids = memoryview(raw.view(f"<u{len(raw) // sum(n)}").astype("<u4").tobytes())
+            out, at = [], 0
+            for doc, name, size, pieces in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), n, b.column("pieces").to_pylist(), strict=True):
+                joined: list[list[int]] = []
+                for p in pieces:  # what comes one after the other is one piece
+                    last = joined[-1] if joined else None
+                    if last and last[2] == p["sequence"] and last[3] + last[1] == p["offset"]:
+                        last[1] += p["size"]
+                    else:
+                        joined.append([p["start"], p["size"], p["sequence"], p["offset"]])
+                out += [(doc, s, k, zlib.crc32(ids[4 * (at + s) : 4 * (at + s + k)]), size, q, o, name) for s, k, q, o in joined]
+                at += size
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())], names=names)
+
+    laid = tokens.select("row", "doc_id", "source", "n", "ids").join(lists, "row").select("doc_id", "source", "n", "ids", "pieces")
     return laid.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
