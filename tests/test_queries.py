@@ -6,6 +6,8 @@ import datetime as dt
 import decimal
 import math
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -63,3 +65,20 @@ def test_entry_imports_without_a_session():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("hidden", ["public_tokenizers", "corpus_pipeline", "tidemark.llm"])
+def test_entry_imports_without_optional_modules(hidden):
+    code = f"""
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == {hidden!r}:
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as e
+names = set(e.queries())
+assert "flagship_rank_ic" in names and set(e.oracle_sql()) <= names and "pipeline" not in names
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
