@@ -32,7 +32,7 @@ ORDER = 2
 #: Rows whose crc32(doc_id as text) mod FOLDS is HELD_OUT are never learned from; those with DELETED teach the weights, and count in the end.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text of a piece, and for each range of hashes.
-PIECE, RANGE = 8 << 20, 2 << 20
+PIECE, RANGE = 4 << 20, 2 << 20
 #: Buckets of context frequencies (floor of the binary logarithm), steps of an octave that ratios are told apart by, octaves either way.
 BUCKETS, RATIOS, OCTAVES = 48, 32, 64
 #: No weight is larger: something is left to shorter n-grams.
@@ -312,9 +312,9 @@ def scores(docs: DataFrame, order: int = ORDER, piece: int = PIECE, ranges: int
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), fold(F.col("doc_id")).alias("fold"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = ranges or max(2, size // RANGE)
-    tasks = max(2, size // piece)  # a few pieces, or twice as many ranges, for a task: no task grows with the input
+    tasks = max(2, size // (2 * piece))  # a few pieces, or four ranges, for a task: no task grows with the input
     ask, asked = _asks(order, ranges, piece)
-    answers = written(rows.mapInArrow(ask, asked).repartition(max(2, ranges // 2), "part").groupBy("part").applyInArrow(_answer, _ANSWER), "ngram_totals")
+    answers = written(rows.mapInArrow(ask, asked).repartition(max(2, ranges // 4), "part").groupBy("part").applyInArrow(_answer, _ANSWER), "ngram_totals")
     item = lambda i: F.sum(F.get("train", F.lit(i)))
     tokens, deleted, words = (x or 0 for x in answers.where(F.col("kind") == SUMS).agg(item(0), item(1), item(2)).first())
     by_step = answers.where(F.col("kind") == WORDS).select(F.explode(F.arrays_zip("train", "deleted"))).select("col.*").groupBy("train").agg(F.sum("deleted").alias("n"))
