@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,22 +129,21 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: i
 
     def cut(batches):
         for b in steps(batches, "ids"):
-            n = b.column("n").to_pylist()
+            n = b.column("n").to_numpy()
             raw, _ = as_bytes(b.column("ids"))
-            ids = memoryview(raw.view(f"<u{len(raw) // sum(n)}").astype("<u4").tobytes())
-            out, at = [], 0
-            for doc, name, size, pieces in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), n, b.column("pieces").to_pylist(), strict=True):
-                joined: list[list[int]] = []
-                for p in pieces:  # what comes one after the other is one piece
-                    last = joined[-1] if joined else None
-                    if last and last[2] == p["sequence"] and last[3] + last[1] == p["offset"]:
-                        last[1] += p["size"]
-                    else:
-                        joined.append([p["start"], p["size"], p["sequence"], p["offset"]])
-                out += [(doc, s, k, zlib.crc32(ids[4 * (at + s) : 4 * (at + s + k)]), size, q, o, name) for s, k, q, o in joined]
-                at += size
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())], names=names)
+            ids = memoryview(raw.view(f"<u{len(raw) // int(n.sum())}").astype("<u4").tobytes())
+            lists = b.column("pieces")
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy())
+            flat = lists.flatten()
+            start, size, sequence, offset = (flat.field(c).to_numpy() for c in ("start", "size", "sequence", "offset"))
+            goes_on = (doc[1:] == doc[:-1]) & (sequence[1:] == sequence[:-1]) & (offset[1:] == offset[:-1] + size[:-1])  # one piece with what is before
+            first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            size, doc, start = np.add.reduceat(size, first), doc[first], start[first]
+            low = ((np.cumsum(n) - n)[doc] + start) * 4
+            crc = [zlib.crc32(ids[x:y]) for x, y in zip(low.tolist(), (low + 4 * size).tolist(), strict=True)]
+            pick = pa.array(doc)
+            columns = [b.column("doc_id").take(pick), start, size, np.array(crc, np.int64), n[doc], sequence[first], offset[first], b.column("source").take(pick)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], names=names)
 
     laid = tokens.select("row", "doc_id", "source", "n", "ids").join(lists, "row").select("doc_id", "source", "n", "ids", "pieces")
     return laid.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
