@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import reasons
+from ..sources.folders import written
 from . import asof, panel
 
 
@@ -52,29 +53,53 @@ def predictions(model, df: DataFrame, features: list[str]) -> DataFrame:
     return model.transform(panel.clean_matrix(df, features)).drop("_features")
 
 
-def walk_forward_trees(df: DataFrame, folds: DataFrame, features: list[str], label: str, weight: str | None = None, rounds: int = 20, depth: int = 3) -> DataFrame:
-    """MOD-10: trees fitted anew for each fold up to its train_end; df on all test dates with prediction. Folds are few rows."""
-    out = df.where("false").withColumn("prediction", F.lit(None).cast("double"))
-    for f in folds.orderBy("fold").collect():
-        model = boosted_trees(df.where(F.col("date") <= f["train_end"]), features, label, weight, rounds, depth)
-        out = out.unionByName(predictions(model, df.where(F.col("date").between(f["test_start"], f["test_end"])), features))
+def grid_trees(df: DataFrame, folds: DataFrame, features: list[str], label: str, grid: list[dict], weight: str | None = None, at_once: int = 4) -> dict[int, DataFrame]:
+    """MOD-10: for each entry of the grid (rounds, depth), by its number, the test rows of all folds with the prediction of trees fitted anew up to each fold's train_end.
+
+    Fits don't wait for one another: a pool of at_once threads hands (fold, setting) to Spark, over one written matrix with
+    clean features. Folds and settings are few rows.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    clean = written(panel.clean_matrix(df, features), "matrix")  # every fit reads it
+    jobs = [(k, f) for k in range(len(grid)) for f in folds.orderBy("fold").collect()]
+
+    def fit(job):
+        k, f = job
+        model = boosted_trees(clean.where(F.col("date") <= f["train_end"]), features, label, weight, **grid[k])
+        return k, predictions(model, clean.where(F.col("date").between(f["test_start"], f["test_end"])), features)
+
+    out = {k: clean.where("false").withColumn("prediction", F.lit(None).cast("double")) for k in range(len(grid))}
+    with ThreadPoolExecutor(at_once) as pool:
+        for k, made in pool.map(inheritable_thread_target(df.sparkSession)(fit), jobs):
+            out[k] = out[k].unionByName(made)
     return out
 
 
-def tuned_trees(df: DataFrame, folds: DataFrame, features: list[str], label: str, grid: list[dict], weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """MOD-10: walk_forward_trees() for each entry of the grid (rounds, depth); returns scores (setting, fold, rank_ic, n) and the predictions of the best.
+def walk_forward_trees(df: DataFrame, folds: DataFrame, features: list[str], label: str, weight: str | None = None, rounds: int = 20, depth: int = 3) -> DataFrame:
+    """MOD-10: grid_trees() with one setting."""
+    return grid_trees(df, folds, features, label, [{"rounds": rounds, "depth": depth}], weight)[0]
+
+
+def tuned_trees(df: DataFrame, folds: DataFrame, features: list[str], label: str, grid: list[dict], weight: str | None = None, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
+    """MOD-10: scores (setting, fold, rank_ic, n) of each entry of the grid, and the predictions of the best.
 
     The best has the largest mean rank IC over folds, ties to the earlier entry. A grid is a few entries.
     """
     from .validation import test_rows
 
-    scores, made = None, []
-    for k, setting in enumerate(grid):
-        made.append(walk_forward_trees(df, folds, features, label, weight, **setting))
-        one = panel.pooled_rank_ic(test_rows(made[-1], folds), "prediction", label, ("fold",)).withColumn("setting", F.lit(k))
-        scores = one if scores is None else scores.unionByName(one)
-    best = scores.groupBy("setting").agg(F.avg("rank_ic").alias("m")).orderBy(F.desc("m"), "setting").first()  # a row an entry
-    return scores, made[best["setting"] if best else 0]
+    folds = written(folds, "folds")
+    made = grid_trees(df, folds, features, label, grid, weight, at_once)
+    every = None
+    for k, x in made.items():
+        one = x.withColumn("setting", F.lit(k))
+        every = one if every is None else every.unionByName(one)
+    every = written(every, "tree_predictions")  # scored and returned
+    scores = panel.pooled_rank_ic(test_rows(every, folds), "prediction", label, ("setting", "fold"))
+    best = scores.groupBy("setting").agg(F.round(F.avg("rank_ic"), 9).alias("m")).orderBy(F.desc("m"), "setting").first()  # a row an entry
+    return scores, every.where(F.col("setting") == (best["setting"] if best else 0)).drop("setting")
 
 
 def preflight(table: DataFrame, features: list[str], label: str, least_rows: int = 1) -> DataFrame:
@@ -112,10 +137,12 @@ def benchmark(bars: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(bars.select("symbol").distinct(), "symbol", "left_semi").agg(F.min_by("symbol", "ord").alias("symbol"))
 
 
-def relabeled(df: DataFrame) -> DataFrame:
-    """PRJ-21: a promotable event type that isn't material becomes none."""
-    wrong = (F.col("event_type") != "none") & (F.coalesce("is_material_candidate", F.lit("no")) != "yes")
-    return df.withColumn("event_type", F.when(wrong, "none").otherwise(F.col("event_type")))
+def relabeled(df: DataFrame, promotable: tuple[str, ...], routine: str = "ROUTINE_NO_EVENT", review: str = "NEEDS_REVIEW") -> DataFrame:
+    """PRJ-21: a promotable event type that isn't marked material becomes routine if it is marked immaterial, else it needs review; warning tells from what. Other types stay."""
+    wrong = F.col("event_type").isin(*promotable) & (F.coalesce("is_material_candidate", F.lit("")) != "yes")
+    new = F.when(F.col("is_material_candidate") == "no", routine).otherwise(review)
+    said = F.concat(F.lit("normalized_promotable_not_material:"), "event_type", F.lit("->"), new, F.lit(":material="), F.coalesce("is_material_candidate", F.lit("None")))
+    return df.withColumns({"warning": F.when(wrong, said), "event_type": F.when(wrong, new).otherwise(F.col("event_type"))})
 
 
 def promotable(classified: DataFrame, context: DataFrame, key: str, event: list[str]) -> DataFrame:

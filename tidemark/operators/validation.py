@@ -143,11 +143,17 @@ def overfitting_probability(results: DataFrame) -> DataFrame:
     return chosen.crossJoin(one).select(F.when(F.col("n") < 2, F.col("single")).otherwise(F.col("pbo")).alias("pbo"), "n")
 
 
-def feature_dependence(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """AGG-32: per feature the pooled rank IC within dates averaged, its absolute value and rank."""
-    long = df.unpivot(["date", "symbol", label], features, "feature", "value")
-    ic = panel.rank_ic(long, "value", label, ["feature", "date"]).groupBy("feature").agg(F.avg("rank_ic").alias("mean_ic"))
-    return ic.withColumn("abs_ic", F.abs("mean_ic")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("abs_ic"), "feature")))  # one row a feature
+def feature_dependence(df: DataFrame, features: list[str], label: str, primary_score: float | None = None) -> DataFrame:
+    """AGG-32: per feature the rank IC over all rows with nulls as 0, its absolute value and rank; and of all features the largest absolute value, its share of the primary score (at most 1), and what is left.
+
+    Without a primary score the share is 0.
+    """
+    long = df.select(F.col(label).alias("_label"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in features))).alias("x")).select("_label", "x.*")
+    ic = panel.pooled_rank_ic(long, "value", "_label", ("feature",)).withColumn("abs_ic", F.abs("rank_ic"))
+    every = Window.partitionBy(F.lit(0))  # a row a feature
+    drop = F.least(F.lit(1.0), F.col("max_abs_ic") / abs(primary_score)) if primary_score else F.lit(0.0)
+    x = ic.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("abs_ic"), "feature")), "max_abs_ic": F.max("abs_ic").over(every)}).withColumn("score_drop", drop)
+    return x.select("feature", "rank_ic", "abs_ic", "rank", "max_abs_ic", "score_drop", (1 - F.col("score_drop")).alias("ablation_ratio"))
 
 
 def _numbered(df: DataFrame, part: str, order: list, out: str) -> DataFrame:
@@ -235,9 +241,48 @@ def sign_flip(df: DataFrame, prediction: str, label: str) -> DataFrame:
     return panel.rank_ic(both.select("date", "symbol", label, "x.*"), "p", label, ["sign", "date"]).groupBy("sign").agg(F.avg("rank_ic").alias("mean_ic"))
 
 
-def target_weights(scores: DataFrame, share_of: int = 5, weekday: int = 4, floor: float = 0.0, cap: float = 1.0, adv: str | None = None) -> DataFrame:
-    """PF-01, PRJ-16, SRT-03: on the rebalance weekday (Monday 0) the top max(1, ceil(n / share_of)) scores, equally weighted up to cap."""
+def sign_flip_canary(df: DataFrame, prediction: str, label: str, most: int = 10) -> DataFrame:
+    """AGG-34: sign (original, flipped), year (null: all), rank_ic, n, mean_spread, preferred of the prediction and its negation.
+
+    Rank IC over all rows, and over those of each year. mean_spread, for all years only, is the mean over dates of the top
+    less the bottom bucket's label. Flipped is preferred if its rank IC is larger and its spread not smaller.
+    """
+    kept = written(df.where(F.col(prediction).isNotNull() & F.col(label).isNotNull()).select("date", "symbol", F.col(prediction).alias("p"), F.col(label).alias("l")), "predictions")
+    signs = F.explode(F.array(F.struct(F.lit("original").alias("sign"), F.col("p").alias("p")), F.struct(F.lit("flipped").alias("sign"), (-F.col("p")).alias("p")))).alias("x")
+    both = kept.select(F.year("date").alias("year"), "l", signs).select("year", "l", "x.*")
+    ic = panel.pooled_rank_ic(both, "p", "l", ("sign",)).withColumn("year", F.lit(None).cast("int")).unionByName(panel.pooled_rank_ic(both, "p", "l", ("sign", "year")))
+    spread = lambda x, sign: panel.bucket_metrics(x, "p", "l", most).where("n > 1").agg(F.coalesce(F.avg("spread"), F.lit(0.0)).alias("mean_spread")).withColumn("sign", F.lit(sign))
+    spreads = spread(kept, "original").unionByName(spread(kept.withColumn("p", -F.col("p")), "flipped"))
+    x = written(ic.join(spreads, "sign"), "canary")  # a row a sign and year
+    at = lambda c, sign: F.max(F.when(F.col("year").isNull() & (F.col("sign") == sign), F.col(c)))
+    better = (at("rank_ic", "flipped") > at("rank_ic", "original")) & (at("mean_spread", "flipped") >= at("mean_spread", "original"))
+    choice = x.agg(F.when(better, "flipped").otherwise("original").alias("preferred"))
+    return x.crossJoin(choice).select("sign", "year", "rank_ic", "n", F.when(F.col("year").isNull(), F.col("mean_spread")).alias("mean_spread"), "preferred")
+
+
+def pooled_buckets(df: DataFrame, score: str, label: str, most: int = 10, parts: int = 64) -> DataFrame:
+    """AGG-08 over all rows: bucket (from 1), n, mean_label by quantile bucket of first-ranks; and spread (top less bottom) and hit_rate (share of labels above 0 on top). Equal scores are ordered by date and symbol.
+
+    Rows are numbered within ranges of scores and over the ranges' counts: no window holds the table.
+    """
+    x = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select("date", "symbol", F.col(score).cast("double").alias("s"), F.col(label).alias("l"))
+    x = written(x, "scored")
+    bounds = sorted(set(x.approxQuantile("s", [k / parts for k in range(1, parts)], 1 / (2 * parts))))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("s"))) if bounds else F.lit(0)
+    n = x.count()
+    q = min(most, n)
+    bucket = F.greatest(F.lit(0), F.ceil(F.col("_r") * q / max(n - 1, 1)) - 1) + 1
+    g = _numbered(x.withColumn("_p", part), "_p", ["s", "date", "symbol"], "_r").groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.avg("l").alias("mean_label"), F.avg((F.col("l") > 0).cast("double")).alias("_hit"))
+    every = Window.partitionBy(F.lit(0))  # a row a bucket
+    top, low = F.max_by("mean_label", "bucket").over(every), F.min_by("mean_label", "bucket").over(every)
+    return g.select("bucket", "n", "mean_label", (top - low).alias("spread"), F.max_by("_hit", "bucket").over(every).alias("hit_rate"))
+
+
+def target_weights(scores: DataFrame, share_of: int = 5, weekday: int = 4, floor: float = 0.0, cap: float = 1.0, adv: str | None = None, exclude: str | None = None) -> DataFrame:
+    """PF-01, PRJ-16, SRT-03: on the rebalance weekday (Monday 0) the top max(1, ceil(n / share_of)) scores, equally weighted up to cap. exclude: a column that is true where a symbol isn't to be held (earnings ahead)."""
     x = scores.where(F.weekday("date") == weekday)
+    if exclude:
+        x = x.where(~F.coalesce(exclude, F.lit(False)))
     if adv:
         x = x.where(F.coalesce(adv, F.lit(0.0)) >= floor)
     n = F.count(F.lit(1)).over(Window.partitionBy("date"))
@@ -294,3 +339,45 @@ def holding_returns(weights: DataFrame, bars: DataFrame, sessions: int) -> DataF
     x = bars.select("date", "symbol", "close", F.lead("close", sessions).over(panel.by_symbol()).alias("later"))
     y = weights.join(x, ["date", "symbol"], "left").withColumn("r", F.exp(log_ratio(F.col("later"), F.col("close"))) - 1)
     return y.groupBy("date").agg(F.when(F.count("r") == F.count("*"), F.sum(F.col("target_weight") * F.col("r"))).alias("holding_return"), F.count("*").alias("n_positions"))
+
+
+def matured_pnl(weights: DataFrame, bars: DataFrame, horizon: int, benchmark, cost_bps: float = 5.0) -> DataFrame:
+    """AGG-37: per signal date (weights: date, symbol, target_weight) the outcome once `horizon` later market dates are observed.
+
+    status (available, pending_labels), available_future_dates, required_future_dates, mature_date, gross_return (weights
+    times the change from the signal's to the mature date's close; 0 without both), turnover (sum of absolute weights),
+    cost_drag, net_return, max_drawdown (the loss, if any), benchmark_return of the symbol `benchmark`, excess_return,
+    positions. All but the counts are null while pending. Market dates are those of any bar.
+    """
+    market = bars.select("date").distinct().withColumn("_market", F.lit(1))
+    signals = weights.select("date").distinct().withColumn("_signal", F.lit(True))
+    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
+    days = market.join(signals, "date", "full").withColumn("_i", F.coalesce(F.sum("_market").over(upto), F.lit(0)))
+    total = market.agg(F.count("*").alias("_n"))
+    later = days.where("_market = 1").select(F.col("_i").alias("_j"), F.col("date").alias("mature_date"))
+    s = days.where("_signal").crossJoin(total).withColumns({"available_future_dates": F.col("_n") - F.col("_i"), "_j": F.col("_i") + horizon}).join(later, "_j", "left")
+    s = written(s.select("date", "available_future_dates", "mature_date"), "signal_dates")  # a row a signal date
+    price = lambda at, out: bars.select(F.col("date").alias(at), "symbol", F.col("close").alias(out))
+    change = F.try_divide(F.col("_end"), F.col("_start")) - 1
+    legs = weights.join(s, "date").join(price("date", "_start"), ["date", "symbol"], "left").join(price("mature_date", "_end"), ["mature_date", "symbol"], "left")
+    w = F.coalesce("target_weight", F.lit(0.0))
+    g = legs.groupBy("date").agg(F.sum(w * F.coalesce(change, F.lit(0.0))).alias("_gross"), F.sum(F.abs(w)).alias("_turnover"), F.count("*").alias("positions"))
+    own = bars.where(F.col("symbol") == benchmark)
+    b = s.join(own.select("date", F.col("close").alias("_start")), "date").join(own.select(F.col("date").alias("mature_date"), F.col("close").alias("_end")), "mature_date").select("date", change.alias("_benchmark"))
+    x = s.join(g, "date").join(b, "date", "left")
+    ready = F.col("mature_date").isNotNull()
+    only = lambda c: F.when(ready, c)
+    cost = F.col("_turnover") * (cost_bps / 10_000)
+    net = F.col("_gross") - cost
+    return x.select(
+        "date", F.when(ready, "available").otherwise("pending_labels").alias("status"), "available_future_dates", F.lit(horizon).alias("required_future_dates"), "mature_date", only(F.col("_gross")).alias("gross_return"), only(F.col("_turnover")).alias("turnover"), only(cost).alias("cost_drag"),
+        only(net).alias("net_return"), only(F.least(F.lit(0.0), net)).alias("max_drawdown"), only(F.col("_benchmark")).alias("benchmark_return"), only(net - F.col("_benchmark")).alias("excess_return"), "positions",
+    )
+
+
+def model_deltas(scores: DataFrame, report: str, model: str, score: str, base: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """AGG-38: per report the best model (ties by name), its score, best_minus_{base}, and {a}_minus_{b} of each pair; null where a model is missing."""
+    at = lambda m: F.max(F.when(F.col(model) == m, F.col(score)))
+    x = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
+    best = F.min_by(model, F.struct(-F.col(score), F.col(model)))
+    return x.groupBy(report).agg(best.alias("best_model"), F.max(score).alias("best_score"), (F.max(score) - at(base)).alias(f"best_minus_{base}"), *((at(a) - at(b)).alias(f"{a}_minus_{b}") for a, b in pairs))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filing_events as ev
 from ..operators import telemetry, validation
+from ..sources.folders import written
 from . import tables as t
 from .tables import query, rounded
 
@@ -292,12 +293,14 @@ def agg_31_fold_report(spark, d):
     return rounded(validation.fold_report(validation.assign_folds(x, validation.walk_forward_folds(x, 500, 60)).where("part = 'test'"), "score", "label_5d"))
 
 
-@query(f"""WITH x AS (SELECT 'score' AS feature, date, score AS p, label_5d AS l FROM scores WHERE label_5d IS NOT NULL UNION ALL SELECT 'raw_forward_return_5d', date, raw_forward_return_5d, label_5d FROM scores WHERE label_5d IS NOT NULL),
-ic AS ({_SPEARMAN.format(g="feature, date", x="x").replace("round(", "(", 1).replace(", 6) + 0.0 AS rank_ic", ") AS rank_ic")}), m AS (SELECT feature, avg(rank_ic) AS m FROM ic GROUP BY 1)
-SELECT feature, round(m, 6) + 0.0 AS mean_ic, round(abs(m), 6) AS abs_ic, CAST(row_number() OVER (ORDER BY abs(m) DESC, feature) AS INTEGER) AS rank FROM m
+@query(f"""WITH x AS (SELECT 'score' AS feature, coalesce(score, 0) AS p, label_5d AS l FROM scores WHERE label_5d IS NOT NULL UNION ALL SELECT 'size', ln(1 + abs(score)), label_5d FROM scores WHERE label_5d IS NOT NULL
+  UNION ALL SELECT 'late', CASE WHEN month(date) > 6 THEN score ELSE 0 END, label_5d FROM scores WHERE label_5d IS NOT NULL),
+ic AS ({_SPEARMAN.format(g="feature", x="x").replace("round(", "(", 1).replace(", 6) + 0.0 AS rank_ic", ") AS rank_ic")}), m AS (SELECT *, max(abs(rank_ic)) OVER () AS m FROM ic)
+SELECT feature, round(rank_ic, 6) + 0.0 AS rank_ic, round(abs(rank_ic), 6) AS abs_ic, CAST(row_number() OVER (ORDER BY abs(rank_ic) DESC, feature) AS INTEGER) AS rank, round(m, 6) AS max_abs_ic, round(least(1, m / 0.05), 6) AS score_drop, round(1 - least(1, m / 0.05), 6) AS ablation_ratio FROM m
 """)
 def agg_32_feature_dependence(spark, d):
-    return rounded(validation.feature_dependence(t.scores(spark, d), ["score", "raw_forward_return_5d"], "label_5d"))
+    x = t.scores(spark, d).withColumns({"size": F.log1p(F.abs("score")), "late": F.when(F.month("date") > 6, F.col("score"))})
+    return rounded(validation.feature_dependence(x, ["score", "size", "late"], "label_5d", 0.05))
 
 
 @query(f"""WITH b AS (SELECT date, symbol, score AS p, label_5d AS l FROM scores),
@@ -492,3 +495,60 @@ def agg_50_eta(spark, d):
 def win_27_degradation(spark, d):
     m = t.table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.avg("value").alias("v"))
     return telemetry.degradation(m, "user_id", "date", "v", 50.0, 3)
+
+
+@query(f"""WITH k AS (SELECT date, symbol, score AS s, label_5d AS l FROM scores WHERE label_5d IS NOT NULL), b AS (SELECT 'original' AS sign, date, symbol, s AS p, l FROM k UNION ALL SELECT 'flipped', date, symbol, -s, l FROM k),
+i1 AS ({_SPEARMAN.format(g="sign", x="b")}), y AS (SELECT sign, year(date) AS year, p, l FROM b), i2 AS ({_SPEARMAN.format(g="sign, year", x="y")}),
+r AS (SELECT *, row_number() OVER (PARTITION BY sign, date ORDER BY p, symbol) AS r, count(*) OVER (PARTITION BY sign, date) AS n FROM b), q AS (SELECT sign, date, l, greatest(0, ceil((r - 1) * least(10, n) / greatest(n - 1, 1)) - 1) AS k, n FROM r WHERE n > 1),
+e AS (SELECT *, min(k) OVER (PARTITION BY sign, date) AS lo, max(k) OVER (PARTITION BY sign, date) AS hi FROM q), d AS (SELECT sign, date, avg(l) FILTER (k = hi) - avg(l) FILTER (k = lo) AS spread FROM e GROUP BY 1, 2), sp AS (SELECT sign, coalesce(avg(spread), 0) AS spread FROM d GROUP BY 1),
+a AS (SELECT sign, NULL AS year, rank_ic, n FROM i1 UNION ALL SELECT sign, CAST(year AS INTEGER), rank_ic, n FROM i2),
+c AS (SELECT CASE WHEN max(rank_ic) FILTER (sign = 'flipped') > max(rank_ic) FILTER (sign = 'original') AND (SELECT spread FROM sp WHERE sign = 'flipped') >= (SELECT spread FROM sp WHERE sign = 'original') THEN 'flipped' ELSE 'original' END AS preferred FROM i1)
+SELECT a.sign, a.year, a.rank_ic, a.n, CASE WHEN a.year IS NULL THEN round(spread, 6) + 0.0 END AS mean_spread, preferred FROM a LEFT JOIN sp ON sp.sign = a.sign, c
+""")
+def agg_34_sign_flip_canary(spark, d):
+    """AGG-34 in full: pooled and yearly rank IC, daily spreads and the preferred direction."""
+    return rounded(validation.sign_flip_canary(t.scores(spark, d), "score", "label_5d"))
+
+
+@query("""WITH k AS (SELECT score AS s, label_5d AS l, row_number() OVER (ORDER BY score, date, symbol) AS r, count(*) OVER () AS n FROM scores WHERE label_5d IS NOT NULL AND score IS NOT NULL),
+b AS (SELECT CAST(greatest(0, ceil((r - 1) * least(10, n) / greatest(n - 1, 1)) - 1) + 1 AS INTEGER) AS bucket, l FROM k), g AS (SELECT bucket, count(*) AS n, avg(l) AS m, avg(CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END) AS h FROM b GROUP BY 1)
+SELECT bucket, n, round(m, 6) + 0.0 AS mean_label, round((SELECT arg_max(m, bucket) - arg_min(m, bucket) FROM g), 6) + 0.0 AS spread, round((SELECT arg_max(h, bucket) FROM g), 6) AS hit_rate FROM g
+""")
+def agg_08_pooled_buckets(spark, d):
+    return rounded(validation.pooled_buckets(t.scores(spark, d), "score", "label_5d"))
+
+
+@query(f"""WITH {_WEIGHTS}, md AS (SELECT DISTINCT date FROM bars), n AS (SELECT w.date, (SELECT count(*) FROM md WHERE md.date > w.date) AS available, (SELECT md.date FROM md WHERE md.date > w.date ORDER BY md.date LIMIT 1 OFFSET 4) AS mature FROM (SELECT DISTINCT date FROM weights) w),
+l AS (SELECT w.date, w.symbol, target_weight AS w, coalesce(e.close / s.close - 1, 0) AS r FROM weights w JOIN n ON n.date = w.date LEFT JOIN bars s ON s.symbol = w.symbol AND s.date = w.date LEFT JOIN bars e ON e.symbol = w.symbol AND e.date = n.mature),
+g AS (SELECT date, sum(w * r) AS gross, sum(abs(w)) AS turnover, count(*) AS positions FROM l GROUP BY 1), z AS (SELECT g.*, available, mature, gross - turnover * 0.0005 AS net, (SELECT e.close / s.close - 1 FROM bars s JOIN bars e ON e.symbol = s.symbol WHERE s.symbol = 1 AND s.date = g.date AND e.date = n.mature) AS bench FROM g JOIN n ON n.date = g.date)
+SELECT date, CASE WHEN mature IS NULL THEN 'pending_labels' ELSE 'available' END AS status, available AS available_future_dates, 5 AS required_future_dates, mature AS mature_date, CASE WHEN mature IS NOT NULL THEN round(gross, 6) + 0.0 END AS gross_return, CASE WHEN mature IS NOT NULL THEN round(turnover, 6) END AS turnover, CASE WHEN mature IS NOT NULL THEN round(turnover * 0.0005, 6) END AS cost_drag,
+  CASE WHEN mature IS NOT NULL THEN round(net, 6) + 0.0 END AS net_return, CASE WHEN mature IS NOT NULL THEN round(least(0, net), 6) + 0.0 END AS max_drawdown, round(bench, 6) + 0.0 AS benchmark_return, round(net - bench, 6) + 0.0 AS excess_return, positions FROM z
+""")
+def agg_37_matured_pnl(spark, d):
+    b = written(t.bars(spark, d), "bars")
+    return rounded(validation.matured_pnl(_weights(spark, d), b, 5, 1))
+
+
+@query("""WITH e AS (SELECT DISTINCT symbol, ex_date FROM actions), ix AS (SELECT e.symbol, s.session_idx FROM e JOIN sessions s ON s.date = e.ex_date),
+x AS (SELECT c.*, EXISTS (SELECT 1 FROM ix WHERE ix.symbol = c.symbol AND ix.session_idx - s.session_idx BETWEEN 1 AND 5) AS near FROM scores c LEFT JOIN sessions s ON s.date = c.date),
+w AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS r, count(*) OVER (PARTITION BY date) AS n FROM x WHERE isodow(date) = 5 AND NOT near)
+SELECT date, symbol, score, round(1 / greatest(1, ceil(n / 5)), 8) AS target_weight FROM w WHERE r <= greatest(1, ceil(n / 5))
+""")
+def prj_16_earnings_exclusion(spark, d):
+    """PRJ-16: no weight where an event lies within the next five sessions."""
+    from ..operators import asof
+
+    events = t.actions(spark, d).select("symbol", F.col("ex_date").alias("event_date"))
+    x = asof.within_sessions(t.scores(spark, d), events, t.sessions(spark, d))
+    return validation.target_weights(x, exclude="event_within").withColumn("target_weight", F.round("target_weight", 8))
+
+
+@query("""WITH r AS (SELECT s_nationkey AS report, CASE s_suppkey % 4 WHEN 0 THEN 'ridge' WHEN 1 THEN 'lightgbm' WHEN 2 THEN 'catboost' ELSE 'ensemble' END AS model, max(s_acctbal) AS score FROM supplier GROUP BY ALL),
+g AS (SELECT report, max(score) AS best, max(score) FILTER (model = 'ridge') AS r, max(score) FILTER (model = 'catboost') AS c, max(score) FILTER (model = 'lightgbm') AS l FROM r GROUP BY 1)
+SELECT report, (SELECT min(model) FROM r WHERE r.report = g.report AND score = best) AS best_model, round(best, 6) AS best_score, round(best - r, 6) + 0.0 AS best_minus_ridge, round(c - l, 6) + 0.0 AS catboost_minus_lightgbm FROM g
+""")
+def agg_38_model_deltas(spark, d):
+    k = F.col("s_suppkey") % 4
+    model = F.when(k == 0, "ridge").when(k == 1, "lightgbm").when(k == 2, "catboost").otherwise("ensemble")
+    s = t.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("report"), model.alias("model")).agg(F.max("s_acctbal").alias("score"))
+    return rounded(validation.model_deltas(s, "report", "model", "score", "ridge", [("catboost", "lightgbm")]))

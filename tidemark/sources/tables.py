@@ -34,6 +34,34 @@ def multi_root(spark: SparkSession, roots: list[str], schema: T.StructType, star
     return out.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def partition_report(spark: SparkSession, roots: list[str], schema: T.StructType, key: str = "date", expected: DataFrame | None = None) -> DataFrame:
+    """SRC-04: root, part, files, read_files, bytes, rows, status of every partition `key`=part below the roots, and of the expected ones (a column part).
+
+    Files are listed without their contents; rows are counted by the file that they come from. status: read, partly (some
+    file gave no row), skipped (no file did: unreadable or empty), missing (expected, and not there in that root). Roots
+    that aren't there have no files.
+    """
+    same = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the two sources write authorities differently
+    part = F.regexp_extract("file", rf"/{key}=([^/]+)/", 1)
+    report = None
+    for root in roots:
+        try:
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(same(F.col("path")).alias("file"), "length")
+            rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("recursiveFileLookup", True).parquet(root)
+            counted = rows.groupBy(same(F.col("_metadata.file_path")).alias("file")).agg(F.count("*").alias("rows"))
+        except AnalysisException:
+            listed = spark.createDataFrame([], "file string, length bigint")
+            counted = spark.createDataFrame([], "file string, rows bigint")
+        x = listed.join(counted, "file", "left").withColumn("part", F.url_decode(part)).where("part <> ''")
+        x = x.groupBy("part").agg(F.count("*").alias("files"), F.count("rows").alias("read_files"), F.sum("length").alias("bytes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+        if expected is not None:
+            x = x.join(expected.select(F.col("part").cast("string").alias("part")).distinct(), "part", "full")
+        x = x.select(F.lit(root).alias("root"), "part", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "read_files", "bytes", "rows")))
+        report = x if report is None else report.unionByName(x)
+    status = F.when(F.col("files") == 0, "missing").when(F.col("read_files") == 0, "skipped").when(F.col("read_files") < F.col("files"), "partly").otherwise("read")
+    return report.withColumn("status", status)
+
+
 def write_by_date(df: DataFrame, root: str, changed: DataFrame | None = None) -> None:
     """SNK-01: partitioned by date; only the dates in df (or changed) are rewritten."""
     x = df.join(changed.select("date").distinct(), "date", "left_semi") if changed is not None else df
