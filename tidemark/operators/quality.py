@@ -119,6 +119,3 @@ def trailing_share(df: DataFrame, by: str, at: str, minutes: int, now) -> DataFr
     """Rows per key in the minutes before now."""
     return df.where(F.col(at) >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES")).groupBy(by).agg(F.count("*").alias("n"))
 
-
-def total_order(n: str) -> Window:
-    return Window.orderBy(n)

@@ -18,7 +18,7 @@ def walk_forward_folds(dates: DataFrame, initial: int, step: int, purge: int = 5
 
     Training takes the first initial + fold * step dates less the last `purge`, testing the next step dates. One row a fold.
     """
-    d = dates.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # one row a day
+    d = written(dates.select("date").distinct(), "days").withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # one row a day, read four times
     n = d.agg((F.max("i") + 1).alias("n"))
     folds = n.select(F.explode(F.expr(f"CASE WHEN n > {initial} THEN sequence(0, (n - {initial} - 1) div {step}) ELSE array() END")).alias("fold"), "n").select(
         F.col("fold").cast("int").alias("fold"), (initial + F.col("fold") * step - purge - 1).alias("a"), (initial + F.col("fold") * step).alias("b"), F.least(initial + (F.col("fold") + 1) * step - 1, F.col("n") - 1).alias("c")
@@ -29,12 +29,19 @@ def walk_forward_folds(dates: DataFrame, initial: int, step: int, purge: int = 5
 
 def assign_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
     """JOIN-18: each row once for each fold that it trains or tests, with its part. Folds meet dates first, a row a day and fold; rows then join by date."""
+    df = written(df, "rows")  # read for its dates too
     days = df.select("date").distinct()
     part = F.when(F.col("date") <= F.col("train_end"), "train").when(F.col("date").between(F.col("test_start"), F.col("test_end")), "test")
     near = days.join(folds, (F.col("date") <= F.col("train_end")) | F.col("date").between(F.col("test_start"), F.col("test_end"))).select("date", "fold", part.alias("part"))
     return df.join(near, "date")
 
 
+def fold_sizes(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """JOIN-18: fold, part, n: how many rows each fold trains on and tests. Rows are counted by date before folds multiply anything."""
+    daily = df.groupBy("date").agg(F.count("*").alias("_n"))
+    return assign_folds(daily, folds).groupBy("fold", "part").agg(F.sum("_n").alias("n"))
+
+
 def test_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     """The rows that a fold tests, each with its fold; test windows don't overlap."""
     days = df.select("date").distinct().join(folds, F.col("date").between(F.col("test_start"), F.col("test_end"))).select("date", "fold")
@@ -216,6 +223,7 @@ def permuted_symbols(df: DataFrame, seed: int) -> DataFrame:
 
 def negative_controls(df: DataFrame, prediction: str, label: str, seed: int = 17) -> DataFrame:
     """AGG-33: mean per-date rank IC of the real label and of controls: shuffled labels, the next row's label, a random prediction, the predictions of other symbols, a leak."""
+    df = written(df.select("date", "symbol", prediction, label), "predictions")  # read for each control
     noise = unit_hash(F.lit(seed), F.col("date"), F.col("symbol"))
     ahead = df.withColumn(label, F.lead(label, 1).over(panel.by_symbol()))
     other = df.select("date", F.col("symbol").alias("other"), F.col(prediction).alias("_p"))

@@ -38,7 +38,7 @@ def _days(spark, d, table, column):
 
 
 @query(f"WITH {_DAYS.format('l_shipdate', 'lineitem')}, {_CALENDAR} SELECT * FROM calendar")
-def src_17_calendar(spark, d):
+def src_17_exchange_calendar(spark, d):
     """SRC-17: every day from the first to the last shipment with opening hours in UTC, early closes and holidays."""
     return calendars.exchange_calendar(_days(spark, d, "lineitem", "l_shipdate"))
 

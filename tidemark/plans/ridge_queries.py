@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import modeling, panel, validation
+from ..sources.folders import written
 from . import tables as t
 from .study_queries import _SPEARMAN
 from .tables import query, rounded
@@ -34,7 +35,8 @@ _XY_UPTO = ", ".join(f"sum(xy{i}) OVER w AS xy{i}" for i in range(1, _P + 1))
 
 
 def _table(spark, d):
-    return modeling.modeling_table(t.bars(spark, d), t.sessions(spark, d))
+    b = written(t.bars(spark, d), "bars")
+    return written(modeling.modeling_table(b, panel.sessions(b.select("date"))), "modeling")  # read for folds, models and tests
 
 
 def _folds(x):

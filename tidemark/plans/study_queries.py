@@ -82,11 +82,11 @@ done AS (SELECT *, list_filter([CASE WHEN entry_date IS NULL THEN 'missing_entry
 
 
 def _labels(spark, d, keep=()):
-    c = _candidates(spark, d).where("eligible")
+    c = written(_candidates(spark, d).where("eligible"), "candidates")
     q = c.select("event_id", (F.col("issuer") % 100).alias("symbol"), F.col("accepted_at").alias("tradable_at"))
-    b = t.bars(spark, d)
+    b = written(t.bars(spark, d), "bars")  # read for entries, exits, sessions and the benchmark
     bench = b.groupBy("date").agg(F.avg("close").alias("close"))
-    x = ev.event_labels(q, b, t.sessions(spark, d), (1, 5), 0.005, bench)
+    x = written(ev.event_labels(q, b, t.panel.sessions(b.select("date")), (1, 5), 0.005, bench), "labels")
     return x.join(c.select("event_id", *keep), "event_id") if keep else x
 
 
@@ -192,8 +192,8 @@ def mod_07_walk_forward_folds(spark, d):
 
 @query(f"WITH {_FOLDS} SELECT fold, CASE WHEN date <= train_end THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM scores, folds WHERE date <= train_end OR date BETWEEN test_start AND test_end GROUP BY 1, 2")
 def join_18_fold_sizes(spark, d):
-    x = t.scores(spark, d)
-    return validation.assign_folds(x, validation.walk_forward_folds(x, 500, 60)).groupBy("fold", "part").agg(F.count("*").alias("n"))
+    x = written(t.scores(spark, d), "scores")
+    return validation.fold_sizes(x, validation.walk_forward_folds(x, 500, 60))
 
 
 @query("""
@@ -229,7 +229,7 @@ ic AS ({_SPEARMAN.format(g="alpha, fold", x="t")})"""
 
 
 def _ridge(spark, d):
-    x = t.scores(spark, d).withColumn("size", F.log1p(F.abs("score")))
+    x = written(t.scores(spark, d), "scores").withColumn("size", F.log1p(F.abs("score")))
     return validation.walk_forward_ridge(x, validation.walk_forward_folds(x, 500, 60), ["score", "size"], "label_5d", [0.01, 1.0, 100.0])
 
 
@@ -256,7 +256,7 @@ SELECT ic.path, m.n AS n_train, ic.n AS n_test, round(m.n / (SELECT count(*) FRO
 """)
 def mod_08_path_ridge(spark, d):
     """MOD-08: a ridge regression and its rank IC on each of the 28 purged paths."""
-    x = t.scores(spark, d).withColumn("size", F.log1p(F.abs("score")))
+    x = written(t.scores(spark, d), "scores").withColumn("size", F.log1p(F.abs("score")))
     return rounded(validation.purged_path_ridge(x, ["score", "size"], "label_5d"))
 
 
@@ -289,7 +289,7 @@ def agg_30_overfitting(spark, d):
 SELECT ic.fold, rank_ic, ic.n, round(avg(l), 6) + 0.0 AS mean_label, min(date) AS first_date, max(date) AS last_date FROM ic JOIN x ON x.fold = ic.fold GROUP BY 1, 2, 3
 """)
 def agg_31_fold_report(spark, d):
-    x = t.scores(spark, d)
+    x = written(t.scores(spark, d), "scores")
     return rounded(validation.fold_report(validation.assign_folds(x, validation.walk_forward_folds(x, 500, 60)).where("part = 'test'"), "score", "label_5d"))
 
 
@@ -331,7 +331,7 @@ weights AS (SELECT date, symbol, score, least(1 / greatest(1, ceil(n / 5)), 1.0)
 
 
 def _weights(spark, d):
-    return validation.target_weights(t.scores(spark, d))
+    return written(validation.target_weights(t.scores(spark, d)), "weights")  # read for trades, holdings and sums
 
 
 @query(f"WITH {_WEIGHTS} SELECT date, symbol, score, round(target_weight, 8) AS target_weight FROM weights")

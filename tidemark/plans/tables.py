@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel
+from ..sources.folders import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name, with the SQL that must give the same rows."""
 
     def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = with_views(sql)
@@ -96,9 +99,9 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """date, symbol, score (20-day momentum, lagged), label_5d of the dates that have both."""
-    b = bars(spark, d)
+    b = written(bars(spark, d), "bars")  # read for scores, sessions and labels
     x = panel.lagged(panel.momentum(b, (20,)), ["momentum_20d"]).select("date", "symbol", F.round("momentum_20d", 10).alias("score"))
-    y = panel.build_labels(b, sessions(spark, d)).select("date", "symbol", F.round("label_5d", 10).alias("label_5d"), F.round("raw_forward_return_5d", 10).alias("raw_forward_return_5d"))
+    y = panel.build_labels(b, panel.sessions(b.select("date"))).select("date", "symbol", F.round("label_5d", 10).alias("label_5d"), F.round("raw_forward_return_5d", 10).alias("raw_forward_return_5d"))
     return x.join(y, ["date", "symbol"]).where("score IS NOT NULL")
 
 
