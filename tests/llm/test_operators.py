@@ -239,15 +239,18 @@ def test_top_k_prunes():
     r = np.random.default_rng(0)
     for x, most in ((np.concatenate([r.normal(c, 1, (500, 4)) for c in (0, 100, 1000)]), 0.3), (1024 * r.normal(size=(4000, 64)) / 8, 0.5)):
         x = x.round().astype(np.int64)
-        ids, basis = np.arange(len(x)), topk.pivots_of(x[:1000])
-        t = topk.entries(x, basis)
+        ids, pivots = np.arange(len(x)), topk.pivots_of(x[:1000])
+        t = topk.distances(x, pivots)
         q = slice(0, len(x), 50)
-        number, vector, score, done = topk.best_of_block(ids[q], x[q], t[q], np.full(len(x[q]), -np.inf), ids, x, t, 10)
         every = x[q] @ x.T
+        least = np.sort(every[:, 1::2], 1)[:, -11].astype(float)  # of half the vectors, itself aside
+        number, vector, score, seen = topk.best_of_block(ids[q], x[q], t[q], least, ids, x, t, pivots, 10)
         every[np.arange(len(every)), ids[q]] = every.min() - 1
         want = [(i, -s, j) for i, row in enumerate(every) for s, j in sorted(zip(-row, ids.tolist()))[:10]]
         assert sorted(zip(number.tolist(), (-score).tolist(), vector.tolist())) == sorted((i, -s, j) for i, s, j in want)
-        assert done < most * every.size
+        assert seen["scored"] < most * every.size and seen["scored"] <= seen["bounded_jointly"] <= seen["looked_at"] <= every.size
+        if x.shape[1] == 4:  # groups far away are never looked at
+            assert seen["looked_at"] < 0.8 * every.size and seen["bounded_jointly"] < 0.6 * every.size
 
 
 def test_top_k_of_large_components_and_repeated_rows(spark):

@@ -1,14 +1,16 @@
 """Exact top-k search by inner product with a pivot table.
 
 Vectors are quantised to integers. Pivots are chosen by spread from a bounded sample: each is the vector farthest from those
-before it. The table, built once and written, holds of every vector what its distances to all pivots determine: its
-coordinates in the space that the pivots span, and its distance from that space. Of all lower bounds that the triangle
-inequality and its relatives allow from these distances, the one of two vectors' entries is the largest (the distance of
-their nearest placements), and with their norms it is an upper bound of their inner product: the product of their entries.
-
-A query begins with the k-th best score of the sample, evaluates candidates in the order of their bounds and stops for
-good when the next bound lies below its k-th best score. Queries and candidates are dealt in blocks, and a task compares one
-block of either; a query's best of each block are merged at the end.
+before it; the origin is one too. The table, built once and written, holds every vector's distances to all pivots. By the
+triangle inequality each pivot gives a lower bound of the distance of two vectors, the difference of their distances to it;
+the largest counts, and with the norms (distances to the origin) it bounds the inner product from above.
+
+A query begins with the k-th best score of the sample. Candidates lie in groups that are near in their distances: a group
+whose intervals of distances rule it out is never looked at. The others' candidates are bounded by the maximum over all
+pivots, and those that are left by what all distances allow jointly (the product of their placements in the pivots' space).
+They are evaluated in the order of their bounds, and a query stops for good when the next bound lies below its k-th best
+score. Queries and candidates are dealt in blocks, and a task compares one block of either; a query's best of each block are
+merged at the end.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .common import written
 
 #: Most vectors of a block; smaller blocks are made while there are fewer pairs of blocks than tasks at a time.
 QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCK = 16_384, 32_768, 2048
-#: Vectors that pivots are chosen from, pivots for each component, candidates that a query evaluates before it looks at the bounds again.
-SAMPLE, PIVOTS, AT_ONCE = 4096, 0.75, 256
+#: Vectors that pivots are chosen from, pivots for each component, candidates that a query evaluates before it looks at the bounds again, candidates of a group.
+SAMPLE, PIVOTS, AT_ONCE, GROUP = 4096, 0.75, 256, 64
 _LONGEST = (1 << 63) - 1
 
 
@@ -40,24 +42,33 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def pivots_of(sample: np.ndarray, share: float = PIVOTS) -> np.ndarray:
-    """An orthonormal basis (columns) of the space of the pivots: share * components of them, at least one and at most as many as vectors."""
-    if not len(sample):
-        return np.zeros((sample.shape[1], 0))
+    """The origin, and share * components vectors of the sample, at least one and at most all, each the farthest from those before."""
     x = sample.astype(np.float64)
+    if not len(x):
+        return np.zeros((1, sample.shape[1]))
     chosen = [int(np.argmax((x * x).sum(1)))]
     near = ((x - x[chosen[0]]) ** 2).sum(1)
     while len(chosen) < min(max(1, int(share * x.shape[1])), len(x)):
         chosen.append(int(np.argmax(near)))
         near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
-    p = x[chosen] / max(1.0, np.abs(x[chosen]).max())
-    u, size, _ = np.linalg.svd(p.T, full_matrices=False)
-    return u[:, size > 1e-9 * max(size[0], 1e-300)]
+    return np.concatenate([np.zeros((1, x.shape[1])), x[chosen]])
 
 
-def entries(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """The table's entries of vectors: coordinates in the pivots' space, and the distance from it."""
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The table's entries: the distance of each vector to each pivot, the first of which is the origin."""
     f = x.astype(np.float64)
-    inside = f @ basis
+    out = np.empty((len(f), len(pivots)))
+    for j, p in enumerate(pivots):
+        out[:, j] = np.sqrt(((f - p) ** 2).sum(1))
+    return out
+
+
+def placements(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """What all distances together say of each vector: its coordinates in the space that the pivots span, and its distance from that space."""
+    p = pivots[1:] / max(1.0, np.abs(pivots).max(initial=0))
+    u, size, _ = np.linalg.svd(p.T, full_matrices=False) if len(p) else (np.zeros((pivots.shape[1], 0)), np.zeros(0), None)
+    f = x.astype(np.float64)
+    inside = f @ u[:, size > 1e-9 * max(size.max(initial=0), 1e-300)]
     return np.column_stack([inside, np.sqrt(np.maximum((f * f).sum(1) - (inside * inside).sum(1), 0))])
 
 
@@ -71,33 +82,60 @@ def _is_exact(q: np.ndarray, x: np.ndarray) -> bool:
     return max(largest(q), 1.0) * max(largest(x), 1.0) * q.shape[1] < 2.0**53
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, tq: np.ndarray, least: np.ndarray, xid: np.ndarray, x: np.ndarray, tx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(number of the query, vector, score) of each query's k best among x without its own id, ties to the smaller id, that reach `least`; and how many scores were computed.
+def best_of_block(qid: np.ndarray, q: np.ndarray, dq: np.ndarray, least: np.ndarray, xid: np.ndarray, x: np.ndarray, dx: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """(number of the query, vector, score) of each query's k best among x without its own id, ties to the smaller id, that reach `least`; and how many pairs were in groups looked at, bounded jointly, and scored.
 
-    tq, tx: the table's entries.
+    dq, dx: the table's entries.
     """
     exact = _is_exact(q, x)
-    slack = 1e-9 * (np.linalg.norm(tq, axis=1).max(initial=0) * np.linalg.norm(tx, axis=1).max(initial=0) + 1)
-    number, vector, score, done = [], [], [], 0
-    for low in range(0, len(q), AT_ONCE):
-        bounds = tq[low : low + AT_ONCE] @ tx.T + slack
-        for i, bound in enumerate(bounds, low):
-            some = np.flatnonzero(bound >= least[i])
-            some = some[np.argsort(-bound[some])]
-            best_id, best = np.empty(0, xid.dtype), np.empty(0, np.int64 if exact else object)
-            for at in range(0, len(some), AT_ONCE):
-                if len(best) == k and bound[some[at]] < float(best[-1]):
-                    break
-                now = some[at : at + AT_ONCE]
-                now = now[xid[now] != qid[i]]
-                done += len(now)
-                best_id, best = np.concatenate([best_id, xid[now]]), np.concatenate([best, _scores(q[i], x[now], exact)])
-                top = np.lexsort((best_id, -best))[:k]
-                best_id, best = best_id[top], best[top]
-            number.append(np.full(len(best), i))
-            vector.append(best_id)
-            score.append(best)
-    return np.concatenate(number), np.concatenate(vector), np.concatenate(score), done
+    widest = int(np.argmax(dx.std(0)))  # groups are near in the distance that spreads most
+    order = np.argsort(dx[:, widest], kind="stable")
+    xid, x, dx = xid[order], x[order], dx[order]
+    begin = np.arange(0, len(x), GROUP)
+    low, high = np.minimum.reduceat(dx, begin), np.maximum.reduceat(dx, begin)
+    tq, tx = placements(q, pivots), placements(x, pivots)
+    by_pivot = np.ascontiguousarray(dx.T)
+    norms, top = dx[:, 0] ** 2, float(dx[:, 0].max(initial=0))
+    number, vector, score, seen = [], [], [], {"looked_at": 0, "bounded_jointly": 0, "scored": 0}
+    for i in range(len(q)):
+        if i % AT_ONCE == 0:
+            joint = tq[i : i + AT_ONCE] @ tx.T  # what all distances allow together
+        own = float(dq[i, 0])
+        slack = 1e-9 * (own * top + 1) + 1e-12 * (own * own + top * top)
+        apart = np.maximum(np.maximum(dq[i] - high, low - dq[i]).max(1), 0)  # of each group at least
+        open_ = np.flatnonzero((own * own + high[:, 0] ** 2 - apart * apart) / 2 + slack >= least[i])
+        some = (begin[open_][:, None] + np.arange(GROUP)).ravel()
+        some = some[some < len(x)]
+        seen["looked_at"] += len(some)
+        few = 2 * len(some) < len(x)
+        columns = by_pivot[:, some] if few else by_pivot  # else all at once, those of closed groups aside
+        apart, now = np.zeros(columns.shape[1]), np.empty(columns.shape[1])
+        for distance, mine in zip(columns, dq[i], strict=True):  # the largest lower bound of any pivot
+            np.maximum(apart, np.abs(np.subtract(distance, mine, out=now), out=now), out=apart)
+        apart = apart if few else apart[some]
+        bound = (own * own + norms[some] - apart * apart) / 2 + slack
+        kept = bound >= least[i]
+        some, bound = some[kept], bound[kept]
+        seen["bounded_jointly"] += len(some)
+        bound = np.minimum(bound, joint[i % AT_ONCE, some] + slack)
+        kept = bound >= least[i]
+        some, bound = some[kept], bound[kept]
+        by = np.argsort(-bound)
+        some, bound = some[by], bound[by]
+        best_id, best = np.empty(0, xid.dtype), np.empty(0, np.int64 if exact else object)
+        for at in range(0, len(some), AT_ONCE):
+            if len(best) == k and bound[at] < float(best[-1]):
+                break
+            now = some[at : at + AT_ONCE]
+            now = now[xid[now] != qid[i]]
+            seen["scored"] += len(now)
+            best_id, best = np.concatenate([best_id, xid[now]]), np.concatenate([best, _scores(q[i], x[now], exact)])
+            first = np.lexsort((best_id, -best))[:k]
+            best_id, best = best_id[first], best[first]
+        number.append(np.full(len(best), i))
+        vector.append(best_id)
+        score.append(best)
+    return np.concatenate(number), np.concatenate(vector), np.concatenate(score), seen
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: float = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
@@ -114,7 +152,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: float = P
     for i, v in enumerate(drawn["q"].to_pylist()):
         by_length.setdefault(len(v), []).append(i)
     sample = {n: (drawn["vec_id"].to_numpy()[at], _matrix(drawn["q"].take(pa.array(at)))) for n, at in by_length.items()}
-    bases = {n: pivots_of(x, pivots) for n, (_, x) in sample.items()}
+    chosen = {n: pivots_of(x, pivots) for n, (_, x) in sample.items()}
+    of = lambda n: chosen.get(n, np.zeros((1, n)))
 
     def enter(seek: bool):
         def run(batches):
@@ -123,7 +162,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: float = P
                 for n in np.unique(length):
                     some = b.filter(pa.array(length == n))
                     q = _matrix(some.column("q"))
-                    t = entries(q, bases.get(int(n), np.zeros((int(n), 0))))
+                    t = distances(q, of(int(n)))
                     columns = [*some.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, t.shape[1], dtype=np.int32)), pa.array(t.ravel()))]
                     if seek:  # the k-th best score of the sample, none if it has fewer
                         ids, x = sample.get(int(n), (np.empty(0, np.int64), q[:0]))
@@ -154,7 +193,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: float = P
         number = x = s = np.empty(0, np.int64)
         if left.num_rows and right.num_rows:
             q, t = _matrix(left["q"]), _matrix(left["entry"])
-            number, x, s, _ = best_of_block(left["vec_id"].to_numpy(), q, t, left["least"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right["q"]), _matrix(right["entry"]), k)
+            number, x, s, _ = best_of_block(left["vec_id"].to_numpy(), q, t, left["least"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right["q"]), _matrix(right["entry"]), of(q.shape[1]), k)
         if s.dtype == object:
             s = np.array([max(-_LONGEST - 1, min(_LONGEST, v)) for v in s], np.int64)
         keys = [left[c].take(pa.array(number.astype(np.int64))) for c in ("vec_id", "key")]
