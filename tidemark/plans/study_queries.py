@@ -223,8 +223,9 @@ m AS (SELECT *, (sy - wa * sa - wb * sb) / n AS b0 FROM w)"""
 _RIDGE = f"""{_XY}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM scores)),
 f AS (SELECT k AS fold, 500 + k * 60 AS b, least(500 + (k + 1) * 60 - 1, n - 1) AS c FROM (SELECT DISTINCT n FROM dd) CROSS JOIN (SELECT unnest(generate_series(0, 1000)) AS k) WHERE 500 + k * 60 < n),
 folds AS (SELECT CAST(fold AS INTEGER) AS fold, x.date AS train_end, y.date AS test_start, z.date AS test_end FROM f JOIN dd x ON x.i = b - 6 JOIN dd y ON y.i = b JOIN dd z ON z.i = c),
-s0 AS (SELECT fold, {_SUMS} FROM xy JOIN folds ON date <= train_end GROUP BY 1), s AS (SELECT * FROM s0 CROSS JOIN (SELECT unnest([0.01, 1.0, 100.0]) AS al)), {_SOLVED},
-t AS (SELECT xy.date, xy.symbol, m.fold, m.al AS alpha, b0 + wa * a + wb * b AS p, y AS l FROM xy JOIN folds ON date BETWEEN test_start AND test_end JOIN m ON m.fold = folds.fold),
+day AS (SELECT date, {_SUMS} FROM xy GROUP BY date), upto AS (SELECT date, {", ".join(f"CAST(sum({c}) OVER w AS DOUBLE) AS {c}" for c in ("n", "sy", "sa", "sb", "saa", "sab", "sbb", "say", "sby"))} FROM day WINDOW w AS (ORDER BY date)),
+s0 AS MATERIALIZED (SELECT fold, upto.* EXCLUDE (date) FROM upto JOIN folds ON upto.date = train_end), s AS (SELECT * FROM s0 CROSS JOIN (SELECT unnest([0.01, 1.0, 100.0]) AS al)), {_SOLVED},
+t AS MATERIALIZED (SELECT xy.date, xy.symbol, m.fold, m.al AS alpha, b0 + wa * a + wb * b AS p, y AS l FROM xy JOIN folds ON date BETWEEN test_start AND test_end JOIN m ON m.fold = folds.fold),
 ic AS ({_SPEARMAN.format(g="alpha, fold", x="t")})"""
 
 
