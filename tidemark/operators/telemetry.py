@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gates
@@ -74,9 +74,12 @@ def backlog(events: DataFrame, payload: str, path: str) -> DataFrame:
     return events.groupBy(kind.alias("backlog_class")).agg(F.count("*").alias("n"), F.avg(k).alias("mean_k"))
 
 
-def experiments(runs: DataFrame, group: str, score: str, run: str) -> DataFrame:
-    """AGG-38, AGG-39: per group runs, the best run and its score, and its lead over the mean."""
-    return runs.groupBy(group).agg(F.count("*").alias("n_runs"), F.max_by(run, F.struct(score, run)).alias("best_run"), F.max(score).alias("best_score"), (F.max(score) - F.avg(score)).alias("lead"))
+def experiments(runs: DataFrame, group: str, score: str, run: str, order: Column | None = None) -> DataFrame:
+    """AGG-38, AGG-39: per group runs, the best run, the best score, and its lead over the mean.
+
+    The best run has the largest `order`, ties to the larger run; by default order is the score.
+    """
+    return runs.groupBy(group).agg(F.count("*").alias("n_runs"), F.max_by(run, F.struct(F.col(score) if order is None else order, F.col(run))).alias("best_run"), F.max(score).alias("best_score"), (F.max(score) - F.avg(score)).alias("lead"))
 
 
 def leaderboard(runs: DataFrame, score: str, tie: str, n: int = 20) -> DataFrame:
