@@ -23,7 +23,7 @@ SELECT date, round(coalesce(CASE WHEN isnan(corr(rf, rl)) THEN 0 ELSE corr(rf, r
 def flagship_rank_ic(spark, d):
     """Bars to lagged momentum, to per-date ranks, against 5-session labels: rank IC by date."""
     b = written(t.bars(spark, d), "bars")  # read for features, sessions and labels
-    x = panel.rank_normalize(panel.lagged(panel.momentum(b, (20,)), ["momentum_20d"]), ["momentum_20d"])
+    x = panel.rank_normalize(panel.lagged(panel.momentum(b, (20,)), ["momentum_20d"]).select("date", "symbol", "momentum_20d"), ["momentum_20d"])
     y = panel.build_labels(b, panel.sessions(b.select("date")))
     return rounded(panel.rank_ic(x.select("date", "symbol", "momentum_20d").join(y, ["date", "symbol"]), "momentum_20d", "label_5d", ["date"]))
 
