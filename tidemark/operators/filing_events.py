@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_any, gates, log_ratio, quantiles, reasons, short_id, unit_hash
+from ..functions.columns import contains_any, gates, log_ratio, quantiles, reasons, short_id
 from . import asof, panel
 
 #: Titles of common shares, titles that exclude, terms of private purchases.
@@ -117,11 +117,20 @@ def study_summary(labels: DataFrame, metric: str, by: list[str]) -> DataFrame:
 
 
 def bootstrap_ci(labels: DataFrame, metric: str, by: list[str], iterations: int = 1000, seed: int = 7) -> DataFrame:
-    """AGG-10: 95% interval of the group mean by a Poisson bootstrap with hashed weights: one aggregation by (group, iteration)."""
-    u = unit_hash(F.lit(seed), F.col("event_id"), F.col("_i")).alias("_u")
-    draws = F.aggregate(F.array(*(F.lit(p) for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676))), F.lit(0), lambda a, p: a + F.when(F.col("_u") > p, 1).otherwise(0))
-    x = labels.where(F.col(metric).isNotNull()).select(*by, "event_id", metric, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("_i")).select("*", u).withColumn("_w", draws)
-    means = x.groupBy(*by, "_i").agg(F.try_divide(F.sum(F.col("_w") * F.col(metric)), F.sum("_w").cast("double")).alias("_m"))
+    """AGG-10: 95% interval of the group mean by a Poisson bootstrap with hashed weights: one aggregation by (group, iteration).
+
+    The weight of an event in an iteration is how many shares of the Poisson distribution lie below unit_hash(seed, event,
+    iteration). It is hashed once for all groups of the event, and hashes are compared as hex digits, in their order.
+    """
+    shares = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+    digits = [f"{int(p * (1 << 52)):013x}g" for p in shares]  # g: behind all digits that go on
+    weight = F.lit(len(digits))
+    for k in reversed(range(len(digits))):
+        weight = F.when(F.col("_h") < digits[k], k).otherwise(weight)
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("event_id").cast("string"), F.col("_i").cast("string")))
+    x = labels.where(F.col(metric).isNotNull()).groupBy("event_id").agg(F.collect_list(F.struct(*by, F.col(metric).alias("_v"))).alias("_sets"))  # an event's groups
+    x = x.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("_h", hashed).withColumn("_w", weight).select("_i", "_w", F.explode("_sets").alias("_s")).select("_i", "_w", "_s.*")
+    means = x.groupBy(*by, "_i").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w").cast("double")).alias("_m"))
     return means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
 
 
