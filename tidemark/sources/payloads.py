@@ -106,7 +106,8 @@ def ownership_transactions(df: DataFrame, keys: list[str], xml: str) -> DataFram
     value = "struct<value: string>"
     row = f"struct<securityTitle: {value}, transactionDate: {value}, transactionCoding: struct<transactionCode: string>, transactionAmounts: struct<transactionShares: {value}, transactionPricePerShare: {value}>>"
     kind = f"struct<issuer: struct<issuerCik: string, issuerTradingSymbol: string>, nonDerivativeTable: struct<nonDerivativeTransaction: array<{row}>>>"
-    x = df.select(*keys, F.from_xml(xml, kind).alias("d")).select(*keys, "d.issuer.*", F.posexplode("d.nonDerivativeTable.nonDerivativeTransaction").alias("line", "t"))
+    x = df.select(*keys, F.from_xml(xml, kind).alias("d")).select(*keys, "d.issuer.*", F.posexplode_outer("d.nonDerivativeTable.nonDerivativeTransaction").alias("line", "t"))
+    x = x.where("line IS NOT NULL")  # after an outer explode: a filter that Spark puts before an inner one would parse each document once more
     return x.select(
         *keys, F.col("issuerCik").alias("issuer_cik"), F.col("issuerTradingSymbol").alias("ticker"), "line", F.col("t.securityTitle.value").alias("title"), F.col("t.transactionDate.value").try_cast("date").alias("traded_on"),
         F.col("t.transactionCoding.transactionCode").alias("code"), F.col("t.transactionAmounts.transactionShares.value").try_cast("decimal(38,10)").alias("shares"), F.col("t.transactionAmounts.transactionPricePerShare.value").try_cast("decimal(38,10)").alias("price"),
