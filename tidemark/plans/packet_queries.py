@@ -24,7 +24,7 @@ def _family_labels(spark, d):
     event_id = F.concat(F.lit("ctl_"), F.substring(F.sha2(F.concat_ws("|", "family", F.col("accession").cast("string")), 256), 1, 16))
     k = k.select("family", event_id.alias("event_id"), F.log1p(F.coalesce("total_value", F.lit(0.0))).alias("strength"), "issuer", "accepted_at")
     events = written(c.unionByName(k), "study_events")
-    b = written(t.bars(spark, d), "bars")
+    b = written(t.bars(spark, d).select("date", "symbol", "open", "close"), "bars")
     x = ev.event_labels(events.select("event_id", (F.col("issuer") % 100).alias("symbol"), F.col("accepted_at").alias("tradable_at")), b, t.panel.sessions(b.select("date")), (1, 5), 0.005, b.groupBy("date").agg(F.avg("close").alias("close")))
     return x.join(events.select("event_id", "family", "strength"), "event_id")
 
@@ -73,9 +73,11 @@ mx AS (SELECT sp.month, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_el
 
 
 def _matrix(spark, d):
-    c, done = _candidates(spark, d), _labels(spark, d).where("label_status = 'LABELED'")
+    c = written(_candidates(spark, d).select("event_id", "issuer", "accepted_at", "eligible"), "candidates")  # three of the inputs read it
+    b = written(t.bars(spark, d).select("date", "symbol", "open", "close"), "bars")
+    done = _labels(spark, d, c=c, b=b).where("label_status = 'LABELED'")
     day = lambda df, c: df.select(F.to_date(c).alias("date"))
-    inputs = {"candidates": day(c, "accepted_at"), "eligible": day(c.where("eligible"), "accepted_at"), "labeled": day(done, "tradable_at"), "bars": t.bars(spark, d).where(F.month("date") != 5).select("date"), "news": day(t.table(spark, d, "events"), "ts")}
+    inputs = {"candidates": day(c, "accepted_at"), "eligible": day(c.where("eligible"), "accepted_at"), "labeled": day(done, "tradable_at"), "bars": b.where(F.month("date") != 5).select("date"), "news": day(t.table(spark, d, "events"), "ts")}
     return studies.monthly_matrix(inputs)
 
 
