@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..operators import panel
 from ..sources import payloads as p
 from ..sources import tables as io
-from ..sources.folders import fresh
+from ..sources.folders import fresh, written
 from ..streaming import streams
 from . import tables as t
 from .tables import query, rounded
@@ -52,8 +52,9 @@ def srt_01_canonical_output(spark, d):
 
 @query("SELECT 'predictions' AS artifact, count(*) AS rows, 3 AS columns FROM scores UNION ALL SELECT 'targets', count(*), 3 FROM scores UNION ALL SELECT 'prices', count(*), 3 FROM bars")
 def snk_07_artifacts(spark, d):
-    s = t.scores(spark, d)
-    frames = {"predictions": s.select("date", "symbol", F.col("score").alias("prediction")), "targets": s.select("date", "symbol", "label_5d"), "prices": t.bars(spark, d).select("date", "symbol", "close")}
+    b = written(t.bars(spark, d).select("date", "symbol", "close"), "bars")
+    s = written(t.scores(spark, d, b), "scores")  # two artifacts are made of it
+    frames = {"predictions": s.select("date", "symbol", F.col("score").alias("prediction")), "targets": s.select("date", "symbol", "label_5d"), "prices": b}
     return io.write_artifacts(frames, fresh(spark, "artifacts"))
 
 
