@@ -35,7 +35,7 @@ _XY_UPTO = ", ".join(f"sum(xy{i}) OVER w AS xy{i}" for i in range(1, _P + 1))
 
 
 def _table(spark, d):
-    b = written(t.bars(spark, d), "bars")
+    b = t.prices(spark, d)
     return written(modeling.modeling_table(b, panel.sessions(b.select("date"))), "modeling")  # read for folds, models and tests
 
 
