@@ -36,7 +36,8 @@ _XY_UPTO = ", ".join(f"sum(xy{i}) OVER w AS xy{i}" for i in range(1, _P + 1))
 
 def _table(spark, d):
     b = t.prices(spark, d)
-    return written(modeling.modeling_table(b, panel.sessions(b.select("date"))), "modeling")  # read for folds, models and tests
+    x = modeling.modeling_table(b, panel.sessions(b.select("date"))).select("date", "symbol", *panel.FEATURES, "label_5d")
+    return written(x, "modeling")  # read for folds, models and tests
 
 
 def _folds(x):
@@ -63,5 +64,5 @@ t AS (SELECT f.fold, CAST(s.g AS INTEGER) AS seed, b0 + list_dot_product(w, v) A
 {_SPEARMAN.format(g="seed, fold", x="t")}""")
 def mod_11_placebo_refits(spark, d):
     """MOD-11: rank IC by fold of ridge regressions refitted to labels permuted over the whole table, three seeds; -1 is the real label."""
-    x = _table(spark, d).select("date", "symbol", *panel.FEATURES, "label_5d")
+    x = _table(spark, d)
     return rounded(validation.placebo_ridge(x, _folds(x), panel.FEATURES, "label_5d", [1, 2, 3]))
